@@ -3,11 +3,12 @@
 Every document becomes a set of word shingles, 120 MinHash samples, 24 band keys and an odd
 sketch: a parity bitmap into which the samples are folded, so that the population count of the
 XOR of two sketches estimates a high similarity. Documents with equal sets collapse into one
-node first. A band's bucket yields one star of candidate pairs around its smallest node; pairs
-whose sketches are plausible are confirmed on their full sets; then, and only for buckets that
-still hold several components, sketches are compared across components in blocks. So a group of
-thousands of near copies costs a star and not all its pairs, and no link between different
-components of a bucket is skipped.
+node first. Every bucket of a band has its smallest node as its hub, and all buckets of a hub form one
+cell, so each pair that shares a bucket shares a cell, while a node is in a cell once. Sketches
+are compared inside a cell, and rows without a plausible partner leave it; what stays is confirmed
+on full sets and gives at most one link a row, between parts that are not yet connected. Large
+cells are cut into blocks that meet pairwise. So a group of thousands of near copies yields as
+many links as documents, and no pair is emitted or skipped.
 
 With 24 bands of 5 samples, a pair at similarity 0.85 shares no bucket with probability 8e-7.
 """
@@ -100,9 +101,10 @@ def odd_sketches(sampled: np.ndarray) -> np.ndarray:
 def most_different_bits(similarity: float, sigmas: float = 5.0) -> int:
     """The most bits in which two odd sketches of sets this similar differ, short of a chance of the given number of standard deviations."""
     n, differ = 64 * SKETCH_WORDS, SAMPLES * (1 - similarity)
-    worst = min(SAMPLES, differ + sigmas * (differ * similarity) ** 0.5)
-    mean = n / 2 * (1 - (1 - 2 / n) ** (2 * worst))
-    return min(n, int(mean + sigmas * (mean / 2) ** 0.5) + 1)
+    slope = 2 * (1 - 2 / n) ** (2 * differ)
+    mean = n / 2 * (1 - (1 - 2 / n) ** (2 * differ))
+    spread = (slope * slope * differ * similarity + mean) ** 0.5
+    return min(n, int(mean + sigmas * spread) + 1)
 
 
 def _describe(k: int, id_column: str, text_column: str):
@@ -148,75 +150,101 @@ def _sets(k: int):
     return run
 
 
-def _confirm(num: int, den: int):
-    """Rows sorted by (a, salt, is_member): a's own set comes first, then those to confirm against it."""
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Batches sorted by (a, i, j), cut anew so that no cell is split: (rows, bounds of their cells)."""
+    rest = None
+    for batch in batches:
+        t = pa.Table.from_batches([batch])
+        rest = t if rest is None else pa.concat_tables([rest, t])
+        bounds = _bounds(rest)
+        if len(bounds) > 2:
+            yield rest.slice(0, bounds[-2]).combine_chunks(), bounds[:-1]
+            rest = rest.slice(bounds[-2])
+    if rest is not None and rest.num_rows:
+        yield rest.combine_chunks(), _bounds(rest)
+
+
+def _bounds(t: pa.Table) -> np.ndarray:
+    a, i, j = (t[c].to_numpy() for c in ("a", "i", "j"))
+    cut = np.flatnonzero((a[1:] != a[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
+    return np.concatenate([[0], cut, [len(a)]])
+
+
+def _bitmaps(t: pa.Table) -> np.ndarray:
+    return t["sketch"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, SKETCH_WORDS)
+
+
+def _plausible(most: int):
+    """Of each cell, the rows whose sketch differs in few bits from another one of the cell's other (or only) block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hub, own = None, None
-        for batch in batches:
-            kept_a, kept_b = [], []
-            for a, b, member, blob in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("a", "b", "member", "shingles"))):
-                if not member:
-                    hub, own = a, np.frombuffer(blob, np.uint64)
-                elif a == hub:
-                    other = np.frombuffer(blob, np.uint64)
-                    if den * min(len(own), len(other)) >= num * max(len(own), len(other)):
-                        both = np.sort(np.concatenate([own, other]), kind="stable")
-                        shared = int((both[1:] == both[:-1]).sum())
-                        if den * shared >= num * (len(both) - shared):
-                            kept_a.append(a)
-                            kept_b.append(b)
-            yield pa.RecordBatch.from_arrays([pa.array(kept_a, pa.int64()), pa.array(kept_b, pa.int64())], names=["a", "b"])
+        for t, bounds in _cells(batches):
+            sketch, keep = _bitmaps(t), np.zeros(t.num_rows, bool)
+            i, j, blk = (t[c].to_numpy() for c in ("i", "j", "blk"))
+            for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+                left = right = np.arange(s, e)
+                if i[s] != j[s]:
+                    left, right = left[blk[s:e] == i[s]], left[blk[s:e] == j[s]]
+                for k in range(0, len(left), 256):
+                    part = left[k : k + 256]
+                    near = np.bitwise_count(sketch[part][:, None, :] ^ sketch[right][None, :, :]).sum(axis=2, dtype=np.int32) <= most
+                    if i[s] == j[s]:
+                        near[np.arange(len(part)), part - s] = False
+                    keep[part] |= near.any(axis=1)
+                    keep[right] |= near.any(axis=0)
+            yield from t.select(["a", "i", "j", "node", "blk"]).filter(pa.array(keep)).to_batches()
 
     return run
 
 
-def _across(most: int, block: int):
-    """Rows sorted by (key, i, j): pairs of different components whose sketches differ in few bits. A cell holds about 2 * block rows."""
+def _links(num: int, den: int, most: int):
+    """Of each cell, links that connect what its full sets connect: at most one a row.
+
+    Any two rows of different blocks (or of the only block) are either already connected here,
+    too different by their sketches, or compared on their full sets.
+    """
 
-    def pairs(node, comp, blk, i, j, sketch):
-        if i == j:
-            left = right = np.arange(len(node))
-        else:
-            left, right = np.flatnonzero(blk == i), np.flatnonzero(blk == j)
-        for s in range(0, len(left), 256):
-            part = left[s : s + 256]
-            diff = np.bitwise_count(sketch[part][:, None, :] ^ sketch[right][None, :, :]).sum(axis=2, dtype=np.int32)
-            good = (diff <= most) & (comp[part][:, None] != comp[right][None, :])
-            x, y = np.nonzero(good)
-            x, y = node[part[x]], node[right[y]]
-            yield np.minimum(x, y), np.maximum(x, y)
+    def cell(node, side, two, sketch, values, bounds):
+        n, sizes = len(node), np.diff(bounds)
+        _, ids = np.unique(values, return_inverse=True)
+        marks, part = np.zeros(ids.max() + 1, bool), np.arange(n)
+
+        def compare(x: int):
+            other = part != part[x]
+            if two:
+                other &= side != side[x]
+            other &= np.bitwise_count(sketch ^ sketch[x]).sum(axis=1, dtype=np.int32) <= most
+            other &= den * np.minimum(sizes, sizes[x]) >= num * np.maximum(sizes, sizes[x])
+            picked = np.flatnonzero(other)
+            if not len(picked):
+                return
+            own = ids[bounds[x] : bounds[x + 1]]
+            marks[own] = True
+            if 4 * len(picked) > n:
+                shared = np.add.reduceat(marks[ids], bounds[:-1], dtype=np.int64)[picked]
+            else:
+                shared = np.array([np.count_nonzero(marks[ids[bounds[y] : bounds[y + 1]]]) for y in picked])
+            marks[own] = False
+            for y in picked[den * shared >= num * (sizes[picked] + sizes[x] - shared)]:
+                if part[y] != part[x]:
+                    part[part == part[y]] = part[x]
+                    yield node[x], node[y]
+
+        yield from compare(0)
+        largest = np.bincount(part, minlength=n).argmax()
+        for x in np.flatnonzero(part != largest):  # each pair across parts has an end outside the largest
+            yield from compare(x)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[pa.RecordBatch] = []
-
-        def cells(t: pa.Table, last: bool):
-            key, i, j = (t[c].to_numpy() for c in ("key", "i", "j"))
-            cut = np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
-            cut = np.concatenate([[0], cut, [len(key)]])
-            node, comp, blk = (t[c].to_numpy() for c in ("node", "comp", "blk"))
-            flat = t["sketch"].combine_chunks()
-            sketch = flat.flatten().to_numpy().view(np.uint64).reshape(-1, SKETCH_WORDS)
-            a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for s, e in zip(cut[:-1], cut[1:] if last else cut[1:-1]):
-                for x, y in pairs(node[s:e], comp[s:e], blk[s:e], i[s], j[s], sketch[s:e]):
-                    a.append(x)
-                    b.append(y)
-            return (a, b), t.slice(cut[-1] if last else cut[-2])
-
-        def emit(ab):
-            found = np.unique(np.stack([np.concatenate(ab[0]), np.concatenate(ab[1])]), axis=1)
-            return pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], names=["a", "b"])
-
-        rest = None
-        for batch in batches:
-            t = pa.Table.from_batches([batch])
-            t = pa.concat_tables([rest, t]).combine_chunks() if rest is not None else t
-            if t.num_rows:
-                found, rest = cells(t, False)
-                yield emit(found)
-        if rest is not None and rest.num_rows:
-            yield emit(cells(rest, True)[0])
+        for t, bounds in _cells(batches):
+            sketch = _bitmaps(t)
+            i, j, blk, node = (t[c].to_numpy() for c in ("i", "j", "blk", "node"))
+            data, at = text_bytes(t["shingles"])
+            values, at = np.frombuffer(data, np.uint64), at // 8
+            found = []
+            for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+                found += cell(node[s:e], blk[s:e], i[s] != j[s], sketch[s:e], values[at[s] : at[e]], at[s : e + 1] - at[s])
+            yield pa.RecordBatch.from_arrays([pa.array([int(x) for x, _ in found], pa.int64()), pa.array([int(y) for _, y in found], pa.int64())], names=["a", "b"])
 
     return run
 
@@ -242,7 +270,7 @@ def components(edges: DataFrame) -> DataFrame:
     return links.select(F.col("hi").alias("node"), F.col("lo").alias("comp")).union(links.select(F.col("lo").alias("node"), F.col("lo").alias("comp")).distinct())
 
 
-def near_duplicates(docs: DataFrame, words: int = 3, num: int = 85, den: int = 100, id_column: str = "doc_id", text_column: str = "text", block: int = 1000) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 3, num: int = 85, den: int = 100, id_column: str = "doc_id", text_column: str = "text", block: int = 500) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id (smallest linked doc_id, itself included), kept.
 
     Two documents are linked when den * |A & B| >= num * |A | B| for their sets of distinct
@@ -256,42 +284,25 @@ def near_duplicates(docs: DataFrame, words: int = 3, num: int = 85, den: int = 1
     linkable = described.where("node IS NOT NULL AND doc_id IS NOT NULL")
     nodes = saved(linkable.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "nodes")
     most = most_different_bits(num / den)
-    bits = sum((F.bit_count(F.col("sketch")[i].bitwiseXOR(F.col("other")[i])) for i in range(1, SKETCH_WORDS)), F.bit_count(F.col("sketch")[0].bitwiseXOR(F.col("other")[0])))
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        """Of the pairs (a, b), those linked by their full sets. A popular `a` is dealt over several salts."""
-        needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        texts = rows.join(nodes.join(needed, "node", "left_semi").select("doc_id", "node"), "doc_id")
-        sets = saved(texts.select("node", "text").mapInArrow(_sets(words), "node bigint, shingles binary"), "sets").dropDuplicates(["node"])
-        salts = pairs.groupBy("a").agg(F.ceil(F.count("*") / 200).cast("int").alias("salts"))
-        hubs = salts.join(sets.withColumnRenamed("node", "a"), "a").select("a", F.col("a").alias("b"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(False).alias("member"), "shingles")
-        members = pairs.join(salts, "a").join(sets.withColumnRenamed("node", "b"), "b").select("a", "b", F.pmod(F.xxhash64("b"), "salts").cast("int").alias("salt"), F.lit(True).alias("member"), "shingles")
-        return hubs.union(members).repartition("a", "salt").sortWithinPartitions("a", "salt", "member").mapInArrow(_confirm(num, den), "a bigint, b bigint")
-
     buckets = nodes.select("node", F.explode("bands").alias("key"))
-    hubs = buckets.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1")
-    crowded = saved(buckets.join(hubs, "key"), "buckets")
-    sketches = nodes.select("node", "sketch")
-    stars = crowded.where("node <> a").select("a", F.col("node").alias("b")).distinct()
-    stars = stars.join(sketches.withColumnRenamed("node", "b"), "b").join(sketches.select(F.col("node").alias("a"), F.col("sketch").alias("other")), "a").where(bits <= most).select("a", "b")
-    stars = saved(stars, "stars")
-    edges = saved(confirmed(stars), "edges")
-    parts = saved(components(edges), "parts")
-
-    mixed = crowded.select("key", "node").join(parts, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    split = mixed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.ceil(F.count("*") / block).cast("int").alias("blocks")).where("low <> high").select("key", "blocks")
+    hubs = buckets.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1").select("key", "a")
+    stars = saved(buckets.join(hubs, "key").select("a", "node").distinct(), "stars")
+    blocks = stars.groupBy("a").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     cells = (
-        mixed.join(split, "key")
+        stars.join(blocks, "a")
         .withColumn("blk", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
         .withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("key", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"), "node", "comp", "blk")
-        .join(sketches, "node")
+        .select("a", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"), "node", "blk")
     )
-    across = cells.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_across(most, block), "a bigint, b bigint").distinct()
-    tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = saved(across.join(tried, ["a", "b"], "left_anti"), "across")
-    if not more.isEmpty():
-        parts = saved(components(edges.union(confirmed(more))), "parts")
+    sketches = nodes.select("node", "sketch")
+    cell = ["a", "i", "j"]
+    likely = saved(cells.join(sketches, "node").repartition(*cell).sortWithinPartitions(*cell).mapInArrow(_plausible(most), "a bigint, i int, j int, node bigint, blk int"), "likely")
+    needed = nodes.select("node", "doc_id").join(likely.select("node").distinct(), "node", "left_semi")
+    texts = rows.join(needed, "doc_id")
+    sets = saved(texts.select("node", "text").mapInArrow(_sets(words), "node bigint, shingles binary"), "sets").dropDuplicates(["node"])
+    full = likely.join(sketches, "node").join(sets, "node")
+    edges = full.repartition(*cell).sortWithinPartitions(*cell, "node").mapInArrow(_links(num, den, most), "a bigint, b bigint")
+    parts = saved(components(edges), "parts")
     least = nodes.select("node", "doc_id").join(parts, "node").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     labels = parts.join(least, "comp").select("node", "component_id")
     labelled = nodes.select("node", F.col("doc_id").alias("own")).join(labels, "node", "left").select("node", F.coalesce("component_id", "own").alias("component_id"))
