@@ -7,15 +7,31 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from narrascope.llm import decontaminate, langid, token_output
 from narrascope.llm.near_dedup import near_duplicates
 from narrascope.llm.shared import table
 
 
+def op1_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.op1_contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def op5_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents"))
 
 
+def op6_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return langid.op6_language(table(spark, folder, "documents"))
+
+
+def op10_token_output(spark: SparkSession, folder: str) -> DataFrame:
+    return token_output.op10_token_output(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontamination": op1_decontamination,
     "op5_near_dedup": op5_near_dedup,
+    "op6_language_id": op6_language_id,
+    "op10_token_output": op10_token_output,
 }
 ORACLES: dict[str, str] = {}
