@@ -18,14 +18,17 @@ segment, and any file system that Spark knows will do.
 
 from __future__ import annotations
 
+import gc
 import json
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,51 +43,62 @@ _HEAD = struct.Struct("<4sIQQ")
 
 
 def bit_lengths(ids: np.ndarray) -> np.ndarray:
-    out = np.zeros(ids.shape, np.uint8)
-    for edge in sorted(set(BITS[2:].tolist())):
-        out += ids >= (U(1) << U(edge)) if edge < 64 else 0
-    # number of widths that are too narrow -> the narrowest width that fits, 64 if none does
-    return np.array([*BITS[2:], 64], np.uint8)[out]
+    """The narrowest width of the table above that each id fits; 64 if none does."""
+    if len(ids.ravel()) and ids.max() < len(_NARROW):
+        return _NARROW[ids]
+    edges = np.array(sorted(BITS[2:].tolist()), np.uint64)
+    return np.array([*edges, 64], np.uint8)[np.searchsorted(U(1) << edges, ids, "right")]
+
+
+_NARROW = np.array(sorted(BITS[2:].tolist()), np.uint8)[np.searchsorted(1 << np.array(sorted(BITS[2:].tolist())), np.arange(1 << 17), "right")]
+_PAD = 60  # columns of zeros after a block, where its last word may reach
 
 
 def pack(ids: np.ndarray, block: int = BLOCK) -> bytes:
-    ids = np.ascontiguousarray(ids, np.uint64)
-    blocks = -(-len(ids) // block)
-    grid = np.zeros((blocks, block), np.uint64)
-    grid.ravel()[: len(ids)] = ids
+    blocks, wide = -(-len(ids) // block), block + _PAD
+    grid = np.zeros((blocks, wide), np.uint64)
     size = np.minimum(block, len(ids) - np.arange(blocks) * block)
+    whole = len(ids) // block
+    grid[:whole, :block] = ids[: whole * block].reshape(whole, block)
+    if whole < blocks:
+        grid[whole, : size[-1]] = ids[whole * block :]
     need = bit_lengths(grid)
-    best = np.where(need > 60, ESCAPE, 15).astype(np.uint8)
+    # selectors of longer runs have narrower ids, so of those that fit at a place the lowest number is the longest
+    best = np.full((blocks, wide), 15, np.uint8)
     widest = need.copy()
-    for n in range(2, min(block, 60) + 1):
-        widest[:, : block - n + 1] = np.maximum(widest[:, : block - n + 1], need[:, n - 1 :])
-        # beyond a block's end there is nothing left to fit: the tail columns keep their shorter maximum
+    for n in range(2, _PAD + 1):
+        np.maximum(widest[:, : wide - n + 1], need[:, n - 1 :], out=widest[:, : wide - n + 1])
         found = np.flatnonzero(COUNTS == n)
         if len(found):
-            best[widest <= BITS[found[0]]] = found[0]
-    at = np.zeros(blocks, np.int64)
-    live, rows, columns, chosen = np.arange(blocks), [], [], []
+            best -= widest <= BITS[found[0]]
+    best[need > 60] = ESCAPE
+    jump = COUNTS.copy()
+    jump[ESCAPE] = 1
+    best, flat = best.ravel(), grid.ravel()
+    begun = np.zeros(len(best), bool)
+    live = np.arange(blocks) * wide
+    stop = live + size
     while len(live):
-        selector = best[live, at[live]]
-        rows.append(live)
-        columns.append(at[live])
-        chosen.append(selector)
-        at[live] += np.where(selector == ESCAPE, 1, COUNTS[selector])
-        live = live[at[live] < size[live]]
-    row, column, selector = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (rows, columns, chosen))
-    order = np.lexsort((column, row))
-    row, column, selector = row[order], column[order], selector[order].astype(np.int64)
+        begun[live] = True
+        live = live + jump[best[live]]
+        going = live < stop
+        if not going.all():
+            live, stop = live[going], stop[going]
+    place_of = np.flatnonzero(begun)
+    selector = best[place_of]
     place = np.concatenate([[0], np.cumsum(1 + (selector == ESCAPE))])
     words = np.zeros(place[-1], np.uint64)
-    words[place[:-1]] = selector.astype(np.uint64) << U(60)
-    padded = np.concatenate([grid, np.zeros((blocks, 60), np.uint64)], axis=1) if blocks else grid
-    for s in range(2, 16):
+    for s in range(1, 16):
         of = np.flatnonzero(selector == s)
-        for j in range(COUNTS[s]):
-            words[place[of]] |= padded[row[of], column[of] + j] << U(j * BITS[s])
-    of = np.flatnonzero(selector == ESCAPE)
-    words[place[of] + 1] = grid[row[of], column[of]]
-    offsets = place[np.searchsorted(row, np.arange(blocks + 1))]
+        if len(of) and s == ESCAPE:
+            words[place[of]] = U(s << 60)
+            words[place[of] + 1] = flat[place_of[of]]
+        elif len(of):
+            value, at = np.full(len(of), U(s << 60)), place_of[of]
+            for j in range(COUNTS[s]):
+                value |= flat[at + j] << U(j * BITS[s])
+            words[place[of]] = value
+    offsets = place[np.searchsorted(place_of, np.arange(blocks + 1) * wide)]
     return _HEAD.pack(b"S8B1", block, len(ids), blocks) + offsets.astype("<u4").tobytes() + words.astype("<u8").tobytes()
 
 
@@ -131,12 +145,16 @@ class WordEncoder(dict):
 
     If the tokenizer drops white space and never joins what stands on either side of it, each
     distinct word between white space is encoded once and its ids are looked up afterwards; else
-    whole texts are encoded.
+    whole texts are encoded. If, besides, it splits words by the pattern `SPLIT` and ends each
+    piece with a token of its own, a new word is made up of its pieces, and each distinct piece
+    is encoded once, many in one call.
     """
 
-    #: A word of its own between words, so that the ids of many words come from one call.
-    MARK = "\x02"
-    LIMIT = 400_000
+    LIMIT = 600_000
+    # Fixed value: the splitting pattern of the tokenizer file for which pieces are known.
+    SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+    #: Words of plain Latin letters, digits and signs: lower-casing and composing can't change how they split.
+    PLAIN = regex.compile(r"[!-&(-;=-~\u00A1-\u012F\u0131-\u0148\u014A-\u024F]+")
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -151,41 +169,62 @@ class WordEncoder(dict):
         pattern = (split.get("pattern") or {}).get("Regex", "") if split.get("type") == "Split" else ""
         kinds = {x.get("type") for x in (parts.get("normalizer") or {}).get("normalizers", [])}
         self.by_word = split.get("invert") is True and split.get("behavior") == "Removed" and r"[^\s" in pattern and " " not in pattern and kinds <= {"NFC", "Replace", "Lowercase"}
-        mark = self.tokenizer.encode(self.MARK, add_special_tokens=False).ids
-        self.mark = mark[0] if len(mark) == 1 else None
+        suffix = parts["model"].get("end_of_word_suffix")
+        self.by_piece = self.by_word and pattern == self.SPLIT and "Lowercase" in kinds and bool(suffix)
+        if self.by_piece:
+            vocabulary = self.tokenizer.get_vocab()
+            self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.last[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
+            self.pieces_of = regex.compile(self.SPLIT).findall
+            self.ascii_pieces = re.compile("[a-z]+|[0-9]|[^a-z0-9]+").findall  # the same for plain ASCII, faster
+        gc.disable()  # millions of small objects without cycles: collections would only walk them again and again
         self.reset()
 
     def reset(self) -> None:
         self.clear()
         self.new: list[bytes] = []
         self.flat, self.at = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64)
+        self.pieces: dict[str, bytes] = {}
 
     def __missing__(self, word: bytes) -> int:
         self[word] = number = len(self)
         self.new.append(word)
         return number
 
+    def _whole(self, words: list[str]) -> list[bytes]:
+        return [np.array(x.ids, np.uint32).tobytes() for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
     def _learn(self) -> None:
-        lists: list = []
-        words = [w.decode() for w in self.new]
-        for s in range(0, len(words), 2000):
-            part = words[s : s + 2000]
-            ids = np.array(self.tokenizer.encode(f" {self.MARK} ".join(part), add_special_tokens=False).ids, np.uint32) if self.mark is not None else np.zeros(0, np.uint32)
-            pieces = np.split(ids, np.flatnonzero(ids == self.mark)) if self.mark is not None else []
-            if len(pieces) == len(part):
-                lists += [x[1:] if i else x for i, x in enumerate(pieces)]
-            else:  # some word holds the mark
-                lists += [np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, np.uint32) for w in part]
-        n, base = len(self) - len(words), 0
+        words, self.new = [w.decode() for w in self.new], []
+        if self.by_piece:
+            plain = self.PLAIN.fullmatch
+            split = [self.ascii_pieces(w.lower()) if w.isascii() and plain(w) else self.pieces_of(w.lower()) if plain(w) else None for w in words]
+            others = iter(self._whole([w for w, x in zip(words, split) if x is None]))
+            if len(self.pieces) > self.LIMIT:
+                self.pieces = {}
+            known = self.pieces
+            fresh = list({p for x in split if x for p in x} - known.keys())
+            for s in range(0, len(fresh), 1000):
+                part = fresh[s : s + 1000]
+                ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.uint32)
+                cut = np.flatnonzero(self.last[ids]) + 1
+                if len(cut) == len(part):
+                    raw = ids.tobytes()
+                    known.update(zip(part, (raw[4 * a : 4 * b] for a, b in zip([0, *cut[:-1].tolist()], cut.tolist()))))
+                else:
+                    known.update(zip(part, self._whole(part)))
+            lists = [next(others) if x is None else known[x[0]] if len(x) == 1 else b"".join([known[p] for p in x]) for x in split]
+        else:
+            lists = self._whole(words)
+        n = len(self) - len(words)
         base = int(self.at[n])
-        ends = base + np.cumsum([len(x) for x in lists])
+        ends = base + np.cumsum([len(x) for x in lists]) // 4
         while len(self.at) <= len(self):
             self.at = np.concatenate([self.at, np.zeros_like(self.at)])
         while len(self.flat) < ends[-1]:
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         self.at[n + 1 : n + 1 + len(lists)] = ends
-        self.flat[base : ends[-1]] = np.concatenate(lists)
-        self.new = []
+        self.flat[base : ends[-1]] = np.frombuffer(b"".join(lists), np.uint32)
 
     def encode(self, texts: list[bytes], end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids with `end` after each text, and the number of ids of each text."""
