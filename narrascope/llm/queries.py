@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from narrascope.llm import chat_format, decontaminate, gru_lm, langid, license_scan, mixing, quality, token_output
+from narrascope.llm import chat_format, decontaminate, gru_lm, langid, license_scan, mixing, pii, quality, token_output
 from narrascope.llm.near_dedup import near_duplicates
 from narrascope.llm.shared import table
 
@@ -19,6 +19,10 @@ def op2_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     return chat_format.op2_chat(table(spark, folder, "conversations"))
 
 
+def op3_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.op3_pii(table(spark, folder, "documents"))
+
+
 def op4_lm_scores(spark: SparkSession, folder: str) -> DataFrame:
     return gru_lm.op4_lm_scores(table(spark, folder, "documents"))
 
@@ -50,6 +54,7 @@ def op10_token_output(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_chat_format": op2_chat_format,
+    "op3_pii": op3_pii,
     "op4_lm_scores": op4_lm_scores,
     "op5_near_dedup": op5_near_dedup,
     "op6_language_id": op6_language_id,
