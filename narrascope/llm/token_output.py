@@ -150,12 +150,14 @@ class WordEncoder(dict):
     is encoded once, many in one call.
     """
 
-    LIMIT = 600_000
+    LIMIT, MOST_PIECES = 1_000_000, 500_000  # entries kept, about 0.3 GB a worker
     # Fixed value: the splitting pattern of the tokenizer file for which pieces are known.
     SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
     #: Words of plain Latin letters, digits and signs: lower-casing and composing can't change how they split.
     PLAIN = regex.compile(r"[!-&(-;=-~\u00A1-\u012F\u0131-\u0148\u014A-\u024F]+")
 
+    PLAIN_ASCII = bytes(b for b in range(0x21, 0x7F) if b not in b"'<")
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -195,12 +197,13 @@ class WordEncoder(dict):
         return [np.array(x.ids, np.uint32).tobytes() for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
     def _learn(self) -> None:
-        words, self.new = [w.decode() for w in self.new], []
+        new, self.new = self.new, []
+        words = [w.decode() for w in new]
         if self.by_piece:
             plain = self.PLAIN.fullmatch
-            split = [self.ascii_pieces(w.lower()) if w.isascii() and plain(w) else self.pieces_of(w.lower()) if plain(w) else None for w in words]
+            split = [self.ascii_pieces(w.lower()) if not b.translate(None, self.PLAIN_ASCII) else self.pieces_of(w.lower()) if plain(w) else None for b, w in zip(new, words)]
             others = iter(self._whole([w for w, x in zip(words, split) if x is None]))
-            if len(self.pieces) > self.LIMIT:
+            if len(self.pieces) > self.MOST_PIECES:
                 self.pieces = {}
             known = self.pieces
             fresh = list({p for x in split if x for p in x} - known.keys())
