@@ -52,6 +52,14 @@ def release() -> None:
 atexit.register(release)
 
 
+def small_batches(df: DataFrame, most_rows: int = 2_000) -> DataFrame:
+    """df, after limiting the rows of an Arrow batch in its session: texts are long, and a batch lies in memory several times."""
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > most_rows:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(most_rows))
+    return df
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 

@@ -8,6 +8,9 @@ wide, equal in every process, and lower-case A-Z on the fly.
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
 
@@ -18,6 +21,7 @@ _BLOCK = 1 << 17  # bytes hashed at a time, small enough for the CPU's caches
 
 _rng = np.random.default_rng(20240607)
 BYTE_VALUE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
+BYTE_EXACT = BYTE_VALUE.copy()  # for hashes that tell cases apart
 BYTE_VALUE[ord("A") : ord("Z") + 1] = BYTE_VALUE[ord("a") : ord("z") + 1]
 
 #: In-word bytes of the rule `[^\x20\x09-\x0D]+`.
@@ -77,7 +81,7 @@ class Words:
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
 
-    def hashes(self) -> np.ndarray:
+    def hashes(self, values: np.ndarray = BYTE_VALUE) -> np.ndarray:
         out, done = np.empty(len(self), np.uint64), 0
         while done < len(self):
             base = self.start[done]
@@ -86,7 +90,7 @@ class Words:
             power, inverse = powers(n)
             sums = np.empty(n + 1, np.uint64)
             sums[0] = 0
-            np.cumsum(BYTE_VALUE[self.data[base : base + n]] * power[:n], out=sums[1:])
+            np.cumsum(values[self.data[base : base + n]] * power[:n], out=sums[1:])
             s, e = self.start[done:stop] - base, self.end[done:stop] - base
             out[done:stop] = (sums[e] - sums[s]) * inverse[s]
             done = stop
@@ -106,6 +110,71 @@ def powers(n: int) -> list[np.ndarray]:
     return _powers
 
 
+def marks(words: Words) -> np.ndarray:
+    """Length and first eight bytes of each word, in 64 bits: with the hash, they tell words apart."""
+    padded = np.concatenate([words.data, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(words.data) + 1, "<u8", padded, strides=(1,))[words.start]
+    size = words.end - words.start
+    return (eight & _FIRST[np.minimum(size, 8)]) ^ (size.astype(np.uint64) * U(_BASE))
+
+
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
+
+class WordTable:
+    """A hash table from words to numbers in numpy arrays, all lookups of a batch at once: 24 bytes a slot."""
+
+    def __init__(self, bits: int = 16):
+        self.size = 0
+        self.keys, self.seconds, self.numbers = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.int32)
+
+    def find(self, h: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """Numbers of words, by hash and mark; -1 for unknown ones."""
+        mask = U(len(self.keys) - 1)
+        h = np.maximum(h, U(1))  # 0 marks a free slot
+        out, slot, live = np.full(len(h), -1, np.int32), (h & mask).astype(np.int64), None
+        hs, ss = h, second
+        while True:
+            k = self.keys[slot]
+            hit = (k == hs) & (self.seconds[slot] == ss)
+            if live is None:
+                out[hit] = self.numbers[slot[hit]]
+                live = np.flatnonzero(~hit & (k != 0))
+                slot = slot[live]
+            else:
+                out[live[hit]] = self.numbers[slot[hit]]
+                going = ~hit & (k != 0)
+                live, slot = live[going], slot[going]
+            if not len(live):
+                return out
+            slot = (slot + 1) & int(mask)
+            hs, ss = h[live], second[live]
+
+    def add(self, h: np.ndarray, second: np.ndarray, numbers: np.ndarray) -> None:
+        """Add distinct words that are not in the table."""
+        if 2 * (self.size + len(h)) > len(self.keys):
+            used = np.flatnonzero(self.keys)
+            old = self.keys[used], self.seconds[used], self.numbers[used]
+            size = 1 << int(np.ceil(np.log2(4 * (self.size + len(h)))))
+            self.keys, self.seconds, self.numbers = np.zeros(size, np.uint64), np.zeros(size, np.uint64), np.zeros(size, np.int32)
+            self._place(*old)
+        self.size += len(h)
+        self._place(h, second, numbers)
+
+    def _place(self, h: np.ndarray, second: np.ndarray, numbers: np.ndarray) -> None:
+        mask = len(self.keys) - 1
+        h = np.maximum(h, U(1))
+        slot = (h & U(mask)).astype(np.int64)
+        while len(h):
+            free = np.flatnonzero(self.keys[slot] == 0)
+            self.numbers[slot[free]] = numbers[free]  # of several for one slot the last one stays
+            won = free[self.numbers[slot[free]] == numbers[free]]
+            self.keys[slot[won]], self.seconds[slot[won]] = h[won], second[won]
+            going = np.ones(len(h), bool)
+            going[won] = False
+            h, second, numbers, slot = h[going], second[going], numbers[going], (slot[going] + 1) & mask
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every bit."""
     h = h ^ (h >> U(32))
@@ -143,3 +212,17 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = 1 << 21):
         stop = max(row + 1, int(np.searchsorted(at, at[row] + limit, "right")) - 1)
         yield batch.slice(row, stop - row)
         row = stop
+
+
+def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, after which the worker, which Spark uses again, gives its free memory back to the system."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # another C library
+            pass
+
+    return wrapped

@@ -33,8 +33,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from narrascope.llm.shared import new_path
-from narrascope.llm.textkernel import U, slices, text_bytes
+from narrascope.llm.shared import new_path, small_batches
+from narrascope.llm.textkernel import BYTE_EXACT, SPACED, U, Words, WordTable, marks, slices, text_bytes, trimmed
 
 COUNTS = np.array([0, 0, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
 BITS = np.array([0, 64, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
@@ -140,7 +140,7 @@ def unpack(payload: bytes, first: int = 0, last: int | None = None) -> np.ndarra
     return out
 
 
-class WordEncoder(dict):
+class WordEncoder:
     """Encodes texts of one tokenizer file.
 
     If the tokenizer drops white space and never joins what stands on either side of it, each
@@ -150,7 +150,7 @@ class WordEncoder(dict):
     is encoded once, many in one call.
     """
 
-    LIMIT, MOST_PIECES = 1_000_000, 500_000  # entries kept, about 0.3 GB a worker
+    LIMIT, MOST_PIECES = 3_000_000, 300_000  # entries of the tables, about 0.2 GB a worker
     # Fixed value: the splitting pattern of the tokenizer file for which pieces are known.
     SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
     #: Words of plain Latin letters, digits and signs: lower-casing and composing can't change how they split.
@@ -162,7 +162,6 @@ class WordEncoder(dict):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         with open(path) as f:
             parts = json.load(f)
@@ -183,75 +182,83 @@ class WordEncoder(dict):
         self.reset()
 
     def reset(self) -> None:
-        self.clear()
-        self.new: list[bytes] = []
+        self.known = WordTable()
         self.flat, self.at = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64)
         self.pieces: dict[str, bytes] = {}
 
-    def __missing__(self, word: bytes) -> int:
-        self[word] = number = len(self)
-        self.new.append(word)
-        return number
-
     def _whole(self, words: list[str]) -> list[bytes]:
         return [np.array(x.ids, np.uint32).tobytes() for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
-    def _learn(self) -> None:
-        new, self.new = self.new, []
+    def _encoded(self, new: list[bytes]) -> list[bytes]:
+        """The ids of each word, as bytes."""
         words = [w.decode() for w in new]
-        if self.by_piece:
-            plain = self.PLAIN.fullmatch
-            split = [self.ascii_pieces(w.lower()) if not b.translate(None, self.PLAIN_ASCII) else self.pieces_of(w.lower()) if plain(w) else None for b, w in zip(new, words)]
-            others = iter(self._whole([w for w, x in zip(words, split) if x is None]))
-            if len(self.pieces) > self.MOST_PIECES:
-                self.pieces = {}
-            known = self.pieces
-            fresh = list({p for x in split if x for p in x} - known.keys())
-            for s in range(0, len(fresh), 1000):
-                part = fresh[s : s + 1000]
-                ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.uint32)
-                cut = np.flatnonzero(self.last[ids]) + 1
-                if len(cut) == len(part):
-                    raw = ids.tobytes()
-                    known.update(zip(part, (raw[4 * a : 4 * b] for a, b in zip([0, *cut[:-1].tolist()], cut.tolist()))))
-                else:
-                    known.update(zip(part, self._whole(part)))
-            lists = [next(others) if x is None else known[x[0]] if len(x) == 1 else b"".join([known[p] for p in x]) for x in split]
-        else:
-            lists = self._whole(words)
-        n = len(self) - len(words)
+        if not self.by_piece or not words:
+            return self._whole(words)
+        plain = self.PLAIN.fullmatch
+        split = [self.ascii_pieces(w.lower()) if not b.translate(None, self.PLAIN_ASCII) else self.pieces_of(w.lower()) if plain(w) else None for b, w in zip(new, words)]
+        others = iter(self._whole([w for w, x in zip(words, split) if x is None]))
+        if len(self.pieces) > self.MOST_PIECES:
+            self.pieces = {}
+        known = self.pieces
+        fresh = list({p for x in split if x for p in x} - known.keys())
+        for s in range(0, len(fresh), 1000):
+            part = fresh[s : s + 1000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.uint32)
+            cut = np.flatnonzero(self.last[ids]) + 1
+            if len(cut) == len(part):
+                raw = ids.tobytes()
+                known.update(zip(part, (raw[4 * a : 4 * b] for a, b in zip([0, *cut[:-1].tolist()], cut.tolist()))))
+            else:
+                known.update(zip(part, self._whole(part)))
+        return [next(others) if x is None else known[x[0]] if len(x) == 1 else b"".join([known[p] for p in x]) for x in split]
+
+    def _learn(self, new: list[bytes]) -> None:
+        n, lists = self.known.size, self._encoded(new)
         base = int(self.at[n])
         ends = base + np.cumsum([len(x) for x in lists]) // 4
-        while len(self.at) <= len(self):
+        while len(self.at) <= n + len(new):
             self.at = np.concatenate([self.at, np.zeros_like(self.at)])
         while len(self.flat) < ends[-1]:
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         self.at[n + 1 : n + 1 + len(lists)] = ends
         self.flat[base : ends[-1]] = np.frombuffer(b"".join(lists), np.uint32)
 
-    def encode(self, texts: list[bytes], end: int) -> tuple[np.ndarray, np.ndarray]:
-        """All ids with `end` after each text, and the number of ids of each text."""
+    def encode(self, data: np.ndarray, at: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of texts (their bytes and bounds) with `end` after each text, and the number of ids of each text."""
+        raw = data.tobytes()
         if not self.by_word:
-            found = [np.array([*x.ids, end], np.uint32) for x in self.tokenizer.encode_batch([t.decode() for t in texts], add_special_tokens=False)]
+            found = [np.array([*x.ids, end], np.uint32) for x in self.tokenizer.encode_batch([raw[a:b].decode() for a, b in zip(at[:-1].tolist(), at[1:].tolist())], add_special_tokens=False)]
             return np.concatenate(found), np.array([len(x) for x in found])
-        if len(self) > self.LIMIT:
+        if self.known.size > self.LIMIT:
             self.reset()
-        lists = [t.split() for t in texts]
-        sizes = np.array([len(x) for x in lists])
-        numbers = np.concatenate([np.fromiter(map(self.__getitem__, x), np.int64, len(x)) for x in lists])
-        if self.new:
-            self._learn()
+        words = Words(data, at, SPACED)
+        h, second = words.hashes(BYTE_EXACT), marks(words)
+        numbers = self.known.find(h, second)
+        missing = np.flatnonzero(numbers < 0)
+        if len(missing):
+            pairs = np.empty(len(missing), "u8,u8")
+            pairs["f0"], pairs["f1"] = h[missing], second[missing]
+            order = np.lexsort((pairs["f1"], pairs["f0"]))
+            pairs = pairs[order]
+            first = np.ones(len(pairs), bool)
+            first[1:] = pairs[1:] != pairs[:-1]
+            rank = np.cumsum(first) - 1
+            chosen = missing[order][first]
+            fresh = np.arange(self.known.size, self.known.size + len(chosen), dtype=np.int32)
+            self._learn([raw[a:b] for a, b in zip(words.start[chosen].tolist(), words.end[chosen].tolist())])
+            self.known.add(h[chosen], second[chosen], fresh)
+            numbers[missing[order]] = fresh[rank]
         begin, length = self.at[numbers], self.at[numbers + 1] - self.at[numbers]
         ends = np.cumsum(length)
-        of_text = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(sizes)])]
-        counts = np.diff(of_text) + 1
-        owner = np.repeat(np.arange(len(texts)), sizes)
-        place = ends - length + owner  # one more id for every text before
+        counts = np.diff(np.concatenate([[0], ends])[words.first]) + 1
+        owner = np.repeat(np.arange(len(counts)), words.counts)
         out = np.empty(int(counts.sum()), np.uint32)
         out[np.cumsum(counts) - 1] = end
         total = int(ends[-1]) if len(ends) else 0
-        step = np.arange(total) - np.repeat(ends - length, length)
-        out[np.repeat(place, length) + step] = self.flat[np.repeat(begin, length) + step]
+        # ids lie one place further for every text before theirs
+        shift = np.repeat(begin - (ends - length), length)
+        place = np.arange(total)
+        out[place + np.repeat(owner, length)] = self.flat[place + shift]
         return out, counts
 
 
@@ -288,8 +295,7 @@ def _write(path: str, end: int):
         for whole in batches:
             for batch in slices(whole, "text"):
                 data, at = text_bytes(batch.column(batch.schema.get_field_index("text")))
-                raw = data.tobytes()
-                flat, sizes = known.encode([raw[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist())], end)
+                flat, sizes = known.encode(data, at, end)
                 names += batch.column(batch.schema.get_field_index("doc_id")).to_pylist()
                 counts.append(sizes)
                 ids.append(flat)
@@ -303,10 +309,10 @@ def _write(path: str, end: int):
 
 def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end: int = 1, ordered: bool = True, id_column: str = "doc_id", text_column: str = "text") -> None:
     """Write the shards of docs into a new folder; by ascending id (ties by text, null ids first), or in docs' own order."""
-    rows = docs.select(F.col(id_column).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
+    rows = small_batches(docs).select(F.col(id_column).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
     if ordered:
         rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    rows.mapInArrow(_write(tokenizer, end), _SEGMENT).write.parquet(folder)
+    rows.mapInArrow(trimmed(_write(tokenizer, end)), _SEGMENT).write.parquet(folder)
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -328,7 +334,7 @@ def read_digests(spark, folder: str) -> DataFrame:
         bases.append((part, total))
         total += n
     base = spark.createDataFrame(bases, "part int, base bigint")  # a row for each part
-    return segments.join(F.broadcast(base), "part").mapInArrow(_read, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    return segments.join(F.broadcast(base), "part").mapInArrow(trimmed(_read), "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
 def word_tokenizer() -> str:
