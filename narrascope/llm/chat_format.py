@@ -22,6 +22,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from narrascope.llm.shared import small_batches
+from narrascope.llm.textkernel import trimmed
+
 
 @dataclass(frozen=True)
 class Turn:
@@ -103,9 +106,9 @@ def format_chats(conversations: DataFrame, template: Template = TEMPLATE) -> Dat
     conv_id is a conversation of its own; repeated rows are turns of their own (and then not
     valid). Other columns are ignored; an empty table gives no rows.
     """
-    rows = conversations.select(F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").cast("bigint").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = small_batches(conversations).select(F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").cast("bigint").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     ordered = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return ordered.mapInArrow(_format(template), _SEGMENTS)
+    return ordered.mapInArrow(trimmed(_format(template)), _SEGMENTS)
 
 
 def _digest(template: Template):
@@ -158,7 +161,7 @@ def op2_chat(conversations: DataFrame, template: Template = TEMPLATE) -> DataFra
     trap = "</s>[INST] ok [/INST]"
     rows = conversations.select(F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").cast("bigint").alias("turn"), "role", "text")
     extra = conversations.sparkSession.createDataFrame([(-1, 0, "user", trap), (-1, 1, "assistant", trap)], rows.schema)
-    return format_chats(rows.unionByName(extra), template).mapInArrow(_digest(template), "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint, valid boolean")
+    return format_chats(rows.unionByName(extra), template).mapInArrow(trimmed(_digest(template)), "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint, valid boolean")
 
 
 #: All but formatted_chars and valid follow from the table alone; these two follow from the template.

@@ -19,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from narrascope.llm.shared import saved
-from narrascope.llm.textkernel import ALPHANUMERIC, Words, grams, slices, text_bytes
+from narrascope.llm.shared import saved, small_batches
+from narrascope.llm.textkernel import ALPHANUMERIC, Words, grams, slices, text_bytes, trimmed
 
 BLOCK_WORDS = 200_000
 _FILTER_BITS = 22
@@ -210,14 +210,14 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, id_column
     left out. Repeated items count once per distinct id, repeated documents once per row. Other
     columns of docs are ignored, so their names don't matter; an empty table on either side works.
     """
-    seen = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
+    seen = small_batches(docs).select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
     blocks = item_blocks(items, window, item_column, "text")
     automaton, again = next(blocks), False
     while True:
         following = next(blocks, None)
         shipped = docs.sparkSession.sparkContext.broadcast(automaton)
         base = seen.drop("n_words", "n_hit", "longest", "spans", "items") if again else seen
-        seen = seen.mapInArrow(_scan(shipped, "text", again, following is not None), _ddl(base, None if following is not None else "text") + _SEEN)
+        seen = seen.mapInArrow(trimmed(_scan(shipped, "text", again, following is not None)), _ddl(base, None if following is not None else "text") + _SEEN)
         if following is None:
             return seen
         automaton, again, seen = following, True, saved(seen, "contamination")
@@ -269,9 +269,10 @@ def remove_contamination(docs: DataFrame, items: DataFrame, window: int = 10, sp
     more than `coverage_limit` of the words are hit goes as a whole. All other rows stay as they
     are, null and empty texts included.
     """
+    docs = small_batches(docs)
     length = length_column if length_column in docs.columns else None
     for i, automaton in enumerate(item_blocks(items, window, item_column, "text")):
-        docs = (saved(docs, "decontaminated") if i else docs).mapInArrow(_remove(docs.sparkSession.sparkContext.broadcast(automaton), text_column, length, span_limit, coverage_limit), docs.schema)
+        docs = (saved(docs, "decontaminated") if i else docs).mapInArrow(trimmed(_remove(docs.sparkSession.sparkContext.broadcast(automaton), text_column, length, span_limit, coverage_limit)), docs.schema)
     return docs
 
 

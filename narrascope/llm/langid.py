@@ -17,8 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from narrascope.llm.shared import fold
-from narrascope.llm.textkernel import slices, text_bytes
+from narrascope.llm.shared import fold, small_batches
+from narrascope.llm.textkernel import slices, text_bytes, trimmed
 
 WINDOW, UNITS, PAD = 64, 8, 256
 SAMPLE_PER_LANGUAGE, SAMPLE_ROWS, WINDOWS_PER_TEXT = 400, 8_000, 6
@@ -159,12 +159,12 @@ def _windows(text_column: str):
 
 def fit(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, rows: int = SAMPLE_ROWS) -> ByteNetwork | None:
     """Train on (doc_id, text, lang): per language the `per_language` documents with the least hashed ids, `rows` in all at most."""
-    good = labelled.where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL")
+    good = small_batches(labelled).where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL")
     order = F.xxhash64(F.col("doc_id").cast("string"))
     chosen = good.select("doc_id", "lang", order.alias("o")).withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("o", "doc_id"))).where(F.col("rank") <= per_language)
     chosen = chosen.orderBy("rank", "lang").limit(rows).select(F.col("doc_id").alias("id"), F.col("lang").alias("l"), "rank")
     sample = good.join(F.broadcast(chosen), (F.col("doc_id") == F.col("id")) & (F.col("lang") == F.col("l"))).select("rank", "lang", "text")
-    found = sorted(tuple(r) for r in sample.mapInArrow(_windows("text"), "rank int, lang string, window binary").collect())
+    found = sorted(tuple(r) for r in sample.mapInArrow(trimmed(_windows("text")), "rank int, lang string, window binary").collect())
     if not found:
         return None
     languages = sorted({x[1] for x in found})
@@ -178,6 +178,7 @@ def fit(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, rows: int
 
 def predictions(docs: DataFrame, network: ByteNetwork | None, keep: list[str] | None = None, text_column: str = "text") -> DataFrame:
     """The columns `keep` of docs with lang_pred and score; `und` and 0 for a text that is null or has no letter, or without a network."""
+    docs = small_batches(docs)
     kept = docs.columns if keep is None else keep
     letters = F.coalesce(F.col(text_column).rlike(r"\p{L}"), F.lit(False))
     rows = docs.withColumn("has_letter", letters).select(*dict.fromkeys([*kept, text_column]), "has_letter") if text_column in docs.columns else docs
@@ -197,7 +198,7 @@ def predictions(docs: DataFrame, network: ByteNetwork | None, keep: list[str] |
                 yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in kept), pa.array(names, pa.string()), pa.array(score, pa.float64())], names=[*kept, "lang_pred", "score"])
 
     ddl = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in kept)
-    return rows.mapInArrow(run, ddl + "lang_pred string, score double")
+    return rows.mapInArrow(trimmed(run), ddl + "lang_pred string, score double")
 
 
 def held_out(id_column: Column) -> Column:
@@ -219,7 +220,7 @@ def op6_language(docs: DataFrame) -> DataFrame:
 
 def keep_identified(docs: DataFrame, least: float = 0.3) -> DataFrame:
     """docs without rows whose language can't be told: `und`, or a pooled probability under `least`. Learns from all labelled rows."""
-    rows = docs.select("doc_id", "text", "lang")
+    rows = small_batches(docs).select("doc_id", "text", "lang")
     network = fit(rows)
     shipped = docs.sparkSession.sparkContext.broadcast(network)
 
@@ -233,4 +234,4 @@ def keep_identified(docs: DataFrame, least: float = 0.3) -> DataFrame:
                     keep = model.documents(*text_bytes(column)).max(axis=1) >= least
                 yield batch.filter(pa.array(keep))
 
-    return docs.where(F.col("text").rlike(r"\p{L}")).mapInArrow(run, docs.schema)
+    return docs.where(F.col("text").rlike(r"\p{L}")).mapInArrow(trimmed(run), docs.schema)

@@ -20,7 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from narrascope.llm.textkernel import ALPHANUMERIC, U, Words, grams, hash_word_list, slices, text_bytes
+from narrascope.llm.shared import small_batches
+from narrascope.llm.textkernel import ALPHANUMERIC, U, Words, grams, hash_word_list, slices, text_bytes, trimmed
 
 # Phrases and their labels.
 PHRASES = {
@@ -104,7 +105,7 @@ def license_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     spark = docs.sparkSession
     places = [(0, "", False, 0, END, 0)] + [(t, label, phrase, size, h, p) for t, label, phrase, size, hashes in known for p, h in enumerate(hashes)]
     fixed = spark.createDataFrame(places, "template int, label string, phrase boolean, size int, hash bigint, at bigint")  # a constant table
-    rolled = docs.select(F.col(id_column).cast("bigint").alias("doc_id"), F.col(text_column).alias("text")).mapInArrow(_rolling([h for *_, hs in known for h in hs]), "doc_id bigint, content bigint, places array<bigint>, hashes array<bigint>")
+    rolled = small_batches(docs).select(F.col(id_column).cast("bigint").alias("doc_id"), F.col(text_column).alias("text")).mapInArrow(trimmed(_rolling([h for *_, hs in known for h in hs])), "doc_id bigint, content bigint, places array<bigint>, hashes array<bigint>")
     each = rolled.select("doc_id", "content", F.explode(F.arrays_zip("places", "hashes")).alias("g")).select("doc_id", "content", F.col("g.places").alias("place"), F.col("g.hashes").alias("hash"))
     votes = each.join(F.broadcast(fixed), "hash").withColumn("diagonal", F.col("place") - F.col("at"))
     whose = ["doc_id", "content"]

@@ -22,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from narrascope.llm.shared import saved
-from narrascope.llm.textkernel import SPACED, U, Words, grams, mix, slices, text_bytes
+from narrascope.llm.shared import saved, small_batches
+from narrascope.llm.textkernel import SPACED, U, Words, grams, mix, slices, text_bytes, trimmed
 
 BANDS, ROWS = 24, 5
 SAMPLES = BANDS * ROWS
@@ -279,8 +279,8 @@ def near_duplicates(docs: DataFrame, words: int = 3, num: int = 85, den: int = 1
     has a null component_id and is kept. Rows that repeat a doc_id each get their own set; equal
     rows get equal results. Other columns of docs are ignored; an empty table gives no rows.
     """
-    rows = docs.select(F.col(id_column).cast("bigint").alias("doc_id"), F.col(text_column).alias("text"))
-    described = saved(rows.mapInArrow(_describe(words, "doc_id", "text"), "doc_id bigint, n_shingles bigint, node bigint, bands array<bigint>, sketch array<bigint>"), "described")
+    rows = small_batches(docs).select(F.col(id_column).cast("bigint").alias("doc_id"), F.col(text_column).alias("text"))
+    described = saved(rows.mapInArrow(trimmed(_describe(words, "doc_id", "text")), "doc_id bigint, n_shingles bigint, node bigint, bands array<bigint>, sketch array<bigint>"), "described")
     linkable = described.where("node IS NOT NULL AND doc_id IS NOT NULL")
     nodes = saved(linkable.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "nodes")
     most = most_different_bits(num / den)
@@ -296,12 +296,12 @@ def near_duplicates(docs: DataFrame, words: int = 3, num: int = 85, den: int = 1
     )
     sketches = nodes.select("node", "sketch")
     cell = ["a", "i", "j"]
-    likely = saved(cells.join(sketches, "node").repartition(*cell).sortWithinPartitions(*cell).mapInArrow(_plausible(most), "a bigint, i int, j int, node bigint, blk int"), "likely")
+    likely = saved(cells.join(sketches, "node").repartition(*cell).sortWithinPartitions(*cell).mapInArrow(trimmed(_plausible(most)), "a bigint, i int, j int, node bigint, blk int"), "likely")
     needed = nodes.select("node", "doc_id").join(likely.select("node").distinct(), "node", "left_semi")
     texts = rows.join(needed, "doc_id")
-    sets = saved(texts.select("node", "text").mapInArrow(_sets(words), "node bigint, shingles binary"), "sets").dropDuplicates(["node"])
+    sets = saved(texts.select("node", "text").mapInArrow(trimmed(_sets(words)), "node bigint, shingles binary"), "sets").dropDuplicates(["node"])
     full = likely.join(sketches, "node").join(sets, "node")
-    edges = full.repartition(*cell).sortWithinPartitions(*cell, "node").mapInArrow(_links(num, den, most), "a bigint, b bigint")
+    edges = full.repartition(*cell).sortWithinPartitions(*cell, "node").mapInArrow(trimmed(_links(num, den, most)), "a bigint, b bigint")
     parts = saved(components(edges), "parts")
     least = nodes.select("node", "doc_id").join(parts, "node").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     labels = parts.join(least, "comp").select("node", "component_id")
