@@ -130,7 +130,7 @@ def token_score(outer: Column, inner: Column) -> Column:
     grey = ((a == "grey") & (b == "gray")) | ((a == "gray") & (b == "grey"))
     plural = (b == F.concat(a, F.lit("s"))) | (a == F.concat(b, F.lit("s")))
     short = F.endswith(b, F.lit(".")) & F.startswith(a, F.substr(b, F.lit(1), F.greatest(F.length(b) - 1, F.lit(0))))
-    return let(similarity(a, b), lambda r: F.when(grey, 1.0).when(plural, 0.0).when(is_title(a) | is_title(b), 0.0).when(short, 0.5).when(r >= 80, r / 100.0).otherwise(0.0))
+    return let(similarity(a, b), lambda r: F.when(grey, 1.0).when(plural, 0.0).when(is_title(outer) | is_title(inner) | is_title(a) | is_title(b), 0.0).when(short, 0.5).when(r >= 80, r / 100.0).otherwise(0.0))
 
 
 def name_score(outer: Column, inner: Column) -> Column:

@@ -39,7 +39,7 @@ def normalized(text: Column) -> Column:
 
 def split_characters(heading: Column) -> Column:
     """`A, B and C` as a list; a bare title takes the last name of what follows it. Without ` and ` the heading is one name."""
-    parts = F.filter(F.transform(F.split(F.replace(heading, F.lit(" and "), F.lit(",")), ","), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(F.replace(heading, F.lit(" and "), F.lit(",")), ","), lambda x: F.trim(x)), lambda x: x != "")
     named = let(parts, lambda p: F.transform(p, lambda x, i: F.when(x.isin(list(TITLES)) & F.get(p, i + 1).isNotNull(), F.concat_ws(" ", x, F.element_at(F.split(F.get(p, i + 1), r"\s+"), -1))).otherwise(x)))
     return F.when(F.contains(heading, F.lit(" and ")), named).otherwise(F.array(heading))
 

@@ -1 +1,300 @@
+"""Queries on names: references, closure, labels, matching, relations from descriptions."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from narrascope.operators import cooccurrence as co
+from narrascope.operators import coref, labels
+from narrascope.operators import relations as rel
+from narrascope.operators.frames import saved, table
+from narrascope.plans.base import query, values
+
+NAMES = [
+    "Tom", "Tom Sawyer", "Sid Sawyer", "Sally Sawyer", "Mr. Tom", "Mr. Sawyer", "Mrs. Sawyer", "T. Sawyer", "Doctor Sawyer", "Monsieur Sawyer", "Huck", "Huckleberry", "Huck Finn", "Huckleberry Finn",
+    "Mr. Finn", "Sawyer", "Sawyers", "Fred Weasley", "Freddy Weasley", "Frederick Weasley", "Tweedledee", "Tweedledum", "Monsieur", "D'Artagan", "d'Artagan", "The Sid",
+]
+GENDERS = [("tom", "MALE"), ("sid", "MALE"), ("sally", "FEMALE"), ("huck", "MALE"), ("fred", "MALE"), ("mina", "FEMALE"), ("jonathan", "MALE"), ("lucy", "FEMALE")]
+CANDIDATES = [
+    "Dr. Van Helsing", "Lord Godalming", "Jonathan Harker", "Dr. Seward", "Count", "Lucy Westenra", "Mr. Hawkins", "Renfield", "Arthur", "Mr. Quincey", "Mrs. Harker", "Quincey Morris", "friend John", "Professor", "Mina Murray", "Mr. Morris",
+]
+CHARACTERS = [
+    ("Count Dracula", ["Dracula"]), ("Van Helsing", ["Abraham Van Helsing"]), ("Jonathan Harker", []), ("Mina Murray", ["Mina Harker"]), ("Lucy Westenra", []), ("John Seward", ["Dr. John Seward"]), ("Arthur Holmwood", ["Lord Godalming"]), ("Quincey Morris", []), ("Renfield", []), ("Mrs. Westenra", []),
+]
+RELATED = [("Jonathan Harker", "Mina Murray"), ("Lucy Westenra", "Mina Murray"), ("Arthur Holmwood", "Lucy Westenra"), ("John Seward", "Renfield")]
+
+# name -> tokens as a list, strict matching of two tokens, greedy matching in order: all in SQL
+_STRICT = "(CASE WHEN ends_with({b}, '.') AND NOT ends_with({a}, '.') AND (starts_with({a}, {b}[:-2]) OR (length({b}) = 3 AND starts_with({a}, {b}[1]) AND ends_with({a}, {b}[2]))) THEN true ELSE {a} = {b} END)"
+_UNCAP = "lower(x[1]) || x[2:]"
+
+
+def _strict(a: str, b: str) -> str:
+    return _STRICT.format(a=a, b=b)
+
+
+def edges_sql(table: str) -> str:
+    """CTEs up to `edges(book_id, src, dst)`, strict containment between the names of table(book_id, k)."""
+    return f"""RECURSIVE n AS (SELECT book_id, k, list_transform(string_split(k, ' '), lambda x: {_UNCAP}) AS g FROM {table}),
+prs AS (SELECT a.book_id, a.k AS src, b.k AS dst, a.g AS inn, b.g AS out FROM n a JOIN n b ON a.book_id = b.book_id AND a.k <> b.k WHERE {_strict("b.g[1]", "a.g[1]")} OR {_strict("b.g[-1]", "a.g[-1]")}),
+walk AS (SELECT *, 1 AS o, 1 AS i FROM prs
+  UNION ALL SELECT book_id, src, dst, inn, out, o + 1, CASE WHEN i <= len(inn) AND {_strict("out[o]", "inn[i]")} THEN i + 1 ELSE i END FROM walk WHERE o <= len(out)),
+edges AS (SELECT DISTINCT book_id, src, dst FROM walk WHERE i = len(inn) + 1)"""
+
+
+_NAMES_SQL = "(SELECT 'b' AS book_id, k FROM " + values([(n,) for n in NAMES], "k") + ")"
+CLOSED = edges_sql(_NAMES_SQL) + ",\nclosed AS (SELECT book_id, src, dst FROM edges UNION SELECT c.book_id, c.src, e.dst FROM closed c JOIN edges e ON e.book_id = c.book_id AND e.src = c.dst),\nfar AS (SELECT * FROM closed WHERE src <> dst)"
+
+
+def names(spark: SparkSession, listed: list[str] = NAMES, book: str = "b") -> DataFrame:
+    return spark.createDataFrame([(book, n) for n in listed], "book_id string, gram_key string").withColumn("gram", F.split("gram_key", " "))
+
+
+def genders(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(GENDERS, "name string, gender string")
+
+
+@query("WITH " + edges_sql(_NAMES_SQL) + " SELECT book_id, src, dst FROM edges")
+def partial_reference(spark, folder):
+    return coref.partial_edges(names(spark))
+
+
+@query()
+def nickname_similarity(spark, folder):
+    return coref.nickname_edges(names(spark))
+
+
+@query()
+def title_resolution(spark, folder):
+    return coref.title_edges(names(spark), genders(spark))
+
+
+@query()
+def reference_edges(spark, folder):
+    return coref.reference_edges(names(spark), genders(spark))
+
+
+@query("WITH " + CLOSED + " SELECT book_id, src, dst FROM far")
+def coref_closure(spark, folder):
+    return coref.closure(coref.partial_edges(names(spark)))
+
+
+@query(
+    "WITH "
+    + CLOSED
+    + """, mutual AS (SELECT a.* FROM far a JOIN far b ON a.src = b.dst AND a.dst = b.src),
+stays AS (SELECT * FROM far EXCEPT SELECT * FROM mutual WHERE string_split(src, ' ') > string_split(dst, ' '))
+SELECT book_id, k AS gram_key FROM n WHERE k NOT IN (SELECT src FROM stays)"""
+)
+def unique_characters(spark, folder):
+    n = names(spark)
+    return coref.unique_names(n, coref.closure(coref.partial_edges(n))).select("book_id", "gram_key")
+
+
+_WEIGHTED = "length(k) AS count, length(k) % 5 AS count_st"
+
+
+def name_features(spark: SparkSession) -> DataFrame:
+    return names(spark).select("book_id", "gram_key", F.length("gram_key").alias("count"), (F.length("gram_key") % 5).alias("count_st"))
+
+
+@query(
+    "WITH "
+    + CLOSED
+    + f""", f AS (SELECT book_id, k, {_WEIGHTED} FROM n),
+e AS (SELECT src AS k, dst AS o, 'longer' AS kind FROM far UNION ALL SELECT dst, src, 'shorter' FROM far)
+SELECT f.book_id, f.k AS gram_key, coalesce(max((kind = 'shorter')::INT), 0) AS coref_shorter, coalesce(sum(o.count) FILTER (kind = 'shorter'), 0)::BIGINT AS coref_shorter_count, coalesce(sum(o.count_st) FILTER (kind = 'shorter'), 0)::BIGINT AS coref_shorter_count_st,
+  coalesce(max((kind = 'longer')::INT), 0) AS coref_longer, coalesce(sum(o.count) FILTER (kind = 'longer'), 0)::BIGINT AS coref_longer_count, coalesce(sum(o.count_st) FILTER (kind = 'longer'), 0)::BIGINT AS coref_longer_count_st
+FROM f LEFT JOIN e ON e.k = f.k LEFT JOIN f o ON o.k = e.o GROUP BY ALL"""
+)
+def coref_features(spark, folder):
+    return coref.neighbour_features(coref.closure(coref.partial_edges(names(spark))), name_features(spark), ["count", "count_st"])
+
+
+def _pair_scores(spark: SparkSession) -> DataFrame:
+    return coref.ordered_pairs(names(spark)).withColumn("cooc", ((F.length("gram1") * 3 + F.length("gram2")) % 7).cast("bigint"))
+
+
+PAIR_SUMS = (
+    "WITH "
+    + CLOSED
+    + """, near AS (SELECT k AS g, k AS m, 'e' AS kind FROM n UNION ALL SELECT src, dst, 'l' FROM far UNION ALL SELECT dst, src, 's' FROM far),
+p AS (SELECT a.k AS g1, b.k AS g2, ((length(a.k) * 3 + length(b.k)) % 7)::BIGINT AS cooc FROM n a JOIN n b ON a.k <> b.k),
+sums AS (SELECT x.g AS gram1, y.g AS gram2, x.kind || y.kind AS kind, sum(cooc)::BIGINT AS cooc FROM p JOIN near x ON x.m = p.g1 JOIN near y ON y.m = p.g2 WHERE x.g <> y.g AND x.kind || y.kind <> 'ee' GROUP BY ALL)"""
+)
+
+
+@query(PAIR_SUMS + " SELECT 'b' AS book_id, gram1, gram2, kind, cooc FROM sums")
+def coref_pair_sums(spark, folder):
+    return coref.pair_sums(coref.closure(coref.partial_edges(names(spark))), names(spark), _pair_scores(spark), ["cooc"])
+
+
+@query(
+    PAIR_SUMS
+    + ", f AS (SELECT k, length(k) AS count, length(k) % 5 AS count_st FROM n), lk AS (SELECT src AS a, dst AS b FROM far UNION SELECT dst, src FROM far)\nSELECT 'b' AS book_id, p.g1 AS gram1, p.g2 AS gram2, p.cooc, a.count::INT AS \"1_count\", a.count_st::INT AS \"1_count_st\", b.count::INT AS \"2_count\", b.count_st::INT AS \"2_count_st\", "
+    + ", ".join(f"coalesce((SELECT sum(cooc) FROM sums s WHERE s.gram1 = p.g1 AND s.gram2 = p.g2 AND s.kind = '{k}'), 0)::BIGINT AS cooc_{k}" for k in coref.KINDS)
+    + ", (EXISTS (SELECT 1 FROM lk WHERE lk.a = p.g1 AND lk.b = p.g2))::INT AS coref FROM p JOIN f a ON a.k = p.g1 JOIN f b ON b.k = p.g2"
+)
+def pair_features_wide(spark, folder):
+    closed = coref.closure(coref.partial_edges(names(spark)))
+    p = _pair_scores(spark)
+    return coref.pair_frame(p, name_features(spark), ["count", "count_st"], coref.pair_sums(closed, names(spark), p, ["cooc"]), ["cooc"], closed)
+
+
+def characters(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([("b", n, r) for n, r in CHARACTERS], "book_id string, character string, references array<string>")
+
+
+def match_edges(spark: SparkSession) -> DataFrame:
+    return labels.match_edges(characters(spark), names(spark, CANDIDATES), genders(spark))
+
+
+@query()
+def character_match_edges(spark, folder):
+    return match_edges(spark).withColumn("weight", F.round("weight", 6))
+
+
+@query()
+def character_matching(spark, folder):
+    return labels.matching(saved(match_edges(spark), "matches")).withColumn("weight", F.round("weight", 6))
+
+
+@query()
+def label_candidates(spark, folder):
+    edges = saved(match_edges(spark), "matches")
+    return labels.candidate_labels(names(spark, CANDIDATES), edges, labels.matching(edges))
+
+
+@query()
+def relation_labels(spark, folder):
+    edges = saved(match_edges(spark), "matches")
+    related = spark.createDataFrame([("b", *sorted(r)) for r in RELATED], "book_id string, c1 string, c2 string")
+    return labels.pair_labels(labels.candidate_labels(names(spark, CANDIDATES), edges), edges, related)
+
+
+@query()
+def evaluate_candidates(spark, folder):
+    edges = saved(match_edges(spark), "matches")
+    return labels.candidate_quality(names(spark, CANDIDATES), edges, labels.matching(edges), characters(spark))
+
+
+
+
+def paragraphs(spark: SparkSession, folder: str) -> DataFrame:
+    """Conversations as descriptions: a book is a tenth of them by number, a paragraph a conversation, its heading the first word, its text all turns."""
+    t = table(spark, folder, "conversations")
+    each = t.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), " ").alias("text"))
+    return each.select((F.col("conv_id") % 10).alias("book_id"), F.col("conv_id").alias("paragraph_id"), F.regexp_extract("text", "([A-Za-z]+)", 1).alias("heading"), "text")
+
+
+_PARAGRAPHS_SQL = r"""pars AS (SELECT conv_id % 10 AS book_id, conv_id AS paragraph_id, regexp_extract(text, '([A-Za-z]+)', 1) AS heading, text FROM (SELECT conv_id, string_agg(text, ' ' ORDER BY turn) AS text FROM conversations GROUP BY conv_id)),
+refs AS (SELECT DISTINCT book_id, heading AS reference, heading AS character FROM pars),
+sts AS (SELECT book_id, paragraph_id, unnest(s) AS st, generate_subscripts(s, 1) - 1 AS sent_id FROM (SELECT *, string_split(regexp_replace(text, '\.[ \t]+', '.' || chr(1), 'g'), chr(1)) AS s FROM pars)),
+words AS (SELECT book_id, paragraph_id, sent_id, w[:-2] AS w FROM (SELECT *, regexp_extract_all(st, '(?:Mr|Mrs|Ms|Dr|Prof|Jr)\.|''s|[\p{L}\p{N}]+|[^\s\p{L}\p{N}]') AS w FROM sts)),
+each AS (SELECT book_id, paragraph_id, sent_id, unnest(w) AS word FROM words),
+fam AS (SELECT book_id, paragraph_id, sent_id, unnest(range(1, len(w))) AS i, w FROM words),
+fams AS (SELECT book_id, paragraph_id, sent_id, CASE WHEN len(w) >= i + 2 AND w[i + 2] IN ('children', 'house', 'family', 'people') AND EXISTS (SELECT 1 FROM refs r WHERE r.book_id = fam.book_id AND r.reference = w[i + 1]) THEN w[i + 1] ELSE w[i + 1][:-2] END AS last, w[i + 1] AS nextw FROM fam WHERE w[i] IN ('the', 'The') AND (ends_with(w[i + 1], 's') OR (len(w) >= i + 2 AND w[i + 2] IN ('children', 'house', 'family', 'people')))),
+seen AS (SELECT DISTINCT book_id, paragraph_id, sent_id, character FROM each JOIN refs USING (book_id) WHERE word = reference
+  UNION SELECT DISTINCT f.book_id, paragraph_id, sent_id, character FROM fams f JOIN refs r ON r.book_id = f.book_id AND r.character = f.last AND regexp_matches(r.character, '^[A-Z]')),
+others AS (SELECT s.* FROM seen s JOIN pars p USING (book_id, paragraph_id) WHERE s.character <> p.heading)"""
+
+
+@query("WITH " + _PARAGRAPHS_SQL + " SELECT DISTINCT book_id, least(character, heading) AS c1, greatest(character, heading) AS c2 FROM others JOIN pars USING (book_id, paragraph_id)")
+def relations_from_descriptions(spark, folder):
+    return rel.from_descriptions(saved(paragraphs(spark, folder), "paragraphs"))
+
+
+@query(
+    "WITH "
+    + _PARAGRAPHS_SQL
+    + """, pred AS (SELECT DISTINCT book_id, least(character, heading) AS c1, greatest(character, heading) AS c2 FROM others JOIN pars USING (book_id, paragraph_id)),
+truth AS (SELECT DISTINCT a.book_id, least(a.heading, b.heading) AS c1, greatest(a.heading, b.heading) AS c2 FROM pars a JOIN pars b ON a.book_id = b.book_id AND b.paragraph_id = a.paragraph_id + 10 WHERE a.heading <> b.heading),
+j AS (SELECT coalesce(p.book_id, t.book_id) AS book_id, p.c1 IS NOT NULL AS p, t.c1 IS NOT NULL AS t FROM pred p FULL JOIN truth t ON p.book_id = t.book_id AND p.c1 = t.c1 AND p.c2 = t.c2)
+SELECT book_id, round(coalesce(count(*) FILTER (p AND t) / nullif(count(*) FILTER (p), 0), 1.0), 9) AS precision, round(count(*) FILTER (p AND t) / nullif(count(*) FILTER (t), 0), 9) AS recall FROM j GROUP BY ALL"""
+)
+def relation_compare(spark, folder):
+    p = saved(paragraphs(spark, folder), "paragraphs")
+    after = p.select("book_id", (F.col("paragraph_id") - 10).alias("paragraph_id"), F.col("heading").alias("h2"))
+    true = p.join(after, ["book_id", "paragraph_id"]).where("heading <> h2").select("book_id", F.least("heading", "h2").alias("c1"), F.greatest("heading", "h2").alias("c2"))
+    found = rel.compare(rel.from_descriptions(p), true)
+    return found.select("book_id", F.round("precision", 9).alias("precision"), F.round("recall", 9).alias("recall"))
+
+
+@query(
+    """WITH spans AS (SELECT doc_id, source AS book_id, n_chars, sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id)::BIGINT AS stop FROM documents), spots AS (SELECT source AS book_id, unnest(range(0, sum(n_chars)::BIGINT, 5000)) AS s FROM documents GROUP BY source)
+SELECT s.book_id, s.s, p.doc_id AS paragraph_id FROM spots s JOIN spans p ON s.book_id = p.book_id AND p.stop - n_chars <= s AND s < p.stop"""
+)
+def range_mention_paragraph(spark, folder):
+    from pyspark.sql import Window
+
+    d = table(spark, folder, "documents").select(F.col("source").alias("book_id"), F.col("doc_id").cast("int").alias("paragraph_id"), "n_chars")
+    stop = F.sum("n_chars").over(Window.partitionBy("book_id").orderBy("paragraph_id"))
+    spans = d.withColumn("stop", stop).select("book_id", "paragraph_id", (F.col("stop") - F.col("n_chars")).cast("int").alias("start"), F.col("stop").cast("int").alias("stop")).where("start < stop")
+    spots = d.groupBy("book_id").agg(F.sum("n_chars").alias("n")).where("n > 0").select("book_id", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1, F.lit(5000))).alias("s"))
+    return rel.mention_paragraphs(spots, spans).select("book_id", F.col("s").cast("bigint").alias("s"), F.col("paragraph_id").cast("bigint").alias("paragraph_id"))
+
+
+_OCC = "occ AS (SELECT l_returnflag AS book_id, l_orderkey AS s, l_suppkey AS item, count(*) AS n FROM lineitem GROUP BY ALL)"
+_W = ", w AS (SELECT book_id, item, sum(n) / sum(sum(n)) OVER (PARTITION BY book_id) AS w FROM occ GROUP BY book_id, item), num AS (SELECT book_id, count(DISTINCT s) AS num FROM occ GROUP BY ALL), cnt AS (SELECT book_id, item, count(*) AS count_s FROM occ GROUP BY ALL), sh AS (SELECT *, count_s / sum(count_s) OVER (PARTITION BY book_id) AS ws FROM cnt)"
+
+
+def orders(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Order lines as occurrences: a book is a return flag, a section an order, an item a supplier; and each item's share of its book's lines."""
+    lines = table(spark, folder, "lineitem").select(F.col("l_returnflag").alias("book_id"), F.lit("order").alias("section_type"), F.col("l_orderkey").alias("section_id"), F.col("l_suppkey").alias("item"))
+    counts = lines.groupBy("book_id", "item").agg(F.count("*").alias("n"))
+    return lines, counts.select("book_id", "item", (F.col("n") / F.sum("n").over(co.Window.partitionBy("book_id"))).alias("w"))
+
+
+def _rounded(df: DataFrame, digits: int = 9) -> DataFrame:
+    return df.select(*(F.round(n, digits).alias(n) if k == "double" else F.col(n) for n, k in df.dtypes))
+
+
+@query("WITH " + _OCC + _W + " SELECT book_id, 'order' AS section_type, item, count_s, round(count_s / num, 9) AS count_norm_length_s, round(ws, 9) AS count_norm_char_s FROM sh JOIN num USING (book_id)")
+def section_counts(spark, folder):
+    return _rounded(co.section_counts(orders(spark, folder)[0]))
+
+
+@query(
+    "WITH "
+    + _OCC
+    + _W
+    + """, c AS (SELECT a.book_id, a.item AS i, b.item AS j, count(*) AS c FROM occ a JOIN occ b USING (book_id, s) GROUP BY ALL), r AS (SELECT *, sum(c) OVER (PARTITION BY book_id, i) AS row FROM c),
+f AS (SELECT r.book_id, i AS item, sum(c)::BIGINT AS cooc_cand_s, sum(c / row * ws) AS a1, sum(c / row * w) AS a2, sum(ws) AS a3, sum(w) AS a4 FROM r JOIN sh ON sh.book_id = r.book_id AND sh.item = j JOIN w ON w.book_id = r.book_id AND w.item = j GROUP BY ALL),
+top AS (SELECT book_id, item FROM w QUALIFY row_number() OVER (PARTITION BY book_id ORDER BY w DESC, item) <= 40), ms AS (SELECT DISTINCT book_id, s FROM occ JOIN top USING (book_id, item)), m AS (SELECT book_id, item, count(*) AS cooc_sec_s FROM occ JOIN ms USING (book_id, s) GROUP BY ALL)
+SELECT sh.book_id, 'order' AS section_type, sh.item, count_s, round(count_s / num, 9) AS count_norm_length_s, round(ws, 9) AS count_norm_char_s, cooc_cand_s, round(a1, 9) AS cooc_cand_norm_sec_s, round(a2, 9) AS cooc_cand_norm_char_s, round(a3, 9) AS cooc_cand_dd_norm_sec_s, round(a4, 9) AS cooc_cand_dd_norm_char_s,
+  coalesce(cooc_sec_s, 0) AS cooc_sec_s, round(coalesce(cooc_sec_s, 0) / num, 9) AS cooc_sec_norm_length_s FROM sh JOIN num USING (book_id) JOIN f USING (book_id, item) LEFT JOIN m USING (book_id, item)"""
+)
+def cooc_features(spark, folder):
+    occurrences, weights = orders(spark, folder)
+    return _rounded(co.features(occurrences, weights))
+
+
+@query(
+    "WITH "
+    + _OCC
+    + _W
+    + ", top AS (SELECT book_id, item FROM w QUALIFY row_number() OVER (PARTITION BY book_id ORDER BY w DESC, item) <= 40), ms AS (SELECT DISTINCT book_id, s FROM occ JOIN top USING (book_id, item)) SELECT book_id, 'order' AS section_type, item, count(*) AS cooc_sec_s, round(count(*) / any_value(num), 9) AS cooc_sec_norm_length_s FROM occ JOIN ms USING (book_id, s) JOIN num USING (book_id) GROUP BY book_id, item"
+)
+def cooc_major(spark, folder):
+    occurrences, weights = orders(spark, folder)
+    return _rounded(co.with_major(occurrences, weights))
+
+
+_EVENTS = "occ AS (SELECT DISTINCT 'events' AS book_id, user_id::VARCHAR || '/' || strftime(ts, '%Y-%m-%d') AS s, event_type AS item FROM events)"
+
+
+@query("WITH " + _EVENTS + " SELECT 'events' AS book_id, 'day' AS section_type, a.item, b.item AS other, count(*) AS cooc FROM occ a JOIN occ b USING (s) GROUP BY ALL")
+def cooc_pairs(spark, folder):
+    e = table(spark, folder, "events").select(F.lit("events").alias("book_id"), F.lit("day").alias("section_type"), F.concat_ws("/", F.col("user_id").cast("string"), F.date_format("ts", "yyyy-MM-dd")).alias("section_id"), F.col("event_type").alias("item"))
+    return co.pairs(e)
+
+
+@query(
+    "WITH "
+    + _OCC
+    + _W
+    + """, c AS (SELECT a.book_id, a.item AS i, b.item AS j, count(*) AS c FROM occ a JOIN occ b USING (book_id, s) GROUP BY ALL), r AS (SELECT *, sum(c) OVER (PARTITION BY book_id, i) AS row FROM c)
+SELECT r.book_id, 'order' AS section_type, i AS item, j AS other, c AS cooc, round(c / row * ws, 9) AS cooc_norm_sec, round(c / row * w, 9) AS cooc_norm_char, 1 AS cooc_bool, round(ws, 9) AS cooc_bool_norm_sec, round(w, 9) AS cooc_bool_norm_char FROM r JOIN sh ON sh.book_id = r.book_id AND sh.item = j JOIN w ON w.book_id = r.book_id AND w.item = j WHERE i <> j"""
+)
+def pair_cooc_features(spark, folder):
+    return _rounded(co.pair_features(*orders(spark, folder)))

@@ -1 +1,176 @@
+"""Queries on stored tables: pages, book lists, sections of token streams, partitions and checks."""
 
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from narrascope.functions import text as ft
+from narrascope.operators import candidates as c
+from narrascope.operators import crossref as x
+from narrascope.operators import tokens as t
+from narrascope.operators.frames import shared_folder, table
+from narrascope.plans.base import query, values
+from narrascope.sources import sinks
+from narrascope.streaming import books
+
+
+@query("SELECT page_id, link FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a[^>]*href=\"([^\"]*)\"', 1)) AS link FROM pages) GROUP BY ALL")
+def html_links(spark, folder):
+    return table(spark, folder, "pages").select("page_id", F.explode(ft.html_links(F.col("html"))).alias("link")).distinct()
+
+
+@query(
+    """WITH links AS (SELECT DISTINCT unnest(regexp_extract_all(html, '<a[^>]*href="([^"]*)"', 1)) AS link FROM pages)
+SELECT slug, count(*) AS n FROM (SELECT regexp_replace(CASE WHEN starts_with(link, '/') THEN link[2:] ELSE link END, '/+$', '') AS slug FROM links) WHERE slug <> '' AND NOT starts_with(slug, 'index') GROUP BY slug"""
+)
+def html_link_slugs(spark, folder):
+    links = table(spark, folder, "pages").select(F.explode(ft.html_links(F.col("html"))).alias("link")).distinct()
+    return links.select(ft.url_slug(F.col("link"), "/").alias("slug")).where("slug <> '' AND NOT startswith(slug, 'index')").groupBy("slug").agg(F.count("*").alias("n"))
+
+
+def _element(tag: str) -> str:
+    return f"lower(trim(regexp_replace(regexp_extract(html, '(?s)<{tag}(?:\\s[^>]*)?>(.*?)</{tag}>', 1), '<[^>]*>', '', 'g')))"
+
+
+@query(f"SELECT page_id, {_element('title')} AS title, {_element('h1')} AS heading FROM pages")
+def html_title(spark, folder):
+    return table(spark, folder, "pages").select("page_id", ft.html_element(F.col("html"), "title").alias("title"), ft.html_element(F.col("html"), "h1").alias("heading"))
+
+
+@query(
+    r"""WITH b AS (SELECT page_id, unnest(regexp_extract_all(html, '(?s)<div[^>]*class="ad"[^>]*>.*?</div>')) AS block FROM pages),
+x AS (SELECT page_id, regexp_extract(block, 'id="([^"]*)"', 1) AS id, trim(regexp_replace(regexp_replace(regexp_replace(block, '(?s)<!--.*?-->', '', 'g'), '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS body FROM b)
+SELECT page_id, id, CASE WHEN ends_with(body, '.') THEN body ELSE body || '.' END AS body, count(*) AS n FROM x GROUP BY ALL"""
+)
+def html_blocks(spark, folder):
+    b = table(spark, folder, "pages").select("page_id", F.explode(ft.html_blocks(F.col("html"), "ad")).alias("b"))
+    return b.groupBy("page_id", F.col("b.id").alias("id"), F.col("b.text").alias("body")).agg(F.count("*").alias("n"))
+
+
+_INDEX = "SELECT doc_id AS entry_id, lower(text) AS entry FROM documents"
+
+
+@query(
+    f"""WITH books AS (SELECT item_id AS book_id, regexp_extract(lower(text), '^(\\S+ \\S+)', 1) AS t, regexp_extract(lower(text), '(\\S+)$', 1) AS last, item_id % 7 = 3 AS odd FROM benchmark WHERE item_id % 10 <> 9),
+idx AS ({_INDEX}), hits AS (SELECT book_id, entry_id, contains(regexp_replace(entry, '\\s+', ' ', 'g'), 'by ' || last) OR (regexp_matches(entry, '\\bby\\b') AND contains(regexp_extract(entry, '(?s)\\bby\\b(.*)', 1), last)) AS good FROM books JOIN idx ON contains(entry, t) WHERE NOT odd),
+a AS (SELECT book_id, min(entry_id) FILTER (good) AS g, min(entry_id) AS u FROM hits GROUP BY book_id)
+SELECT b.book_id, CASE WHEN g IS NOT NULL THEN 'good' WHEN u IS NOT NULL THEN 'ugly' ELSE 'bad' END AS class, coalesce(g, u) AS entry_id, odd AS blacklisted FROM books b LEFT JOIN a USING (book_id)"""
+)
+def crossref_good_ugly_bad(spark, folder):
+    items = table(spark, folder, "benchmark")
+    listed = items.select(
+        F.col("item_id").alias("book_id"), F.regexp_extract(F.lower("text"), r"^(\S+ \S+)", 1).alias("title"), F.regexp_extract("text", r"(\S+)$", 1).alias("author"), F.when(F.col("item_id") % 7 == 3, "a play").otherwise("a novel").alias("description")
+    )
+    index = table(spark, folder, "documents").select(F.col("doc_id").alias("entry_id"), F.col("text").alias("entry"))
+    return x.crossref(listed, index, items.where("item_id % 10 = 9").select(F.col("item_id").alias("book_id")))
+
+
+@query(
+    """WITH t AS (SELECT user_id AS book_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r, ts, coalesce(floor(epoch(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) / 86400), 0) AS gap FROM events)
+SELECT book_id, max(st)::BIGINT AS book_num_st, max(pg)::BIGINT AS book_num_pg, max(cp)::BIGINT AS book_num_cp FROM (SELECT book_id, sum((r % 4 = 1)::INT) OVER w AS st, sum((r = 1 OR gap >= 2)::INT) OVER w AS pg, sum((r = 1 OR gap >= 3)::INT) OVER w AS cp FROM t WINDOW w AS (PARTITION BY book_id ORDER BY r)) GROUP BY book_id"""
+)
+def gap_sections(spark, folder):
+    """Sections of a stream by its gaps: events stand for tokens, days between them for newlines, every fourth begins a sentence."""
+    w = c.Window.partitionBy("book_id").orderBy("ts", "event_id")
+    e = table(spark, folder, "events").select(F.col("user_id").alias("book_id"), "event_id", "ts").withColumn("begin", F.row_number().over(w))
+    e = e.withColumn("us", F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)"))
+    gap = F.floor((F.col("us") - F.lag("us").over(w)) / 86_400_000_000)
+    tokens = e.select("book_id", ((F.col("begin") - 1) % 4).alias("tok_idx"), "begin", F.coalesce(gap, F.lit(0)).cast("int").alias("nl_before"))
+    return t.book_stats(t.sections(tokens)).drop("book_num_chars")
+
+
+@query(
+    """WITH m AS (SELECT o_custkey AS book_id, o_orderdate AS at, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS marker FROM orders), s AS (SELECT o_custkey AS book_id, o_orderdate AS at FROM orders WHERE o_orderkey % 3 = 0)
+SELECT s.book_id, epoch(s.at)::BIGINT AS begin, max(m.marker) AS section_id FROM (SELECT DISTINCT * FROM s) s JOIN m ON m.book_id = s.book_id AND m.at <= s.at GROUP BY ALL"""
+)
+def as_of_section(spark, folder):
+    o = table(spark, folder, "orders").select(F.col("o_custkey").alias("book_id"), F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', o_orderdate)").alias("begin"), "o_orderkey")
+    markers = o.select("book_id", "begin", F.row_number().over(c.Window.partitionBy("book_id").orderBy("begin", "o_orderkey")).alias("marker"))
+    return t.as_of_sections(o.where("o_orderkey % 3 = 0").select("book_id", "begin").distinct(), markers).select("book_id", "begin", F.col("section_id").cast("bigint").alias("section_id"))
+
+
+EDGES = [("person.n.01", "ruler.n.01"), ("person.n.01", "sailor.n.01"), ("ruler.n.01", "king.n.01"), ("ruler.n.01", "queen_mother.n.01"), ("sailor.n.01", "helmsman.n.01"), ("helmsman.n.01", "able_seaman.n.01"), ("animal.n.01", "dog.n.01")]
+
+
+@query("WITH RECURSIVE u AS (SELECT child FROM " + values(EDGES, "parent, child") + " WHERE parent = 'person.n.01' UNION ALL SELECT v.child FROM u JOIN " + values(EDGES, "parent, child") + " ON v.parent = u.child) SELECT DISTINCT replace(split_part(child, '.', 1), '_', ' ') AS word FROM u")
+def lexicon_closure(spark, folder):
+    return c.lexicon(spark.createDataFrame(EDGES, "parent string, child string"), "person.n.01")
+
+
+@query("WITH b AS (SELECT DISTINCT source AS book_id FROM documents), r AS (SELECT book_id, row_number() OVER (ORDER BY book_id) - 1 AS i, count(*) OVER () // 3 AS size FROM b) SELECT book_id, (i // size)::INT AS part FROM r WHERE i // size < 3")
+def equal_parts(spark, folder):
+    return sinks.equal_parts(table(spark, folder, "documents").select(F.col("source").alias("book_id")), 3)
+
+
+@query("SELECT book_id, (ntile(3) OVER (ORDER BY book_id) - 1)::INT AS part FROM (SELECT DISTINCT source AS book_id FROM documents)")
+def ntile_partition(spark, folder):
+    return sinks.equal_parts(table(spark, folder, "documents").select(F.col("source").alias("book_id")), 3, keep_rest=True)
+
+
+@query(
+    """WITH d AS (SELECT DISTINCT doc_id FROM documents), l AS (SELECT DISTINCT doc_id FROM labels)
+SELECT coalesce(d.doc_id, l.doc_id) AS book_id, CASE WHEN d.doc_id IS NULL THEN 'documents' ELSE 'labels' END AS lacks FROM d FULL JOIN l ON d.doc_id = l.doc_id WHERE d.doc_id IS NULL OR l.doc_id IS NULL"""
+)
+def set_consistency(spark, folder):
+    ids = lambda n: table(spark, folder, n).select(F.col("doc_id").alias("book_id"))
+    return sinks.inconsistent(documents=ids("documents"), labels=ids("labels")).select("book_id", F.array_join("lacks", ",").alias("lacks"))
+
+
+@query("SELECT conv_id AS book_id, list(role ORDER BY turn, role, text)::VARCHAR AS names, string_agg(text, chr(10) ORDER BY turn, role, text) AS combined FROM conversations WHERE text <> '' GROUP BY conv_id")
+def descriptions_combined(spark, folder):
+    rows = table(spark, folder, "conversations").select(F.col("conv_id").alias("book_id"), F.col("turn").alias("ord"), F.col("role").alias("character"), "text")
+    d = sinks.descriptions(rows)
+    return d.select("book_id", F.concat(F.lit("["), F.array_join("names", ", "), F.lit("]")).alias("names"), "combined")
+
+
+@query("SELECT s_nationkey AS book_id, s_name AS gram_key, feature, value FROM (SELECT s_nationkey, s_name, round(s_acctbal, 2) AS balance, s_suppkey::DOUBLE AS number FROM supplier) UNPIVOT (value FOR feature IN (balance, number))")
+def features_long(spark, folder):
+    f = table(spark, folder, "supplier").select(F.col("s_nationkey").alias("book_id"), F.col("s_name").alias("gram_key"), F.round("s_acctbal", 2).alias("balance"), F.col("s_suppkey").alias("number"))
+    return sinks.long_features(f, ["book_id", "gram_key"], ["balance", "number"])
+
+
+@query("SELECT s_nationkey AS book_id, row_number() OVER (PARTITION BY s_nationkey ORDER BY len(string_split(s_name, ' ')), s_name)::INT AS ord, '(' || s_name || ')' || chr(10) || chr(9) || 'number:' || (s_suppkey::DOUBLE)::VARCHAR AS text FROM supplier")
+def features_readable(spark, folder):
+    f = table(spark, folder, "supplier").select(F.col("s_nationkey").alias("book_id"), F.col("s_name").alias("gram_key"), F.col("s_suppkey").alias("number"))
+    return sinks.readable(f, ["gram_key"], ["number"])
+
+
+@query(
+    "WITH n AS (SELECT n_nationkey AS id, n_name AS name FROM nation), h AS (SELECT a.name || ' (' || b.name || ') Smith' AS whole, b.name AS nick, a.name AS first FROM n a JOIN n b ON b.id = (a.id + 1) % 25) SELECT whole AS character, unnest([nick, first || ' Smith', nick || ' Smith']) AS reference FROM h"
+)
+def nickname_references(spark, folder):
+    n = table(spark, folder, "nation").select(F.col("n_nationkey").alias("id"), F.regexp_replace("n_name", r"\s+", " ").alias("name"))
+    other = n.select(((F.col("id") + 24) % 25).alias("id"), F.col("name").alias("nick"))
+    named = n.join(other, "id").select(F.format_string("%s (%s) Smith", "name", "nick").alias("character"))
+    return named.select("character", F.explode(ft.nickname_references(F.col("character"))).alias("reference"))
+
+
+HEADINGS = ["Mr. and Mrs. Bennet", "Jane, Lydia and Kitty", "Charles Bingley", "Élizabeth “Lizzy” Bennet", "Uncle and Aunt Gardiner"]
+
+
+@query(
+    "SELECT * FROM "
+    + values([(HEADINGS[0], "Mr. Bennet"), (HEADINGS[0], "Mrs. Bennet"), (HEADINGS[1], "Jane"), (HEADINGS[1], "Kitty"), (HEADINGS[1], "Lydia"), (HEADINGS[2], "Charles Bingley"), (HEADINGS[3], 'Elizabeth "Lizzy" Bennet'), (HEADINGS[4], "Uncle Gardiner"), (HEADINGS[4], "Aunt Gardiner")], "heading, character")
+)
+def heading_characters(spark, folder):
+    h = spark.createDataFrame([(x,) for x in HEADINGS], "heading string")
+    return h.select("heading", F.explode(ft.split_characters(ft.normalized(F.col("heading")))).alias("character"))
+
+
+@query("SELECT source AS book_id, count(*) AS n_documents FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0) GROUP BY source")
+def remaining_books(spark, folder):
+    failed = table(spark, folder, "labels").where("quality = 0").select(F.col("doc_id").alias("book_id"))
+    kept = sinks.remaining(table(spark, folder, "documents").withColumn("book_id", F.col("doc_id")), failed)
+    return kept.groupBy(F.col("source").alias("book_id")).agg(F.count("*").alias("n_documents"))
+
+
+@query()
+def streamed_tokens_per_section(spark, folder):
+    """The token query as a stream of one table's files: micro-batches write, then the results are read together."""
+    out = f"{shared_folder(spark)}/narrascope/stream-{uuid.uuid4().hex}"
+    stream = books.arriving(spark, f"{folder}/documents.parquet*")
+    plan = lambda df: t.sentence_words(df).groupBy("book_id", "cp_id").agg(F.count("*").alias("num_sentences"), F.sum(F.size("w")).alias("num_tokens"))
+    books.run(stream, plan, f"{out}/data", f"{out}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{out}/data").groupBy("book_id").agg(F.sum("num_sentences").alias("num_sentences"), F.sum("num_tokens").alias("num_tokens"))

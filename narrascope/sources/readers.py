@@ -11,7 +11,10 @@ from narrascope.functions.text import book_stem, normalized
 
 
 def _named(df: DataFrame) -> DataFrame:
-    return df.withColumn("book_id", book_stem(F.col("_metadata.file_path")))
+    """df with book_id: of the folder, if books have folders of their own, or else the file's stem."""
+    path = F.col("_metadata.file_path")
+    own = F.regexp_extract(path, r"/book_id=([^/]*)/", 1)
+    return df.withColumn("book_id", F.when(own != "", F.url_decode(own)).otherwise(book_stem(path)))
 
 
 def books(spark: SparkSession, folder: str) -> DataFrame:
