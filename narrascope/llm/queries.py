@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from narrascope.llm import chat_format, decontaminate, gru_lm, langid, license_scan, mixing, pii, quality, token_output
+from narrascope.llm.near_dedup import ORACLE as NEAR_ORACLE
 from narrascope.llm.near_dedup import near_duplicates
 from narrascope.llm.shared import table
 
@@ -64,6 +65,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_token_output": op10_token_output,
 }
 ORACLES: dict[str, str] = {
+    "op1_decontamination": decontaminate.ORACLE,
     "op2_chat_format": chat_format.ORACLE,
+    "op5_near_dedup": NEAR_ORACLE,
     "op7_mixing": mixing.ORACLE,
 }

@@ -108,6 +108,7 @@ def unpack(payload: bytes, first: int = 0, last: int | None = None) -> np.ndarra
     if magic != b"S8B1":
         raise ValueError("not a Simple-8b payload")
     last = blocks if last is None else min(last, blocks)
+    first = min(first, last)
     offsets = np.frombuffer(payload, "<u4", blocks + 1, _HEAD.size).astype(np.int64)
     words = np.frombuffer(payload, "<u8", offsets[last] - offsets[first], _HEAD.size + 4 * (blocks + 1) + 8 * int(offsets[first])).astype(np.uint64)
     offsets = offsets[first : last + 1] - offsets[first]
@@ -150,7 +151,7 @@ class WordEncoder:
     is encoded once, many in one call.
     """
 
-    LIMIT, MOST_PIECES = 3_000_000, 300_000  # entries of the tables, about 0.2 GB a worker
+    LIMIT, MOST_PIECES = 1_000_000, 200_000  # entries of the tables, about 0.1 GB a worker
     # Fixed value: the splitting pattern of the tokenizer file for which pieces are known.
     SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
     #: Words of plain Latin letters, digits and signs: lower-casing and composing can't change how they split.

@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 
 from narrascope.llm import chat_format, gru_lm, mixing
 
-from .conftest import LOWER, spaced
+from llm_words import LOWER, spaced
 
 
 def rows(df):
@@ -127,7 +127,7 @@ def test_pipeline(spark, folder, documents):
     from narrascope.llm import decontaminate
     from tokenizers import Tokenizer
 
-    from .test_near_dedup import brute
+    from test_near_dedup import brute
 
     docs = documents
     kept = {}

@@ -3,7 +3,7 @@ from collections import Counter
 
 import narrascope.llm.decontaminate as d
 
-from .conftest import alphanumeric
+from llm_words import alphanumeric
 
 EXTRA = [(900, "the of"), (901, "Was"), (902, ""), (903, None), (904, "one two three four five six seven eight nine")]
 

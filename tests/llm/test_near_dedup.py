@@ -5,7 +5,7 @@ import numpy as np
 
 from narrascope.llm import near_dedup as n
 
-from .conftest import LOWER, spaced
+from llm_words import LOWER, spaced
 
 
 def shingles(text, k):

@@ -7,7 +7,7 @@ from collections import Counter
 
 from narrascope.llm import license_scan, pii, quality
 
-from .conftest import alphanumeric, spaced
+from llm_words import alphanumeric, spaced
 
 
 def test_license_base_equals_brute_force(spark, documents, texts):
