@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from narrascope.functions.text import has_capital, is_the
-from narrascope.operators.frames import small
+from narrascope.operators.frames import computed, small
 
 # Fixed values.
 BAD_TITLES = ("Mr.", "Mr", "Mrs.", "Ms.", "Mrs", "Ms", "Miss")
@@ -55,16 +55,20 @@ def noun_phrases(tokens: DataFrame, persons: Sequence[str]) -> DataFrame:
     are filters over ranges inside the row.
     """
     order = F.array_sort(F.collect_list(F.struct("tok_idx", "word", "pos")))
-    s = tokens.groupBy(*SENTENCE).agg(order.alias("t")).where(F.exists("t", lambda x: x["pos"].startswith("NN")))
-    heads = s.select(*SENTENCE, "t", F.posexplode("t").alias("h", "x")).where(F.col("x.pos").startswith("NN"))
-    capital, known = has_capital(F.col("x.word")), F.col("x.word").isin(list(persons))
-    heads = heads.where(capital | known).where(~F.col("x.word").isin(list(BAD_TITLES)) | (F.col("h") > 0)).withColumn("cap", capital)
+    return sentence_phrases(tokens.groupBy(*SENTENCE).agg(order.alias("t")), persons)
+
+
+def sentence_phrases(sentences: DataFrame, persons: Sequence[str]) -> DataFrame:
+    """The same from SENTENCE and `t`, each sentence's tokens as array<struct<word, pos, ...>>: no shuffle."""
+    bad_tag, bad_token = (lambda x: x["pos"].isin(list(BAD_TAGS))), (lambda x: x["word"].isin(list(BAD_TOKENS)))
+    is_head = lambda x: x["pos"].startswith("NN") & (has_capital(x["word"]) | x["word"].isin(list(persons))) & ~x["word"].isin(list(BAD_TITLES)) & ~bad_token(x)
+    places = F.filter(F.transform("t", lambda x, i: F.when(is_head(x), i)), lambda i: i.isNotNull())
+    heads = sentences.select(*SENTENCE, "t", F.explode(places).alias("h"))
     at = lambda i: F.get(F.col("t"), i)
     before = lambda stop, test: F.array_max(F.filter(F.sequence(F.lit(0), F.greatest(stop - 1, F.lit(0))), lambda i: (i < stop) & test(at(i))))
-    bad_tag, bad_token = (lambda x: x["pos"].isin(list(BAD_TAGS))), (lambda x: x["word"].isin(list(BAD_TOKENS)))
-    walked = heads.withColumn("b1", before(F.col("h"), bad_tag)).where(~bad_token(F.col("x")) & ~F.col("x.word").isin(list(BAD_TITLES)))
+    walked = computed(heads, cap=has_capital(at(F.col("h"))["word"]), b1=before(F.col("h"), bad_tag))
     stop1 = F.array_max(F.filter(F.sequence(F.lit(0), F.col("h")), lambda i: (i > F.coalesce("b1", F.lit(-1))) & bad_token(at(i))))
-    walked = walked.withColumn("stop1", stop1)
+    walked = computed(walked, stop1=stop1)
     noun_or_the = lambda i: at(i)["pos"].startswith("NN") | is_the(at(i)["word"])
     phase1 = F.filter(
         F.sequence(F.coalesce("stop1", "b1", F.lit(-1)) + 1, F.col("h")),
@@ -72,7 +76,8 @@ def noun_phrases(tokens: DataFrame, persons: Sequence[str]) -> DataFrame:
     )
     hop = F.col("cap") & F.col("stop1").isNull() & (F.col("b1") >= 1) & ~bad_tag(at(F.col("b1") - 1))
     from2 = F.coalesce(F.array_max(F.filter(F.sequence(F.lit(0), F.greatest(F.col("b1") - 1, F.lit(0))), lambda i: bad_tag(at(i)) | bad_token(at(i)))), F.lit(-1)) + 1
-    phase2 = F.when(hop, F.filter(F.sequence(F.lit(0), F.col("b1") - 1), lambda i: (i >= from2) & noun_or_the(i))).otherwise(F.array().cast("array<int>"))
+    walked = computed(walked, hop=hop, from2=from2)
+    phase2 = F.when(F.col("hop"), F.filter(F.sequence(F.lit(0), F.col("b1") - 1), lambda i: (i >= F.col("from2")) & noun_or_the(i))).otherwise(F.array().cast("array<int>"))
     starts = walked.select(*SENTENCE, "h", "t", F.explode(F.concat(F.coalesce(phase1, F.array().cast("array<int>")), F.coalesce(phase2, F.array().cast("array<int>")))).alias("s"))
     return starts.select(*SENTENCE, F.col("h").alias("head"), F.transform(F.slice("t", F.col("s") + 1, F.col("h") - F.col("s") + 1), lambda x: x["word"]).alias("gram"))
 

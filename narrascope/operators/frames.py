@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -28,6 +28,11 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def computed(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with further columns, each computed once a row: unlike those of withColumn, they are not copied into the lambdas that use them."""
+    return df.select("*", F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
+
+
 def small(df: DataFrame, most: int = 100_000) -> DataFrame:
     """df with a broadcast hint if it has at most `most` rows; else as it is, for a shuffle join."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df

@@ -186,8 +186,8 @@ grams AS (SELECT book_id, array_to_string(w[s + 1:h + 1], ' ') AS gram_key FROM
 SELECT book_id, gram_key, count(*) AS n FROM grams GROUP BY ALL"""
 )
 def np_candidates(spark, folder):
-    tokens = sentences(spark, folder).select("book_id", "cp_id", "st_id", F.posexplode("w").alias("tok_idx", "word"))
-    found = c.noun_phrases(tokens.withColumn("pos", t.tag()), t.PERSONS)
+    tagged = sentences(spark, folder).select(*c.SENTENCE, F.expr(f"transform(w, x -> named_struct('word', x, 'pos', {t.tag_sql('x')}))").alias("t"))
+    found = c.sentence_phrases(tagged, t.PERSONS)
     return found.groupBy("book_id", F.array_join("gram", " ").alias("gram_key")).agg(F.count("*").alias("n"))
 
 
