@@ -39,6 +39,11 @@ def all_grams(spark: SparkSession, folder: str) -> DataFrame:
     return c.windows(sentences(spark, folder), [*c.SENTENCE, "pg_id"], MOST)
 
 
+def kept_grams(spark: SparkSession, folder: str) -> DataFrame:
+    """The same for plans that read the grams more than once: sentences are split once and kept as a table."""
+    return c.windows(saved(sentences(spark, folder), "sentences"), [*c.SENTENCE, "pg_id"], MOST)
+
+
 def gram_counts(found: DataFrame) -> DataFrame:
     return found.groupBy("book_id", "gram_key", F.col("n").alias("length")).agg(F.count("*").alias("n"))
 
@@ -86,7 +91,7 @@ def candidate_filter_flex(spark, folder):
 
 @query(RECOUNT + " SELECT book_id, gram_key, length, n FROM book")
 def longest_suffix_counts(spark, folder):
-    found = all_grams(spark, folder)
+    found = kept_grams(spark, folder)
     counts = c.longest_suffix_counts(found, dictionary(found)).groupBy("book_id", "gram_key").agg(F.sum("n").alias("n"))
     return counts.select("book_id", "gram_key", F.size(F.split("gram_key", " ")).alias("length"), "n")
 
@@ -98,7 +103,7 @@ s AS (SELECT DISTINCT book_id, arg_max(gram_key, n) AS gram_key FROM hits GROUP
 SELECT book_id, gram_key FROM e INTERSECT SELECT book_id, gram_key FROM s"""
 )
 def two_sided_dedup(spark, folder):
-    found = all_grams(spark, folder)
+    found = kept_grams(spark, folder)
     return c.two_sided(found, dictionary(found))
 
 
@@ -109,7 +114,7 @@ s AS (SELECT DISTINCT book_id, arg_max(gram_key, n) AS gram_key FROM hits GROUP
 SELECT book_id, gram_key FROM dict EXCEPT (SELECT book_id, gram_key FROM e INTERSECT SELECT book_id, gram_key FROM s)"""
 )
 def dedup_dropped(spark, folder):
-    found = all_grams(spark, folder)
+    found = kept_grams(spark, folder)
     words = dictionary(found)
     return c.dropped(words.select("book_id", "gram_key"), c.two_sided(found, words))
 
@@ -119,7 +124,7 @@ def _chapter_sql(tail: str) -> str:
 
 
 def _chapters(spark, folder, mode, literal=False):
-    found = all_grams(spark, folder)
+    found = kept_grams(spark, folder)
     chapter = saved(c.longest_suffix_counts(found, dictionary(found)), "chapters")
     book = chapter.groupBy("book_id", "gram_key").agg(F.sum("n").alias("n")).withColumn("length", F.size(F.split("gram_key", " ")))
     return c.chapter_filter(chapter, book, mode=mode, literal=literal)
@@ -161,7 +166,7 @@ def stats(spark, folder):
     + " SELECT book_id, gram_key, n AS count, length, book_num_chars, book_num_st, book_num_pg, book_num_cp, round(n / book_num_chars, 9) AS count_norm_length, round(n / sum(n) OVER (PARTITION BY book_id), 9) AS count_norm_char FROM book JOIN stats USING (book_id)"
 )
 def candidate_base_features(spark, folder):
-    found = all_grams(spark, folder)
+    found = kept_grams(spark, folder)
     counts = c.longest_suffix_counts(found, dictionary(found)).groupBy("book_id", "gram_key").agg(F.sum("n").cast("bigint").alias("n"))
     f = c.base_features(counts.withColumn("length", F.size(F.split("gram_key", " "))), stats(spark, folder))
     return f.withColumns({k: F.round(k, 9) for k in ("count_norm_length", "count_norm_char")})
@@ -202,7 +207,7 @@ SELECT book_id, gram_key, n, count_pg, round(count_pg / num, 9) AS count_norm_le
 )
 def top_grams_flagship(spark, folder):
     """Each book's 40 most frequent grams with section counts, shares and co-occurrence totals over paragraphs."""
-    found = all_grams(spark, folder)
+    found = kept_grams(spark, folder)
     hits = found.join(F.broadcast(dictionary(found).select("book_id", "gram_key")), ["book_id", "gram_key"])
     best = saved(hits.groupBy(*c.SENTENCE, "pg_id", "tok_idx").agg(F.max_by("gram_key", "n").alias("gram_key")), "occurrences")
     top = c.ranked(best.groupBy("book_id", "gram_key").agg(F.count("*").alias("n")), ["book_id"]).where("rank <= 40").select("book_id", "gram_key", "n")
@@ -223,7 +228,7 @@ num AS (SELECT book_id, section_type, count(DISTINCT section_id) AS m FROM three
 SELECT book_id, section_type, gram_key AS item, count_s, round(count_s / m, 9) AS count_norm_length_s, round(count_s / sum(count_s) OVER (PARTITION BY book_id, section_type), 9) AS count_norm_char_s FROM cnt JOIN num USING (book_id, section_type)"""
 )
 def section_counts_grams(spark, folder):
-    found = all_grams(spark, folder)
+    found = kept_grams(spark, folder)
     hits = found.join(F.broadcast(dictionary(found).select("book_id", "gram_key")), ["book_id", "gram_key"])
     best = hits.groupBy(*c.SENTENCE, "pg_id", "tok_idx").agg(F.max_by("gram_key", "n").alias("item"))
     f = co.section_counts(saved(co.to_sections(best).distinct(), "sections"))
@@ -240,7 +245,7 @@ SELECT book_id, gram_key, round(avg(len(list_filter(ners, lambda x: x IN ('PERSO
   any_value(len(list_filter(g, lambda x: regexp_matches(x, '\\p{{Lu}}'))))::INT AS avg_cap, any_value(CASE WHEN regexp_matches(g[-1], '\\p{{Lu}}') THEN 1 ELSE 0 END)::INT AS avg_last_cap FROM f GROUP BY book_id, gram_key"""
 )
 def tag_features(spark, folder):
-    s = sentences(spark, folder)
+    s = saved(sentences(spark, folder), "sentences")
     tagged = s.select("*", F.transform("w", lambda w, i: t.ner(w, F.get(F.col("w"), i - 1))).alias("tags"))
     found = c.windows(s, [*c.SENTENCE, "pg_id"], MOST)
     words = dictionary(found)
