@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from narrascope.operators import candidates as c
 from narrascope.operators import cooccurrence as co
+from narrascope.operators import coref
 from narrascope.operators import crossref as x
 from narrascope.operators import tokens as t
 from narrascope.operators.frames import saved, table
+from narrascope.plans import features
 from narrascope.plans.base import query
 
 MOST, DICTIONARY = 3, 40
@@ -257,3 +259,34 @@ def tag_features(spark, folder):
     best = hits.groupBy(*c.SENTENCE, "e").agg(F.max_by(F.struct("gram_key", "gram", "ners"), "n").alias("x")).select("book_id", "x.*")
     f = x.tag_features(best)
     return f.withColumns({k: F.round(k, 9) for k in ("avg_ner", "avg_last_ner")})
+
+
+def _vectors(spark, folder, per_book):
+    """Names, base features, occurrences, tags and the closure of reference edges for the most frequent capitalised or longer grams of each book."""
+    found = kept_grams(spark, folder)
+    names = saved(c.flex_filter(gram_counts(found), [per_book] * MOST).select("book_id", "gram_key").withColumn("gram", F.split("gram_key", " ")), "names")
+    hits = found.join(F.broadcast(names.select("book_id", "gram_key")), ["book_id", "gram_key"])
+    best = saved(hits.groupBy(*c.SENTENCE, "pg_id", "tok_idx").agg(F.max_by("gram_key", "n").alias("gram_key")), "occurrences")
+    counts = best.groupBy("book_id", "gram_key").agg(F.count("*").alias("n")).withColumn("length", F.size(F.split("gram_key", " ")))
+    base = saved(c.base_features(counts, stats(spark, folder)), "base")
+    occurrences = saved(co.to_sections(best.withColumnRenamed("gram_key", "item")).distinct(), "sections")
+    gram = F.split("gram_key", " ")
+    tags = x.tag_features(best.select("book_id", "gram_key", gram.alias("gram"), F.transform(gram, lambda w: t.ner(w, F.lit(None).cast("string"))).alias("ners")))
+    closed = coref.closure(coref.partial_edges(names.join(base.select("book_id", "gram_key"), ["book_id", "gram_key"], "left_semi")))
+    return names.join(base.select("book_id", "gram_key"), ["book_id", "gram_key"], "left_semi"), base, occurrences, tags, closed
+
+
+@query()
+def character_features(spark, folder):
+    """All 110 features of each book's names."""
+    _, base, occurrences, tags, closed = _vectors(spark, folder, 10)
+    return features.character_features(base, occurrences, tags, closed)
+
+
+@query()
+def pair_features(spark, folder):
+    """All 382 features, and coref, of the ordered pairs of each book's names."""
+    names, base, occurrences, tags, closed = _vectors(spark, folder, 2)
+    vectors = saved(features.character_features(base, occurrences, tags, closed), "vectors")
+    weights = base.select("book_id", F.col("gram_key").alias("item"), F.col("count_norm_char").alias("w"))
+    return features.pair_features(vectors, names, occurrences, weights, closed)
