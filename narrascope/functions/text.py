@@ -74,10 +74,14 @@ def coref_sex(mentions: Column, literal: bool = False) -> Column:
     return F.lit("") if literal else F.coalesce(F.get(sexes, F.lit(0)), F.lit(""))
 
 
+# What follows a family's name.
+FAMILY_WORDS = ("children", "house", "family", "people")
+
+
 def family_name(text: Column) -> Column:
     """The X of `the X children` (house, family, people) or `the Xs`; null otherwise."""
     t = F.split(text, r"\s+")
-    return let(t, lambda t: F.when(~F.get(t, F.lit(0)).isin("the", "The"), None).when((F.size(t) == 3) & F.get(t, F.lit(2)).isin("children", "house", "family", "people"), F.get(t, F.lit(1))).when((F.size(t) == 2) & F.endswith(F.get(t, F.lit(1)), F.lit("s")), F.regexp_replace(F.get(t, F.lit(1)), "s$", "")))
+    return let(t, lambda t: F.when(~F.get(t, F.lit(0)).isin("the", "The"), None).when((F.size(t) == 3) & F.get(t, F.lit(2)).isin(*FAMILY_WORDS), F.get(t, F.lit(1))).when((F.size(t) == 2) & F.endswith(F.get(t, F.lit(1)), F.lit("s")), F.regexp_replace(F.get(t, F.lit(1)), "s$", "")))
 
 
 def url_slug(url: Column, prefix: str) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from narrascope.functions import matching as m
-from narrascope.functions.text import nickname_references, normalized, split_characters
+from narrascope.functions.text import FAMILY_WORDS, nickname_references, normalized, split_characters
 from narrascope.operators.frames import small
 from narrascope.operators.tokens import TOKEN
 
@@ -30,7 +30,7 @@ def families(owned: DataFrame) -> DataFrame:
     """(book_id, reference, character) for `the X family` and the like, and `the Xs`: each points to all characters of that last name."""
     last = F.element_at(F.split("character", r"\s+"), -1)
     named = owned.select("book_id", "character", last.alias("last")).where(F.col("last").rlike("^[A-Z]")).distinct()
-    forms = [F.concat_ws(" ", F.lit(the), F.col("last"), F.lit(word)) for the in ("the", "The") for word in ("children", "house", "family", "people")] + [F.concat(F.lit(the + " "), F.col("last"), F.lit("s")) for the in ("the", "The")]
+    forms = [F.concat_ws(" ", F.lit(the), F.col("last"), F.lit(word)) for the in ("the", "The") for word in FAMILY_WORDS] + [F.concat(F.lit(the + " "), F.col("last"), F.lit("s")) for the in ("the", "The")]
     return named.select("book_id", F.explode(F.array(*forms)).alias("reference"), "character")
 
 

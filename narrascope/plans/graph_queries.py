@@ -11,6 +11,7 @@ from narrascope.operators import relations as rel
 from narrascope.operators.frames import saved, table
 from narrascope.plans.base import query, values
 
+# Sample names, characters and relations.
 NAMES = [
     "Tom", "Tom Sawyer", "Sid Sawyer", "Sally Sawyer", "Mr. Tom", "Mr. Sawyer", "Mrs. Sawyer", "T. Sawyer", "Doctor Sawyer", "Monsieur Sawyer", "Huck", "Huckleberry", "Huck Finn", "Huckleberry Finn",
     "Mr. Finn", "Sawyer", "Sawyers", "Fred Weasley", "Freddy Weasley", "Frederick Weasley", "Tweedledee", "Tweedledum", "Monsieur", "D'Artagan", "d'Artagan", "The Sid",
