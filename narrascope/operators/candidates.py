@@ -102,8 +102,8 @@ def longest_suffix_counts(found: DataFrame, candidates: DataFrame) -> DataFrame:
     The place is a row of `grams`; the longest is one grouped maximum, which combines before the shuffle.
     """
     hits = found.join(small(candidates.select("book_id", "gram_key").distinct()), ["book_id", "gram_key"])
-    best = hits.groupBy(*SENTENCE, "tok_idx").agg(F.max_by("gram_key", "n").alias("gram_key"))
-    return best.groupBy("book_id", "cp_id", "gram_key").agg(F.count("*").alias("n"))
+    longest = hits.groupBy(*SENTENCE, "tok_idx").agg(F.max_by("gram_key", "n").alias("gram_key"))
+    return longest.groupBy("book_id", "cp_id", "gram_key").agg(F.count("*").alias("n"))
 
 
 def two_sided(found: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -125,6 +125,11 @@ def by_length(values: Sequence[int], size: Column, beyond: int) -> Column:
     return out
 
 
+def best(rows: DataFrame, numbers: Sequence[int], beyond: int) -> DataFrame:
+    """Rows whose rank `r` is within their length's number. The constant bound lets each task keep only its best rows before the shuffle."""
+    return rows.where((F.col("r") <= max([*numbers, beyond])) & (F.col("r") <= by_length(numbers, F.col("length"), beyond))).drop("r")
+
+
 def ranked(counts: DataFrame, keys: list[str]) -> DataFrame:
     """counts(…, gram_key, n) with rank (n descending, then gram_key), group size and share of the group's sum."""
     w = Window.partitionBy(*keys)
@@ -145,7 +150,7 @@ def percent_filter(counts: DataFrame, c: Cutoffs = Cutoffs()) -> DataFrame:
     good = F.when(inside, (top & (F.col("n") > c.least_count)) | (F.col("share") > c.share)).otherwise((F.col("n") > c.longer_least) | (F.col("share") > c.share))
     kept = r.where(good).select("book_id", "gram_key", "length", "n")
     again = Window.partitionBy("book_id", "length").orderBy(F.desc("n"), "gram_key")
-    return kept.withColumn("r", F.row_number().over(again)).where(F.col("r") <= by_length(c.numbers, F.col("length"), c.longer_number)).drop("r")
+    return best(kept.withColumn("r", F.row_number().over(again)), c.numbers, c.longer_number)
 
 
 def flex_filter(counts: DataFrame, numbers: Sequence[int] | None = None, least: int = 2) -> DataFrame:
@@ -153,7 +158,7 @@ def flex_filter(counts: DataFrame, numbers: Sequence[int] | None = None, least:
     if numbers is None:
         return counts.limit(0)
     w = Window.partitionBy("book_id", "length").orderBy(F.desc("n"), "gram_key")
-    return counts.where(F.col("n") > least).withColumn("r", F.row_number().over(w)).where(F.col("r") <= by_length(numbers, F.col("length"), 0)).drop("r")
+    return best(counts.where(F.col("n") > least).withColumn("r", F.row_number().over(w)), numbers, 0)
 
 
 def chapter_filter(chapter_counts: DataFrame, book_counts: DataFrame, c: Cutoffs = Cutoffs(), mode: str = "percent", literal: bool = False) -> DataFrame:
