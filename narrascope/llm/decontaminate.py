@@ -30,7 +30,7 @@ class SuffixAutomaton:
     """Of some items (id, word hashes); `found[state]` lists (window length, item numbers), longest first."""
 
     def __init__(self, items: list[tuple[str, list[int]]], window: int):
-        self.ids = [i for i, _ in items]
+        self.ids, self.window = [i for i, _ in items], window
         self.next: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
         for _, words in items:
@@ -112,15 +112,16 @@ class SuffixAutomaton:
         for d, a, b in zip(text.tolist(), begin.tolist(), end.tolist()):
             yield d, a, h[a:b].tolist()
 
-    def matches(self, words: Words) -> dict[int, tuple[list[list[int]], set[int], int]]:
-        """Of each text with a window: its merged hit word ranges, the items with windows in it, and its longest match."""
-        out: dict[int, tuple[list[list[int]], set[int], int]] = {}
+    def matches(self, words: Words) -> dict[int, tuple[list[list[int]], set[int], int, list[tuple[int, int]]]]:
+        """Of each text with a window: its merged hit word ranges, the items with windows in it, its longest match, and the places of whole items shorter than a window."""
+        out: dict[int, tuple[list[list[int]], set[int], int, list[tuple[int, int]]]] = {}
         nexts, link, length, found = self.next, self.link, self.length, self.found
         for d, a, passage in self.runs(words):
             state = size = longest = 0
             base = a - int(words.first[d])
             spans: list[list[int]] = []
             items: set[int] = set()
+            short: list[tuple[int, int]] = []
             for i, w in enumerate(passage, base + 1):
                 while state and w not in nexts[state]:
                     state = link[state]
@@ -133,14 +134,16 @@ class SuffixAutomaton:
                     if k <= size:
                         top = max(top, k)
                         items.update(numbers)
+                        if k < self.window:
+                            short.append((i - k, i))
                 if top:
                     if spans and spans[-1][1] >= i - top:
                         spans[-1][0], spans[-1][1] = min(spans[-1][0], i - top), i
                     else:
                         spans.append([i - top, i])
             if spans:
-                old = out.get(d, ([], set(), 0))
-                out[d] = (merged(old[0] + spans), old[1] | items, max(old[2], longest))
+                old = out.get(d, ([], set(), 0, []))
+                out[d] = (merged(old[0] + spans), old[1] | items, max(old[2], longest), old[3] + short)
         return out
 
 
@@ -183,7 +186,7 @@ def _scan(automaton, text_column: str, again: bool, with_text: bool):
                 spans, items, longest = [[]] * n, [[]] * n, [0] * n
                 if again:
                     spans, items, longest = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("spans", "items", "longest"))
-                for d, (s, numbers, size) in hits.items():
+                for d, (s, numbers, size, _) in hits.items():
                     old = list(zip(spans[d][::2], spans[d][1::2]))
                     spans[d] = [x for pair in merged([list(p) for p in old] + s) for x in pair]
                     items[d] = sorted({*items[d], *(found.ids[x] for x in numbers)})
@@ -235,14 +238,14 @@ def _remove(automaton, text_column: str, length_column: str | None, span_limit:
                 if hits:
                     keep = np.ones(batch.num_rows, bool)
                     texts = batch.column(column).to_pylist()
-                    for d, (spans, numbers, _) in hits.items():
+                    for d, (spans, _, _, short) in hits.items():
                         covered = sum(e - s for s, e in spans)
                         if covered > coverage_limit * words.counts[d]:
                             keep[d] = False
                             continue
                         raw, base, left, out = texts[d].encode(), int(at[d]), 0, []
                         for s, e in spans:
-                            if e - s >= min(span_limit, found.shortest):
+                            if e - s >= span_limit or any(s <= a and b <= e for a, b in short):
                                 i, j = int(words.start[words.first[d] + s]) - base, int(words.end[words.first[d] + e - 1]) - base
                                 out.append(raw[left:i])
                                 left = j

@@ -53,3 +53,13 @@ def test_empty_tables(spark, documents):
     items = spark.createDataFrame([], "item_id bigint, text string")
     assert d.op1_contamination(documents, items).where("contaminated").count() == 0
     assert d.op1_contamination(documents.limit(0), items).count() == 0
+
+
+def test_span_limit_and_short_items(spark):
+    item = "a b c d e f g h i j k l m n o p q r s t u v"
+    items = spark.createDataFrame([(1, item), (2, "seven short words")], "item_id bigint, text string")
+    docs = spark.createDataFrame([(1, "x a b c d e f g h i j k y " + "z " * 30), (2, "x " + item + " y " + "z " * 30), (3, "the seven Short, words here " + "z " * 30)], "doc_id bigint, text string")
+    kept = lambda **o: {r.doc_id: " ".join(r.text.replace("z", "").split()) for r in d.remove_contamination(docs, items, **o).collect()}
+    assert kept() == {1: "x y", 2: "x y", 3: "the here"}
+    assert kept(span_limit=15) == {1: "x a b c d e f g h i j k y", 2: "x y", 3: "the here"}
+    assert set(kept(coverage_limit=0.3)) == {1, 3}
