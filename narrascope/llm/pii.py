@@ -107,7 +107,7 @@ VALID: dict[str, Callable[[Column], Column]] = {"email": lambda m: F.lit(True),
 
 def base_spans(text: Column, kind: str) -> Column:
     found = F.filter(located(text, BASE[kind]), lambda s: VALID[kind](s["match"]))
-    return F.when(F.contains(text, F.lit(NEEDS[kind])) if kind in NEEDS else text.rlike("[0-9]{2}" if kind == "card" else r"[0-9]\.[0-9]"), found).otherwise(F.array().cast(_SPANS))
+    return F.when(F.contains(text, F.lit(NEEDS[kind])) if kind in NEEDS else text.rlike(r"[0-9][\x20-]?[0-9]" if kind == "card" else r"[0-9]\.[0-9]"), found).otherwise(F.array().cast(_SPANS))
 
 
 def _features(text: Column, number: int, s: Column) -> list[Column]:

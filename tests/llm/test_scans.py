@@ -61,6 +61,12 @@ def test_pii_base_equals_brute_force(spark, documents, texts):
     assert found == expected
 
 
+def test_cards_of_single_digits(spark):
+    rows = [(1, "x " + " ".join("4111111111111111") + " y"), (2, "-".join("4111111111111111")), (3, " ".join("4111111111111112"))]
+    found = {r.doc_id: (r.n_card, r.spans) for r in pii.op3_pii(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert found == {1: (1, "card:2:33"), 2: (1, "card:0:31"), 3: (0, "")}
+
+
 def test_long_runs_are_linear(spark):
     rows = [(1, "1" * 60_000), (2, "a" * 60_000), (3, "1 " * 30_000), (4, "a." * 30_000 + "@"), (5, "+1" + "(" * 60_000)]
     assert sum(r.n_card + r.n_email + r.n_phone for r in pii.op3_pii(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()) == 0
