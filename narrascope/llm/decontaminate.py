@@ -226,19 +226,33 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, id_column
         automaton, again, seen = following, True, saved(seen, "contamination")
 
 
-def _remove(automaton, text_column: str, length_column: str | None, span_limit: int, coverage_limit: float):
+def _remove(automaton, text_column: str, length_column: str | None, span_limit: int, coverage_limit: float, again: bool, last: bool):
+    """Adds this block's hits to those of the blocks before, which lie in two more columns at the end; after the last block, decides and cuts."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = automaton.value
+        pairs = lambda flat: list(zip(flat[::2], flat[1::2]))
         for whole in batches:
             for batch in slices(whole, text_column):
                 column = batch.schema.get_field_index(text_column)
                 data, at = text_bytes(batch.column(column))
                 words = Words(data, at, ALPHANUMERIC)
-                hits = found.matches(words)
+                hits = {d: (spans, set(short)) for d, (spans, _, _, short) in found.matches(words).items()}
+                if again:
+                    old_spans, old_short = (c.to_pylist() for c in batch.columns[-2:])
+                    batch = batch.select(list(range(batch.num_columns - 2)))
+                    for d in range(batch.num_rows):
+                        if old_spans[d]:
+                            spans, short = hits.get(d, ([], set()))
+                            hits[d] = merged([list(p) for p in pairs(old_spans[d])] + spans), short | set(pairs(old_short[d]))
+                if not last:
+                    flat = [[[x for pair in values for x in pair] for values in (hits[d][k] if d in hits else () for d in range(batch.num_rows))] for k in (0, 1)]
+                    yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(f, pa.list_(pa.int32())) for f in flat)], names=[*batch.schema.names, *_hit_columns(batch.schema.names)])
+                    continue
                 if hits:
                     keep = np.ones(batch.num_rows, bool)
                     texts = batch.column(column).to_pylist()
-                    for d, (spans, _, _, short) in hits.items():
+                    for d, (spans, short) in hits.items():
                         covered = sum(e - s for s, e in spans)
                         if covered > coverage_limit * words.counts[d]:
                             keep[d] = False
@@ -264,19 +278,35 @@ def _remove(automaton, text_column: str, length_column: str | None, span_limit:
     return run
 
 
+def _hit_columns(names: list[str]) -> list[str]:
+    """Names of the columns of hit ranges and of short items' places that no column has."""
+    more = "_" * (1 + max((len(n) for n in names), default=0))
+    return [f"{more}spans", f"{more}short"]
+
+
 def remove_contamination(docs: DataFrame, items: DataFrame, window: int = 10, span_limit: int = 10, coverage_limit: float = 0.5, text_column: str = "text", length_column: str | None = None, item_column: str = "item_id") -> DataFrame:
     """docs with the same columns, without contaminated passages.
 
     A hit range of `span_limit` words or more, or one that holds a whole shorter item, is cut out
     of its text (and `length_column`, if named, is set to the new length); a document of which
     more than `coverage_limit` of the words are hit goes as a whole. All other rows stay as they
-    are, null and empty texts included.
+    are, null and empty texts included. The hits of all blocks of items are gathered first, so
+    the number of blocks changes no result.
     """
     docs = small_batches(docs)
     length = length_column if length_column in docs.columns else None
-    for i, automaton in enumerate(item_blocks(items, window, item_column, "text")):
-        docs = (saved(docs, "decontaminated") if i else docs).mapInArrow(trimmed(_remove(docs.sparkSession.sparkContext.broadcast(automaton), text_column, length, span_limit, coverage_limit)), docs.schema)
-    return docs
+    seen, again = docs, False
+    blocks = item_blocks(items, window, item_column, "text")
+    automaton = next(blocks)
+    while True:
+        following = next(blocks, None)
+        last = following is None
+        shipped = docs.sparkSession.sparkContext.broadcast(automaton)
+        ddl = _ddl(docs) + ", ".join(f"{c} array<int>" for c in _hit_columns(docs.columns))
+        seen = seen.mapInArrow(trimmed(_remove(shipped, text_column, length, span_limit, coverage_limit, again, last)), docs.schema if last else ddl)
+        if last:
+            return seen
+        automaton, again, seen = following, True, saved(seen, "decontaminated")
 
 
 def op1_contamination(docs: DataFrame, items: DataFrame) -> DataFrame:

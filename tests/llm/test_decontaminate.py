@@ -63,3 +63,17 @@ def test_span_limit_and_short_items(spark):
     assert kept() == {1: "x y", 2: "x y", 3: "the here"}
     assert kept(span_limit=15) == {1: "x a b c d e f g h i j k y", 2: "x y", 3: "the here"}
     assert set(kept(coverage_limit=0.3)) == {1, 3}
+
+
+def test_number_of_item_blocks_changes_no_removal(spark, monkeypatch):
+    alphabet = [f"{a}{b}" for a in "abcdefghij" for b in "klmnopqrst"]
+    items = spark.createDataFrame([(1, " ".join(alphabet[:20])), (2, " ".join(alphabet[10:30])), (3, " ".join(alphabet[40:60])), (4, "seven short words")], "item_id bigint, text string").coalesce(1)
+    rest = " ".join(f"z{i}" for i in range(28))
+    docs = [(1, f"{' '.join(alphabet[:12])} {' '.join(alphabet[40:52])} {rest[:59]}"), (2, f"x {' '.join(alphabet[:30])} y {rest} {rest}"), (3, f"the seven short words {' '.join(alphabet[41:50])} {rest}"), (4, rest), (5, None)]
+    df = spark.createDataFrame([(*x, "k") for x in docs], "doc_id bigint, text string, spans string")
+    found = []
+    for block in (200_000, 20):
+        monkeypatch.setattr(d, "BLOCK_WORDS", block)
+        found.append({r.doc_id: r.text for r in d.remove_contamination(df, items).collect()})
+    assert found[0] == found[1]
+    assert 1 not in found[1] and found[1][2] == f"x  y {rest} {rest}" and found[1][4] == rest and found[1][5] is None
