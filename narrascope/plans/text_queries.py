@@ -10,7 +10,7 @@ from narrascope.operators import cooccurrence as co
 from narrascope.operators import coref
 from narrascope.operators import crossref as x
 from narrascope.operators import tokens as t
-from narrascope.operators.frames import saved, table
+from narrascope.operators.frames import saved, small, table
 from narrascope.plans import features
 from narrascope.plans.base import query
 
@@ -261,11 +261,11 @@ def tag_features(spark, folder):
     return f.withColumns({k: F.round(k, 9) for k in ("avg_ner", "avg_last_ner")})
 
 
-def _vectors(spark, folder, per_book):
-    """Names, base features, occurrences, tags and the closure of reference edges for the most frequent capitalised or longer grams of each book."""
-    found = kept_grams(spark, folder)
-    names = saved(c.flex_filter(gram_counts(found), [per_book] * MOST).select("book_id", "gram_key").withColumn("gram", F.split("gram_key", " ")), "names")
-    hits = found.join(F.broadcast(names.select("book_id", "gram_key")), ["book_id", "gram_key"])
+def _vectors(spark, folder, cutoffs=c.Cutoffs()):
+    """Names, base features, occurrences, tags and the closure of reference edges for the grams of each book that the cutoffs keep."""
+    found = c.windows(saved(sentences(spark, folder), "sentences"), [*c.SENTENCE, "pg_id"], cutoffs.longest)
+    names = saved(c.percent_filter(gram_counts(found), cutoffs).select("book_id", "gram_key").withColumn("gram", F.split("gram_key", " ")), "names")
+    hits = found.join(small(names.select("book_id", "gram_key")), ["book_id", "gram_key"])
     best = saved(hits.groupBy(*c.SENTENCE, "pg_id", "tok_idx").agg(F.max_by("gram_key", "n").alias("gram_key")), "occurrences")
     counts = best.groupBy("book_id", "gram_key").agg(F.count("*").alias("n")).withColumn("length", F.size(F.split("gram_key", " ")))
     base = saved(c.base_features(counts, stats(spark, folder)), "base")
@@ -279,14 +279,14 @@ def _vectors(spark, folder, per_book):
 @query()
 def character_features(spark, folder):
     """All 110 features of each book's names."""
-    _, base, occurrences, tags, closed = _vectors(spark, folder, 10)
+    _, base, occurrences, tags, closed = _vectors(spark, folder)
     return features.character_features(base, occurrences, tags, closed)
 
 
 @query()
 def pair_features(spark, folder):
     """All 382 features, and coref, of the ordered pairs of each book's names."""
-    names, base, occurrences, tags, closed = _vectors(spark, folder, 2)
+    names, base, occurrences, tags, closed = _vectors(spark, folder)
     vectors = saved(features.character_features(base, occurrences, tags, closed), "vectors")
     weights = base.select("book_id", F.col("gram_key").alias("item"), F.col("count_norm_char").alias("w"))
     return features.pair_features(vectors, names, occurrences, weights, closed)

@@ -4,9 +4,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from narrascope import api
+from narrascope.operators import candidates as c
 from narrascope.operators import coref
 from narrascope.operators import cooccurrence as co
 from narrascope.plans import features as f
+from narrascope.plans import text_queries
 
 
 def test_numbers_of_features():
@@ -45,3 +47,17 @@ def test_candidates_of_a_text(spark):
 def test_descriptions(spark):
     html = '<div class="content_txt" id="Tom"><p>A boy</p><!-- ad --></div><div class="ad">x</div><div class="content_txt" id="Sid">His brother.</div>'
     assert [tuple(r) for r in api.descriptions(spark.createDataFrame([(1, html)], "page_id int, html string"), "content_txt").collect()] == [(1, 0, "Tom", "A boy."), (1, 1, "Sid", "His brother.")]
+
+
+def test_names_of_the_vector_queries(spark, tmp_path, monkeypatch):
+    text = "\n".join(["Alpha Beta Gamma Delta Epsilon Zeta Eta met " + " ".join(f"N{i}" for i in range(40)) + "."] * 5)
+    spark.createDataFrame([(1, text, "en", "b", len(text))], "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(str(tmp_path / "documents.parquet"))
+    counts = text_queries.gram_counts(c.windows(text_queries.sentences(spark, str(tmp_path)), [*c.SENTENCE, "pg_id"], 7))
+    kept = {r.gram_key for r in c.percent_filter(counts).collect()}
+    assert {len(n.split()) for n in kept} == {1, 2, 3, 4, 5, 6, 7}
+    monkeypatch.setattr(f, "pair_features", lambda vectors, names, *others: names)
+    assert {r.gram_key for r in text_queries._vectors(spark, str(tmp_path))[0].collect()} <= kept
+    monkeypatch.setattr(f, "character_features", lambda base, *others: base)
+    characters = {r.gram_key for r in text_queries.character_features(spark, str(tmp_path)).collect()}
+    assert {r.gram_key for r in text_queries.pair_features(spark, str(tmp_path)).collect()} == characters
+    assert characters <= kept and max(len(n.split()) for n in characters) == 7 and len(characters) > 6
