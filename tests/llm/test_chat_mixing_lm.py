@@ -6,6 +6,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 from hypothesis import given
 from hypothesis import strategies as st
 
@@ -76,6 +77,22 @@ def test_lm_counts_equal_brute_force(spark, documents, texts):
     assert sum(x.score for x in held) > sum(x.base_score for x in held)
 
 
+def test_lm_learns_from_every_training_text(spark, monkeypatch):
+    monkeypatch.setattr(gru_lm, "SHARD_WORDS", 5000)
+    monkeypatch.setattr(gru_lm, "CHUNK_WORDS", 700)
+    v = gru_lm.Vocabulary([(b"w%d" % i, 500 - i) for i in range(50)] + [(b"", 30)], 20_000, 60)
+    texts = [b" ".join(b"w%d" % (k % 50) for k in range(n)) for n in (3, 0, 1999, 40)]
+    chunks = list(gru_lm._chunks(iter([pa.record_batch([pa.array([t.decode() for t in texts])], names=["text"])]), v))
+    assert [len(c) for c, _ in chunks] == [700, 700, 646]
+    assert (np.concatenate([c for c, _ in chunks]) == v.encode(texts)[0]).all()
+    assert np.flatnonzero(np.concatenate([b for _, b in chunks])).tolist() == [0, 4, 5, 2005]
+    # `sample` texts teach nothing of the pattern that all others have
+    docs = spark.createDataFrame([(i, " ".join("abcdefgh" * 30)) for i in range(300)], "doc_id bigint, text string")
+    gain = sum(r.score - r.base_score for r in gru_lm.op4_lm_scores(docs, sample=1, steps=1).where("held_out").collect())
+    r = gru_lm.op4_lm_scores(docs, sample=1, steps=1).agg({"n_tokens": "sum", "score": "sum", "base_score": "sum"}).first()
+    assert gain > 0 and (r["sum(score)"] - r["sum(base_score)"]) / r["sum(n_tokens)"] > 0.01
+
+
 def test_lm_shares_sum_to_one():
     ranked = [(b"w%d" % i, 900 - i) for i in range(800)] + [(b"", 40)]
     old = gru_lm.HEAD
