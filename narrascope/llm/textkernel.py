@@ -2,13 +2,16 @@
 
 Texts stay UTF-8 bytes: both word rules of this package separate words by ASCII bytes only, so
 every word boundary is found with one table lookup per byte and every word is hashed with a
-prefix sum of a polynomial modulo 2**64, without a Python object per word. Hashes are 64 bits
-wide, equal in every process, and lower-case A-Z on the fly.
+prefix sum of a polynomial modulo 2**64, without a Python object per word. Such polynomials are
+weak on long words of a regular build, so words of more than `_PLAIN` bytes get a BLAKE2 digest
+instead. Hashes are 64 bits wide, equal in every process, and lower-case A-Z on the fly; where two
+words must never be taken for one another, callers compare bytes on a hit.
 """
 
 from __future__ import annotations
 
 import ctypes
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -18,6 +21,7 @@ U = np.uint64
 _BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
 _INVERSE = pow(_BASE, -1, 2**64)
 _BLOCK = 1 << 17  # bytes hashed at a time, small enough for the CPU's caches
+_PLAIN = 64  # bytes of the longest word with a polynomial hash
 
 _rng = np.random.default_rng(20240607)
 BYTE_VALUE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
@@ -94,7 +98,19 @@ class Words:
             s, e = self.start[done:stop] - base, self.end[done:stop] - base
             out[done:stop] = (sums[e] - sums[s]) * inverse[s]
             done = stop
-        return mix(out)
+        out = mix(out)
+        for i in np.flatnonzero(self.end - self.start > _PLAIN).tolist():
+            word = self.data[self.start[i] : self.end[i]].tobytes()
+            out[i] = int.from_bytes(hashlib.blake2b(word if values is BYTE_EXACT else lower_ascii(word), digest_size=8).digest(), "little")
+        return out
+
+    def lowered(self, a: int, b: int) -> list[bytes]:
+        """The words a..b-1 themselves, A-Z lower-cased."""
+        if a >= b:
+            return []
+        base = int(self.start[a])
+        raw = lower_ascii(self.data[base : self.end[b - 1]].tobytes())
+        return [raw[s - base : e - base] for s, e in zip(self.start[a:b].tolist(), self.end[a:b].tolist())]
 
 
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -110,17 +126,21 @@ def powers(n: int) -> list[np.ndarray]:
     return _powers
 
 
-def marks(words: Words) -> np.ndarray:
-    """Length and first eight bytes of each word, in 64 bits: with the hash, they tell words apart."""
-    padded = np.concatenate([words.data, np.zeros(8, np.uint8)])
-    eight = np.ndarray(len(words.data) + 1, "<u8", padded, strides=(1,))[words.start]
-    size = words.end - words.start
-    return (eight & _FIRST[np.minimum(size, 8)]) ^ (size.astype(np.uint64) * U(_BASE))
+def eights(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Up to eight bytes from each place, as numbers."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))[start] & _FIRST[np.clip(size, 0, 8)]
 
 
 _FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
+def marks(words: Words) -> np.ndarray:
+    """Length and first eight bytes of each word, in 64 bits: beside the hash, a second key of a table."""
+    size = words.end - words.start
+    return eights(words.data, words.start, size) ^ (size.astype(np.uint64) * U(_BASE))
+
+
 class WordTable:
     """A hash table from words to numbers in numpy arrays, all lookups of a batch at once: 24 bytes a slot."""
 

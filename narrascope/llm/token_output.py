@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from narrascope.llm.shared import new_path, small_batches
-from narrascope.llm.textkernel import BYTE_EXACT, SPACED, U, Words, WordTable, marks, slices, text_bytes, trimmed
+from narrascope.llm.textkernel import BYTE_EXACT, SPACED, U, Words, WordTable, eights, marks, slices, text_bytes, trimmed
 
 COUNTS = np.array([0, 0, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
 BITS = np.array([0, 64, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
@@ -179,12 +179,13 @@ class WordEncoder:
             self.last[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
             self.pieces_of = regex.compile(self.SPLIT).findall
             self.ascii_pieces = re.compile("[a-z]+|[0-9]|[^a-z0-9]+").findall  # the same for plain ASCII, faster
-        gc.disable()  # millions of small objects without cycles: collections would only walk them again and again
         self.reset()
 
     def reset(self) -> None:
-        self.known = WordTable()
+        self.known, self.n = WordTable(), 0
         self.flat, self.at = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64)
+        self.text, self.text_at = np.zeros(1 << 19, np.uint8), np.zeros(1 << 16, np.int64)  # the known words themselves
+        self.odd: dict[bytes, int] = {}  # words whose table keys another word has
         self.pieces: dict[str, bytes] = {}
 
     def _whole(self, words: list[str]) -> list[bytes]:
@@ -214,15 +215,34 @@ class WordEncoder:
         return [next(others) if x is None else known[x[0]] if len(x) == 1 else b"".join([known[p] for p in x]) for x in split]
 
     def _learn(self, new: list[bytes]) -> None:
-        n, lists = self.known.size, self._encoded(new)
-        base = int(self.at[n])
-        ends = base + np.cumsum([len(x) for x in lists]) // 4
-        while len(self.at) <= n + len(new):
-            self.at = np.concatenate([self.at, np.zeros_like(self.at)])
-        while len(self.flat) < ends[-1]:
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.at[n + 1 : n + 1 + len(lists)] = ends
-        self.flat[base : ends[-1]] = np.frombuffer(b"".join(lists), np.uint32)
+        """Gives the words the next numbers."""
+        lists = self._encoded(new)
+        self.flat, self.at = self._appended(self.flat, self.at, lists, np.uint32)
+        self.text, self.text_at = self._appended(self.text, self.text_at, new, np.uint8)
+        self.n += len(new)
+
+    def _appended(self, flat: np.ndarray, at: np.ndarray, lists: list[bytes], kind: type) -> tuple[np.ndarray, np.ndarray]:
+        n, base = self.n, int(at[self.n])
+        ends = base + np.cumsum([len(x) for x in lists]) // kind().itemsize
+        while len(at) <= n + len(lists):
+            at = np.concatenate([at, np.zeros_like(at)])
+        while len(flat) < ends[-1]:
+            flat = np.concatenate([flat, np.zeros_like(flat)])
+        at[n + 1 : n + 1 + len(lists)] = ends
+        flat[base : ends[-1]] = np.frombuffer(b"".join(lists), kind)
+        return flat, at
+
+    def _other(self, words: Words, numbers: np.ndarray) -> np.ndarray:
+        """The words that differ, in size or in any byte, from the known word of their number."""
+        start, size = words.start, words.end - words.start
+        at = self.text_at[numbers]
+        other = self.text_at[numbers + 1] - at != size
+        live, done = np.flatnonzero(~other), 0
+        while len(live):
+            other[live] = eights(words.data, start[live] + done, size[live] - done) != eights(self.text, at[live] + done, size[live] - done)
+            done += 8
+            live = live[(size[live] > done) & ~other[live]]
+        return np.flatnonzero(other)
 
     def encode(self, data: np.ndarray, at: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids of texts (their bytes and bounds) with `end` after each text, and the number of ids of each text."""
@@ -230,7 +250,7 @@ class WordEncoder:
         if not self.by_word:
             found = [np.array([*x.ids, end], np.uint32) for x in self.tokenizer.encode_batch([raw[a:b].decode() for a, b in zip(at[:-1].tolist(), at[1:].tolist())], add_special_tokens=False)]
             return np.concatenate(found), np.array([len(x) for x in found])
-        if self.known.size > self.LIMIT:
+        if self.n > self.LIMIT:
             self.reset()
         words = Words(data, at, SPACED)
         h, second = words.hashes(BYTE_EXACT), marks(words)
@@ -245,10 +265,16 @@ class WordEncoder:
             first[1:] = pairs[1:] != pairs[:-1]
             rank = np.cumsum(first) - 1
             chosen = missing[order][first]
-            fresh = np.arange(self.known.size, self.known.size + len(chosen), dtype=np.int32)
+            fresh = np.arange(self.n, self.n + len(chosen), dtype=np.int32)
             self._learn([raw[a:b] for a, b in zip(words.start[chosen].tolist(), words.end[chosen].tolist())])
             self.known.add(h[chosen], second[chosen], fresh)
             numbers[missing[order]] = fresh[rank]
+        for i in self._other(words, numbers).tolist():
+            word = raw[words.start[i] : words.end[i]]
+            if word not in self.odd:
+                self.odd[word] = self.n
+                self._learn([word])
+            numbers[i] = self.odd[word]
         begin, length = self.at[numbers], self.at[numbers + 1] - self.at[numbers]
         ends = np.cumsum(length)
         counts = np.diff(np.concatenate([[0], ends])[words.first]) + 1
@@ -278,6 +304,15 @@ _SEGMENT = "part int, seg int, before bigint, doc_ids array<bigint>, doc_sizes a
 def _write(path: str, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, part = encoder(path), TaskContext.get().partitionId()
+        collects = gc.isenabled()
+        gc.disable()  # millions of small objects without cycles: collections would only walk them again and again
+        try:
+            yield from segments(known, part, batches)
+        finally:
+            if collects:
+                gc.enable()
+
+    def segments(known: WordEncoder, part: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seg = before = 0
         names: list = []
         counts: list[np.ndarray] = []

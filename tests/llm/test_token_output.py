@@ -66,3 +66,38 @@ def test_tokenizer_that_keeps_white_space(spark):
 
 def test_empty(spark, documents):
     assert t.op10_token_output(documents.limit(0)).count() == 0
+
+
+def twins():
+    """Two words of 1,032 bytes that a polynomial modulo 2**64 can't tell apart."""
+    signs = "p"
+    while len(signs) < 1024:
+        signs += signs.translate(str.maketrans("pq", "qp"))
+    return "x" * 8 + signs, "x" * 8 + signs.translate(str.maketrans("pq", "qp"))
+
+
+def test_words_of_regular_build_keep_their_ids(monkeypatch):
+    from tokenizers import Tokenizer
+
+    a, b = twins()
+    rows = [a, b, f"{b} {a} one", "one two three one"]
+    tokenizer = Tokenizer.from_file(t.word_tokenizer())
+
+    def encoded():
+        data = "".join(rows).encode()
+        ids, counts = t.WordEncoder(t.word_tokenizer()).encode(np.frombuffer(data, np.uint8), np.cumsum([0, *map(len, rows)]), 1)
+        return ids.tolist(), counts.tolist()
+
+    wanted = [[*tokenizer.encode(x, add_special_tokens=False).ids, 1] for x in rows]
+    assert encoded() == (sum(wanted, []), [len(x) for x in wanted])
+    # even if all words had one hash and one mark
+    monkeypatch.setattr(Words, "hashes", lambda self, values=None: np.full(len(self), 7, np.uint64))
+    monkeypatch.setattr(t, "marks", lambda words: np.full(len(words), 7, np.uint64))
+    assert encoded() == (sum(wanted, []), [len(x) for x in wanted])
+
+
+def test_a_worker_collects_garbage_again(spark):
+    import gc
+
+    t.encoder(t.word_tokenizer())
+    assert gc.isenabled()
