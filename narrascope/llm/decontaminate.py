@@ -4,7 +4,7 @@ The normalised test items become one suffix automaton over words. Every document
 words through it; the automaton's state and length give the longest item passage that ends at
 each word. A word is hit when it lies in an occurrence of a window: `window` consecutive item
 words, or a whole item that has fewer. Passages that no run of item word pairs could contain are
-skipped before the walk, which changes no result.
+skipped before the walk by their hashes, which changes no result: the walk itself compares words.
 
 Items are taken in blocks of at most `BLOCK_WORDS` words, each with its own automaton and its own
 pass, so neither the driver nor a broadcast grows with the benchmark.
@@ -20,17 +20,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from narrascope.llm.shared import saved, small_batches
-from narrascope.llm.textkernel import ALPHANUMERIC, Words, grams, slices, text_bytes, trimmed
+from narrascope.llm.textkernel import ALPHANUMERIC, Words, grams, hash_word_list, slices, text_bytes, trimmed
 
 BLOCK_WORDS = 200_000
 _FILTER_BITS = 22
 
 
 class SuffixAutomaton:
-    """Of some items (id, word hashes); `found[state]` lists (window length, item numbers), longest first."""
+    """Of some items (id or None, words); `found[state]` lists (window length, item numbers), longest first."""
 
-    def __init__(self, items: list[tuple[str, list[int]]], window: int):
+    def __init__(self, items: list[tuple[str | None, list[bytes]]], window: int):
         self.ids, self.window = [i for i, _ in items], window
+        self.number: dict[bytes, int] = {}
+        texts = [words for _, words in items]
+        hashes = np.split(hash_word_list([w for words in texts for w in words]), np.cumsum([len(words) for words in texts])[:-1]) if texts else []
+        items = [(i, [self.number.setdefault(w, len(self.number)) for w in words]) for i, words in items]
         self.next: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
         for _, words in items:
@@ -39,7 +43,7 @@ class SuffixAutomaton:
                 last = self._extend(last, w)
         own: list[dict[int, set[int]]] = [{} for _ in self.link]
         self.shortest, pairs = window, []
-        for number, (_, words) in enumerate(items):
+        for number, ((_, words), h) in enumerate(zip(items, hashes)):
             size = min(window, len(words))
             self.shortest = min(self.shortest, size) if size else self.shortest
             state = 0
@@ -50,10 +54,9 @@ class SuffixAutomaton:
                     while self.length[self.link[v]] >= size:
                         v = self.link[v]
                     own[v].setdefault(size, set()).add(number)
-            h = np.array(words, np.uint64)
             pairs.append(grams(h, 2) if self.shortest > 1 else h)
         if self.shortest == 1:
-            pairs = [np.array(words, np.uint64) for _, words in items]
+            pairs = hashes
         self.found: list[list[tuple[int, tuple[int, ...]]]] = [[] for _ in self.link]
         for v in sorted(range(1, len(self.link)), key=self.length.__getitem__):
             self.found[v] = sorted(((k, tuple(sorted(x))) for k, x in own[v].items()), reverse=True) + self.found[self.link[v]]
@@ -90,8 +93,8 @@ class SuffixAutomaton:
         self.length.append(length)
         return len(self.link) - 1
 
-    def runs(self, words: Words) -> Iterator[tuple[int, int, int]]:
-        """(text, first word, one past the last) of the passages that may hold a window."""
+    def runs(self, words: Words) -> Iterator[tuple[int, int, list[int]]]:
+        """(text, first word, numbers of the words, -1 for those of no item) of the passages that may hold a window."""
         h = words.hashes()
         pair = self.shortest > 1
         likely = self.filter[((grams(h, 2) if pair else h) & np.uint64((1 << _FILTER_BITS) - 1)).astype(np.int64)]
@@ -109,8 +112,9 @@ class SuffixAutomaton:
         good = end - begin >= self.shortest
         begin, end = begin[good], end[good]
         text = np.searchsorted(words.first, begin, "right") - 1
+        known = self.number.get
         for d, a, b in zip(text.tolist(), begin.tolist(), end.tolist()):
-            yield d, a, h[a:b].tolist()
+            yield d, a, [known(w, -1) for w in words.lowered(a, b)]
 
     def matches(self, words: Words) -> dict[int, tuple[list[list[int]], set[int], int, list[tuple[int, int]]]]:
         """Of each text with a window: its merged hit word ranges, the items with windows in it, its longest match, and the places of whole items shorter than a window."""
@@ -159,9 +163,10 @@ def merged(spans: list[list[int]]) -> list[list[int]]:
 
 def item_blocks(items: DataFrame, window: int, id_column: str, text_column: str) -> Iterator[SuffixAutomaton]:
     block, size = [], 0
-    for name, text in items.select(F.col(id_column).cast("string"), text_column).where(F.col(id_column).isNotNull() & F.col(text_column).isNotNull()).toLocalIterator():
+    for name, text in items.select(F.col(id_column).cast("string"), text_column).where(F.col(text_column).isNotNull()).toLocalIterator():
         raw = np.frombuffer(text.encode(), np.uint8)
-        words = Words(raw, np.array([0, len(raw)]), ALPHANUMERIC).hashes().tolist()
+        split = Words(raw, np.array([0, len(raw)]), ALPHANUMERIC)
+        words = split.lowered(0, len(split))
         if words:
             if block and size + len(words) > BLOCK_WORDS:
                 yield SuffixAutomaton(block, window)
@@ -189,7 +194,7 @@ def _scan(automaton, text_column: str, again: bool, with_text: bool):
                 for d, (s, numbers, size, _) in hits.items():
                     old = list(zip(spans[d][::2], spans[d][1::2]))
                     spans[d] = [x for pair in merged([list(p) for p in old] + s) for x in pair]
-                    items[d] = sorted({*items[d], *(found.ids[x] for x in numbers)})
+                    items[d] = sorted({*items[d], *(found.ids[x] for x in numbers if found.ids[x] is not None)})
                     longest[d] = max(longest[d], size)
                 n_hit = [sum(x[1::2]) - sum(x[::2]) for x in spans]
                 first = batch.schema.names if not again else batch.schema.names[:-5]
@@ -209,9 +214,11 @@ def _ddl(df: DataFrame, leave_out: str | None = None) -> str:
 def contamination(docs: DataFrame, items: DataFrame, window: int = 10, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id") -> DataFrame:
     """doc_id, n_words, n_hit, longest, spans (word ranges, flattened) and items of every row of docs.
 
-    A null or empty text has no words; a null item text has no windows; an item with a null id is
-    left out. Repeated items count once per distinct id, repeated documents once per row. Other
-    columns of docs are ignored, so their names don't matter; an empty table on either side works.
+    A null or empty text has no words; a null item text has no windows; the windows of an item
+    with a null id hit words, but the item is not listed. Repeated items count once per distinct
+    id, repeated documents once per row. A text of any length is read whole, in a few passes over
+    its bytes. Other columns of docs are ignored, so their names don't matter; an empty table on
+    either side works.
     """
     seen = small_batches(docs).select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
     blocks = item_blocks(items, window, item_column, "text")
@@ -290,8 +297,9 @@ def remove_contamination(docs: DataFrame, items: DataFrame, window: int = 10, sp
     A hit range of `span_limit` words or more, or one that holds a whole shorter item, is cut out
     of its text (and `length_column`, if named, is set to the new length); a document of which
     more than `coverage_limit` of the words are hit goes as a whole. All other rows stay as they
-    are, null and empty texts included. The hits of all blocks of items are gathered first, so
-    the number of blocks changes no result.
+    are, null and empty texts included; repeated rows, and rows with null ids, are treated alike;
+    a very long text is cut like any other. The hits of all blocks of items are gathered first,
+    so the number of blocks changes no result. An empty table on either side works.
     """
     docs = small_batches(docs)
     length = length_column if length_column in docs.columns else None
@@ -318,13 +326,13 @@ def op1_contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 ORACLE = r"""
 WITH words AS (SELECT doc_id, hash(doc_id, text) AS row, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
-items AS (SELECT item_id::VARCHAR AS item, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL),
+items AS (SELECT item_id::VARCHAR AS item, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark WHERE text IS NOT NULL),
 wins AS (SELECT DISTINCT item, least(len(w), 10) AS k, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS i FROM items WHERE len(w) > 0)),
 sizes AS (SELECT DISTINCT k FROM wins),
 grams AS (SELECT doc_id, row, k, i, array_to_string(w[i:i + k - 1], ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS i FROM words, sizes WHERE len(w) >= k)),
 hits AS (SELECT DISTINCT doc_id, row, i, grams.k, item FROM grams JOIN wins ON grams.k = wins.k AND grams.g = wins.g),
 covered AS (SELECT row, count(DISTINCT p) AS n FROM (SELECT row, unnest(range(i, i + k)) AS p FROM hits) GROUP BY row),
-named AS (SELECT row, count(*) AS n, string_agg(item, ',' ORDER BY item) AS listed FROM (SELECT DISTINCT row, item FROM hits) GROUP BY row)
+named AS (SELECT row, count(*) AS n, string_agg(item, ',' ORDER BY item) AS listed FROM (SELECT DISTINCT row, item FROM hits WHERE item IS NOT NULL) GROUP BY row)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(c.n, 0)::BIGINT AS n_hit, coalesce(d.n, 0)::BIGINT AS n_items, sha256(coalesce(listed, '')) AS items_sha256, coalesce(c.n, 0) > 0 AS contaminated
 FROM words LEFT JOIN covered c USING (row) LEFT JOIN named d USING (row)
 """

@@ -5,7 +5,7 @@ import narrascope.llm.decontaminate as d
 
 from llm_words import alphanumeric
 
-EXTRA = [(900, "the of"), (901, "Was"), (902, ""), (903, None), (904, "one two three four five six seven eight nine")]
+EXTRA = [(900, "the of"), (901, "Was"), (902, ""), (903, None), (904, "one two three four five six seven eight nine"), (None, "words here")]
 
 
 def brute(texts, items):
@@ -14,7 +14,7 @@ def brute(texts, items):
         words = alphanumeric(text)
         k = min(10, len(words))
         for j in range(len(words) - k + 1 if k else 0):
-            windows.setdefault(tuple(words[j : j + k]), set()).add(str(i))
+            windows.setdefault(tuple(words[j : j + k]), set()).update([] if i is None else [str(i)])
     out = Counter()
     for i, text in texts:
         words, hit, found = alphanumeric(text), set(), set()
@@ -77,3 +77,33 @@ def test_number_of_item_blocks_changes_no_removal(spark, monkeypatch):
         found.append({r.doc_id: r.text for r in d.remove_contamination(df, items).collect()})
     assert found[0] == found[1]
     assert 1 not in found[1] and found[1][2] == f"x  y {rest} {rest}" and found[1][4] == rest and found[1][5] is None
+
+
+def test_words_are_compared_not_hashes(spark, monkeypatch):
+    import numpy as np
+
+    words = [f"w{i}" for i in range(12)]
+    one = d.SuffixAutomaton([("a", [w.encode() for w in words])], 10)
+    text = " ".join(["other", *words[:9], "w99", *words[1:]]).encode()
+    monkeypatch.setattr(d.Words, "hashes", lambda self, values=None: np.full(len(self), 7, np.uint64))
+    one.filter[:] = True
+    found = one.matches(d.Words(np.frombuffer(text, np.uint8), np.array([0, len(text)]), d.ALPHANUMERIC))
+    assert {k: v[0] for k, v in found.items()} == {0: [[11, 22]]}
+
+
+def test_item_without_an_id_is_removed(spark):
+    item = "a b c d e f g h i j k l"
+    items = spark.createDataFrame([(None, item)], "item_id bigint, text string")
+    docs = spark.createDataFrame([(1, f"x {item} y " + "z " * 30)], "doc_id bigint, text string")
+    row = d.op1_contamination(docs, items).first()
+    assert (row.n_hit, row.n_items, row.contaminated) == (12, 0, True)
+    assert " ".join(d.remove_contamination(docs, items).first().text.replace("z", "").split()) == "x y"
+
+
+def test_very_long_text(spark):
+    item = "a b c d e f g h i j k l"
+    items = spark.createDataFrame([(1, item)], "item_id bigint, text string")
+    docs = spark.createDataFrame([(1, "word " * 400_000 + item + " end" * 400_000)], "doc_id bigint, text string")
+    row = d.op1_contamination(docs, items).first()
+    assert (row.n_words, row.n_hit) == (800_012, 12)
+    assert d.remove_contamination(docs, items).first().text == "word " * 400_000 + " end" * 400_000
