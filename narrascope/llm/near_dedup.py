@@ -2,8 +2,8 @@
 
 Every document becomes a set of word shingles, 120 MinHash samples, 24 band keys and an odd
 sketch: a parity bitmap into which the samples are folded, so that the population count of the
-XOR of two sketches estimates a high similarity. Documents with equal sets collapse into one
-node first. Every bucket of a band has its smallest node as its hub, and all buckets of a hub form one
+XOR of two sketches estimates a high similarity. Documents with equal sets, told by 128-bit keys,
+collapse into one node first; nodes are numbered in a table, so no two share a number. Every bucket of a band has its smallest node as its hub, and all buckets of a hub form one
 cell, so each pair that shares a bucket shares a cell, while a node is in a cell once. Sketches
 are compared inside a cell, and rows without a plausible partner leave it; what stays is confirmed
 on full sets and gives at most one link a row, between parts that are not yet connected. Large
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from narrascope.llm.shared import saved, small_batches
+from narrascope.llm.shared import saved, skewed_join, small_batches
 from narrascope.llm.textkernel import SPACED, U, Words, grams, mix, slices, text_bytes, trimmed
 
 BANDS, ROWS = 24, 5
@@ -58,10 +58,12 @@ def shingle_sets(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def set_keys(values: np.ndarray, bounds: np.ndarray, full: np.ndarray) -> np.ndarray:
-    """A 64-bit key of each non-empty set (`full`: their numbers)."""
+    """Two 64-bit keys of each non-empty set (`full`: their numbers), as two rows."""
     if not len(full):
-        return np.zeros(0, np.uint64)
-    return mix(np.add.reduceat(mix(values), bounds[:-1][full]) + (bounds[1:] - bounds[:-1])[full].astype(np.uint64) * U(0x9E3779B97F4A7C15))
+        return np.zeros((2, 0), np.uint64)
+    sizes = (bounds[1:] - bounds[:-1])[full].astype(np.uint64) * U(0x9E3779B97F4A7C15)
+    spread = mix(values)
+    return np.stack([mix(np.add.reduceat(spread, bounds[:-1][full]) + sizes), mix(np.add.reduceat(mix(spread ^ U(0x5851F42D4C957F2D)), bounds[:-1][full]) ^ sizes)])
 
 
 def samples(values: np.ndarray, bounds: np.ndarray, full: np.ndarray) -> np.ndarray:
@@ -107,7 +109,7 @@ def most_different_bits(similarity: float, sigmas: float = 5.0) -> int:
     return min(n, int(mean + sigmas * spread) + 1)
 
 
-def _describe(k: int, id_column: str, text_column: str):
+def _describe(k: int, kept: list[str], text_column: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, text_column):
@@ -116,23 +118,23 @@ def _describe(k: int, id_column: str, text_column: str):
                 n = np.diff(bounds)
                 full = np.flatnonzero(n)
                 sampled = samples(values, bounds, full)
-                node = np.zeros(len(n), np.int64)
-                node[full] = set_keys(values, bounds, full).view(np.int64)
+                keys = np.zeros((2, len(n)), np.int64)
+                keys[:, full] = set_keys(values, bounds, full).view(np.int64)
                 bands = np.zeros((len(n), BANDS), np.int64)
                 bands[full] = band_keys(sampled).view(np.int64)
                 sketch = np.zeros((len(n), SKETCH_WORDS), np.int64)
                 sketch[full] = odd_sketches(sampled).view(np.int64)
                 listed = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(batch.schema.get_field_index(id_column)), pa.array(n.astype(np.int64)), pa.array(node, mask=n == 0), listed(bands), listed(sketch)],
-                    names=["doc_id", "n_shingles", "node", "bands", "sketch"],
+                    [batch.column(batch.schema.get_field_index(c)) for c in kept] + [pa.array(n.astype(np.int64)), *(pa.array(key, mask=n == 0) for key in keys), listed(bands), listed(sketch)],
+                    names=[*kept, "n_shingles", "key", "key2", "bands", "sketch"],
                 )
 
     return run
 
 
 def _sets(k: int):
-    """(text, node) rows to (node, its set as bytes); a text that has another set gives no row."""
+    """(text, node, key, key2) rows to (node, its set as bytes); a text that has another set gives no row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -140,8 +142,8 @@ def _sets(k: int):
                 data, at = text_bytes(batch.column(batch.schema.get_field_index("text")))
                 values, bounds = shingle_sets(Words(data, at, SPACED), k)
                 full = np.flatnonzero(np.diff(bounds))
-                wanted = batch.column(batch.schema.get_field_index("node")).to_numpy(zero_copy_only=False)[full]
-                good = full[set_keys(values, bounds, full).view(np.int64) == wanted]
+                wanted = np.stack([batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False)[full] for c in ("key", "key2")])
+                good = full[(set_keys(values, bounds, full).view(np.int64) == wanted).all(axis=0)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(batch.column(batch.schema.get_field_index("node")).to_numpy(zero_copy_only=False)[good]), pa.array([values[bounds[i] : bounds[i + 1]].tobytes() for i in good], pa.binary())],
                     names=["node", "shingles"],
@@ -253,15 +255,17 @@ def components(edges: DataFrame) -> DataFrame:
     """(a, b) links between 64-bit nodes to (node, comp), comp the smallest node of the connected part.
 
     Alternates large-star and small-star steps; both are grouped minima that combine before the
-    shuffle, and each step's result is a table in the shared folder.
+    shuffle, each step's result is a table in the shared folder, and a node with many links is
+    joined apart from the others.
     """
     links = saved(edges.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct(), "links")
     while True:
+        n = links.count()
         both = links.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(links.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
-        low = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        small = large.join(low, "hi").select(F.explode(F.array(F.struct(F.col("hi").alias("hi"), F.col("m").alias("lo")), F.struct(F.col("lo").alias("hi"), F.col("m").alias("lo")))).alias("e")).select("e.*").where("hi <> lo").distinct()
+        least = saved(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n")), "least")
+        large = saved(skewed_join(both, least, ["u"], 2 * n).where("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct(), "large")
+        low = saved(large.groupBy("hi").agg(F.min("lo").alias("m"), F.count("*").alias("n")), "low")
+        small = skewed_join(large, low, ["hi"], n).select(F.explode(F.array(F.struct(F.col("hi").alias("hi"), F.col("m").alias("lo")), F.struct(F.col("lo").alias("hi"), F.col("m").alias("lo")))).alias("e")).select("e.*").where("hi <> lo").distinct()
         new = saved(small, "links")
         settled = new.groupBy("hi").agg(F.count("*").alias("n")).where("n > 1").isEmpty() and new.join(new.select(F.col("hi").alias("lo")).distinct(), "lo", "left_semi").isEmpty()
         links = new
@@ -270,26 +274,22 @@ def components(edges: DataFrame) -> DataFrame:
     return links.select(F.col("hi").alias("node"), F.col("lo").alias("comp")).union(links.select(F.col("lo").alias("node"), F.col("lo").alias("comp")).distinct())
 
 
-def near_duplicates(docs: DataFrame, words: int = 3, num: int = 85, den: int = 100, id_column: str = "doc_id", text_column: str = "text", block: int = 500) -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id (smallest linked doc_id, itself included), kept.
-
-    Two documents are linked when den * |A & B| >= num * |A | B| for their sets of distinct
-    shingles of `words` words (A-Z lower-cased, words split at ASCII white space). A null, empty
-    or blank text has an empty set and no links. A row with a null doc_id is linked with nothing,
-    has a null component_id and is kept. Rows that repeat a doc_id each get their own set; equal
-    rows get equal results. Other columns of docs are ignored; an empty table gives no rows.
-    """
-    rows = small_batches(docs).select(F.col(id_column).cast("bigint").alias("doc_id"), F.col(text_column).alias("text"))
-    described = saved(rows.mapInArrow(trimmed(_describe(words, "doc_id", "text")), "doc_id bigint, n_shingles bigint, node bigint, bands array<bigint>, sketch array<bigint>"), "described")
-    linkable = described.where("node IS NOT NULL AND doc_id IS NOT NULL")
-    nodes = saved(linkable.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "nodes")
+def _linked(rows: DataFrame, words: int, num: int, den: int, block: int) -> DataFrame:
+    """rows (doc_id, text and perhaps more) with n_shingles and component_id in place of text."""
+    kept = [c for c in rows.columns if c != "text"]
+    ddl = "".join(f"{c} {rows.schema[c].dataType.simpleString()}, " for c in kept)
+    described = saved(rows.mapInArrow(trimmed(_describe(words, kept, "text")), ddl + "n_shingles bigint, key bigint, key2 bigint, bands array<bigint>, sketch array<bigint>"), "described")
+    total = described.count()
+    key = ["key", "key2"]
+    sets = described.where("key IS NOT NULL AND doc_id IS NOT NULL").groupBy(*key).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    nodes = saved(sets.withColumn("node", F.monotonically_increasing_id()), "nodes")  # numbered where they are written, once
     most = most_different_bits(num / den)
-    buckets = nodes.select("node", F.explode("bands").alias("key"))
-    hubs = buckets.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1").select("key", "a")
-    stars = saved(buckets.join(hubs, "key").select("a", "node").distinct(), "stars")
-    blocks = stars.groupBy("a").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    buckets = nodes.select("node", F.explode("bands").alias("band"))
+    hubs = saved(buckets.groupBy("band").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1"), "hubs")
+    stars = saved(skewed_join(buckets, hubs, ["band"], BANDS * total).select("a", "node").distinct(), "stars")
+    sizes = saved(stars.groupBy("a").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"), F.count("*").alias("n")), "blocks")
     cells = (
-        stars.join(blocks, "a")
+        skewed_join(stars, sizes, ["a"], BANDS * total)
         .withColumn("blk", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
         .withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("a", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"), "node", "blk")
@@ -297,18 +297,53 @@ def near_duplicates(docs: DataFrame, words: int = 3, num: int = 85, den: int = 1
     sketches = nodes.select("node", "sketch")
     cell = ["a", "i", "j"]
     likely = saved(cells.join(sketches, "node").repartition(*cell).sortWithinPartitions(*cell).mapInArrow(trimmed(_plausible(most)), "a bigint, i int, j int, node bigint, blk int"), "likely")
-    needed = nodes.select("node", "doc_id").join(likely.select("node").distinct(), "node", "left_semi")
-    texts = rows.join(needed, "doc_id")
-    sets = saved(texts.select("node", "text").mapInArrow(trimmed(_sets(words)), "node bigint, shingles binary"), "sets").dropDuplicates(["node"])
-    full = likely.join(sketches, "node").join(sets, "node")
+    needed = nodes.select("node", "doc_id", *key).join(likely.select("node").distinct(), "node", "left_semi")
+    texts = rows.select("doc_id", "text").join(needed, "doc_id")
+    full_sets = saved(texts.select("node", *key, "text").mapInArrow(trimmed(_sets(words)), "node bigint, shingles binary"), "sets").dropDuplicates(["node"])
+    full = likely.join(sketches, "node").join(full_sets, "node")
     edges = full.repartition(*cell).sortWithinPartitions(*cell, "node").mapInArrow(trimmed(_links(num, den, most)), "a bigint, b bigint")
     parts = saved(components(edges), "parts")
-    least = nodes.select("node", "doc_id").join(parts, "node").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    labels = parts.join(least, "comp").select("node", "component_id")
-    labelled = nodes.select("node", F.col("doc_id").alias("own")).join(labels, "node", "left").select("node", F.coalesce("component_id", "own").alias("component_id"))
-    found = described.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node")).join(labelled, "node", "left")
-    component = F.coalesce("component_id", "doc_id")
-    return found.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id").isNull() | (F.col("doc_id") == component)).alias("kept"))
+    least = saved(nodes.select("node", "doc_id").join(parts, "node").groupBy("comp").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n")), "component-ids")
+    labels = saved(skewed_join(parts, least, ["comp"], total).select("node", "component_id"), "labels")
+    labelled = saved(nodes.select("node", *key, "n", F.col("doc_id").alias("own")).join(labels, "node", "left").select(*key, "n", F.coalesce("component_id", "own").alias("component_id")), "labelled")
+    found = described.select(*kept, "n_shingles", *(F.when(F.col("doc_id").isNotNull(), F.col(c)).alias(c) for c in key))
+    return skewed_join(found, labelled, key, total, "left").select(*kept, "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, words: int = 3, num: int = 85, den: int = 100, id_column: str = "doc_id", text_column: str = "text", block: int = 500) -> DataFrame:
+    """One row per input row: doc_id, n_shingles, component_id (smallest linked doc_id, itself included), kept.
+
+    Two documents are linked when den * |A & B| >= num * |A | B| for their sets of distinct
+    shingles of `words` words (A-Z lower-cased, words split at ASCII white space). A null, empty
+    or blank text has an empty set and no links. A row with a null doc_id is linked with nothing,
+    has a null component_id and is kept. Rows that repeat a doc_id each get their own set; equal
+    rows get equal results. A text of any length gives its whole set. Other columns of docs are
+    ignored; an empty table gives no rows.
+    """
+    rows = small_batches(docs).select(F.col(id_column).cast("bigint").alias("doc_id"), F.col(text_column).alias("text"))
+    found = _linked(rows, words, num, den, block)
+    return found.select("doc_id", "n_shingles", "component_id", (F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))).alias("kept"))
+
+
+def without_copies(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_column: str = "doc_id", text_column: str = "text", block: int = 500) -> DataFrame:
+    """docs, of which one row of each group of near copies stays: that with the smallest id, and of several such rows that with the smallest MD5 of its text.
+
+    Rows without words, and rows with a null id, are linked with nothing and all stay. Of rows
+    that repeat both id and text that with the smallest other columns stays. Columns may have
+    any names; a very long text is compared as a whole; an empty table gives no rows.
+    """
+    content = F.unhex(F.md5(F.coalesce(F.col(text_column), F.lit("")).cast("binary")))
+    rows = small_batches(docs).select(F.col(id_column).cast("bigint").alias("doc_id"), F.col(text_column).alias("text"), content.alias("content"))
+    found = _linked(rows, words, num, den, block).where("n_shingles > 0 AND doc_id IS NOT NULL")
+    first = found.groupBy("component_id").agg(F.min(F.struct("doc_id", "content")).alias("f")).select(F.col("f.doc_id").alias("_own_id"), F.col("f.content").alias("_own_content"))
+    blank = F.coalesce(F.translate(text_column, " \t\n\x0b\x0c\r", "") == "", F.lit(True))
+    alone = docs.where(F.col(id_column).isNull() | blank)
+    others = [c for c in docs.columns if c not in (id_column, text_column)]
+    whole = F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others))) if others else F.lit(0)
+    once = docs.where(F.col(id_column).isNotNull() & ~blank).groupBy(F.col(id_column).alias("_id"), content.alias("_content")).agg(F.min(whole).alias("_rest"), F.first(text_column).alias("_text"))
+    kept = once.join(first, (F.col("_id").cast("bigint") == F.col("_own_id")) & (F.col("_content") == F.col("_own_content")), "left_semi")
+    columns = {id_column: F.col("_id"), text_column: F.col("_text"), **{c: F.col(f"_rest.c{i}") for i, c in enumerate(others)}}
+    return kept.select(*(columns[c].alias(c) for c in docs.columns)).unionByName(alone)
 
 
 ORACLE = r"""

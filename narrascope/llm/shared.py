@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -13,11 +14,13 @@ _kept: list[tuple[SparkSession, str]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """`spark.checkpoint.dir` of the session; only where it is unset (as in tests) a folder of this process."""
+    """`spark.checkpoint.dir` of the session; where it is unset, a folder of this process, on a local master only."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         if found.isEmpty():
+            if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="narrascope-"))
             found = spark.sparkContext._jsc.sc().getCheckpointDir()
         folder = found.get()
@@ -64,6 +67,26 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+#: A key with this many rows of a join's left side, or with one row in HOT_KEYS, is hot; so there are at most HOT_KEYS of them.
+HOT_ROWS, HOT_KEYS = 1_000, 4_096
+
+
+def skewed_join(left: DataFrame, right: DataFrame, keys: list[str], rows: int, how: str = "inner") -> DataFrame:
+    """left joined to right on keys, without any hot key's rows in one task.
+
+    right has one row a key, and `n`, how many of left's rows have it, which the result leaves
+    out; `rows` is the number of left's rows. The hot keys' rows of right, at most `HOT_KEYS`,
+    are broadcast; all others meet in a shuffle. Both must be cheap to read twice. A null key
+    has no partner.
+    """
+    least = max(HOT_ROWS, -(-rows // HOT_KEYS))
+    hot = F.broadcast(right.where(F.col("n") >= least).drop("n"))
+    if hot.isEmpty():
+        return left.join(right.drop("n"), keys, how)
+    rest = left.join(F.broadcast(right.where(F.col("n") >= least).select(*keys)), keys, "left_anti")
+    return left.join(hot, keys).unionByName(rest.join(right.where(F.col("n") < least).drop("n"), keys, how))
+
+
 def ascii_lower(column: Column) -> Column:
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 

@@ -82,3 +82,41 @@ def test_components(spark):
 
 def test_empty(spark, documents):
     assert n.near_duplicates(documents.limit(0)).count() == 0
+
+
+def test_hot_keys_are_joined_apart(spark, monkeypatch):
+    """With a low bound nearly all keys are hot, and results stay."""
+    from narrascope.llm import shared
+
+    monkeypatch.setattr(shared, "HOT_ROWS", 2)
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(40)]
+    texts = [(i, "the same text in many rows") for i in range(30)]
+    for i in range(40):
+        words[rng.randrange(40)] = f"v{i}"
+        texts.append((100 + i, " ".join(words)))
+    df = spark.createDataFrame(texts, "doc_id bigint, text string")
+    assert result(n.near_duplicates(df, block=7)) == brute(texts)
+
+
+def test_one_of_each_group_stays(spark):
+    long = "a b c d e f g h i j k l m n o p q r s t u v w x y z " * 3
+    rows = [
+        (4, long, "en", "s1"),
+        (2, long.upper(), "en", "s2"),  # an equal set
+        (2, long + "new words at the end of it", "en", "s0"),  # another text under the same id
+        (2, long + "new words at the end of it", "de", "s0"),  # and once more
+        (7, "nothing of the kind is in here at all", None, "s3"),
+        (7, "a wholly different text under an id of two", "fr", "s3"),
+        (None, long, "en", "s4"),
+        (8, None, "en", "s5"),
+        (8, " \n", "en", "s5"),
+        (8, "", "en", "s5"),
+    ]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, `key` string, `component_id` string")
+    kept = Counter(map(tuple, n.without_copies(df).collect()))
+    import hashlib
+
+    twin = min((x for x in rows[1:4]), key=lambda r: (hashlib.md5(r[1].encode()).digest(), r[2], r[3]))
+    assert kept == Counter([twin, *rows[4:]])
+    assert n.without_copies(df.limit(0)).count() == 0 and n.without_copies(df).columns == df.columns
