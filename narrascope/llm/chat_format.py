@@ -4,8 +4,8 @@ A template declares, for each role, what stands before and after a turn's text,
 counts for the loss, and which roles may follow. The machine runs over a conversation's turns in
 order and emits, per turn, text segments with a loss flag each: the marks without, an assistant's
 text with it. Control strings inside texts are escaped reversibly: a backslash doubles, and one
-is put after every `[` and `<`, so no control string, which all begin with one of these two and
-go on with another character, can stand inside an escaped text.
+is put after every `[`, `<` and `>`, so no control string, which all begin with `[` or `<` (or
+are `>` alone) and go on with another character, can stand inside an escaped text.
 
 A conversation is streamed in turn order, sorted by the shuffle: a task holds one row at a time,
 however long the conversation. Its digests are sequential hashes and so are streamed, too.
@@ -17,6 +17,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -104,7 +105,8 @@ def format_chats(conversations: DataFrame, template: Template = TEMPLATE) -> Dat
 
     Turns are ordered by turn, role and text, nulls first; a null text or role is empty; a null
     conv_id is a conversation of its own; repeated rows are turns of their own (and then not
-    valid). Other columns are ignored; an empty table gives no rows.
+    valid). A text of any length is one turn. Other columns are ignored; an empty table gives no
+    rows.
     """
     rows = small_batches(conversations).select(F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").cast("bigint").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     ordered = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
@@ -116,9 +118,11 @@ def _digest(template: Template):
         def __init__(self, conversation):
             self.conversation, self.turns, self.all = conversation, 0, hashlib.sha256()
             self.chars, self.loss_chars, self.loss = 0, 0, hashlib.sha256()
-            self.valid, self.role = True, ""
+            self.valid, self.role, self.unread = True, "", ""
 
         def row(self):
+            if self.unread:
+                raise ValueError(f"conversation {self.conversation}: formatted text that is no turn")
             return (self.conversation, self.turns, self.all.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.chars, self.valid and self.role in template.last)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,18 +137,22 @@ def _digest(template: Template):
                         done.append(state.row())
                     state = State(c)
                 written = "".join(pieces)
-                for m in pattern.finditer(written):  # read back from what was written
+                state.unread += written
+                while m := pattern.match(state.unread):  # read back from the conversation as it was written
                     named = m.groupdict()
                     i = next((i for i in range(len(numbers)) if named[f"r{i}"] is not None), None)
                     role, text = (unescape(named["role"]), unescape(named["text"])) if i is None else (numbers[i], unescape(named[f"t{i}"]))
                     state.turns += 1
                     state.role = role
                     state.all.update(f"{role}\n{text}\n".encode())
+                    state.unread = state.unread[m.end() :]
                 state.chars += len(written)
                 state.valid &= valid
-                for piece in (unescape(p) for p, counts in zip(pieces, loss) if counts):
-                    state.loss_chars += len(piece)
-                    state.loss.update(piece.encode())
+                stops = list(accumulate(map(len, pieces)))
+                for begin, stop in ((b - len(p), b) for p, b, counts in zip(pieces, stops, loss) if counts):  # the loss mask over the written text
+                    text = unescape(written[begin:stop])
+                    state.loss_chars += len(text)
+                    state.loss.update(text.encode())
             yield batch_of(done)
         if state is not None:
             yield batch_of([state.row()])

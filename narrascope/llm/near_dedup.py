@@ -275,7 +275,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _linked(rows: DataFrame, words: int, num: int, den: int, block: int) -> DataFrame:
-    """rows (doc_id, text and perhaps more) with n_shingles and component_id in place of text."""
+    """rows (doc_id, text and perhaps more) with n_shingles, part (a number of the connected part, unlike its smallest id never shared) and component_id in place of text."""
     kept = [c for c in rows.columns if c != "text"]
     ddl = "".join(f"{c} {rows.schema[c].dataType.simpleString()}, " for c in kept)
     described = saved(rows.mapInArrow(trimmed(_describe(words, kept, "text")), ddl + "n_shingles bigint, key bigint, key2 bigint, bands array<bigint>, sketch array<bigint>"), "described")
@@ -304,10 +304,10 @@ def _linked(rows: DataFrame, words: int, num: int, den: int, block: int) -> Data
     edges = full.repartition(*cell).sortWithinPartitions(*cell, "node").mapInArrow(trimmed(_links(num, den, most)), "a bigint, b bigint")
     parts = saved(components(edges), "parts")
     least = saved(nodes.select("node", "doc_id").join(parts, "node").groupBy("comp").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n")), "component-ids")
-    labels = saved(skewed_join(parts, least, ["comp"], total).select("node", "component_id"), "labels")
-    labelled = saved(nodes.select("node", *key, "n", F.col("doc_id").alias("own")).join(labels, "node", "left").select(*key, "n", F.coalesce("component_id", "own").alias("component_id")), "labelled")
+    labels = saved(skewed_join(parts, least, ["comp"], total).select("node", "comp", "component_id"), "labels")
+    labelled = saved(nodes.select("node", *key, "n", F.col("doc_id").alias("own")).join(labels, "node", "left").select(*key, "n", F.coalesce("comp", "node").alias("part"), F.coalesce("component_id", "own").alias("component_id")), "labelled")
     found = described.select(*kept, "n_shingles", *(F.when(F.col("doc_id").isNotNull(), F.col(c)).alias(c) for c in key))
-    return skewed_join(found, labelled, key, total, "left").select(*kept, "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return skewed_join(found, labelled, key, total, "left").select(*kept, "n_shingles", "part", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, num: int = 85, den: int = 100, id_column: str = "doc_id", text_column: str = "text", block: int = 500) -> DataFrame:
@@ -335,7 +335,7 @@ def without_copies(docs: DataFrame, words: int = 5, num: int = 80, den: int = 10
     content = F.unhex(F.md5(F.coalesce(F.col(text_column), F.lit("")).cast("binary")))
     rows = small_batches(docs).select(F.col(id_column).cast("bigint").alias("doc_id"), F.col(text_column).alias("text"), content.alias("content"))
     found = _linked(rows, words, num, den, block).where("n_shingles > 0 AND doc_id IS NOT NULL")
-    first = found.groupBy("component_id").agg(F.min(F.struct("doc_id", "content")).alias("f")).select(F.col("f.doc_id").alias("_own_id"), F.col("f.content").alias("_own_content"))
+    first = found.groupBy("part").agg(F.min(F.struct("doc_id", "content")).alias("f")).select(F.col("f.doc_id").alias("_own_id"), F.col("f.content").alias("_own_content"))
     blank = F.coalesce(F.translate(text_column, " \t\n\x0b\x0c\r", "") == "", F.lit(True))
     alone = docs.where(F.col(id_column).isNull() | blank)
     others = [c for c in docs.columns if c not in (id_column, text_column)]

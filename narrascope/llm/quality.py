@@ -1,9 +1,15 @@
 """Quality rules as weak supervision: DataFrame functions only.
 
-Each rule votes good (1), bad (-1) or abstains (0) on a document. Expectation-maximisation over
-the counts of vote patterns (at most 3 ** rules of them, whatever the number of documents)
-estimates how often each rule is right on good and on bad documents; the posterior probability
-of being good then decides, in place of a filter that every rule must pass.
+Each rule votes good (1), bad (-1) or abstains (0) on a document. Documents go bad in several
+ways that share few symptoms (signs strewn in, copied passages, fragments), so a document is
+either good or bad in one of several modes, one for each rule to begin with. Expectation-
+maximisation over the counts of vote patterns (at most 3 ** rules of them, whatever the number of
+documents) estimates how common each class is and how each rule votes on it, and so how often
+each rule is right on good and on bad documents. No rate is clamped; priors, worth a share of
+the documents, say what a rule's author believes: that it blames few good documents, and most of
+its own mode. They are needed where a rule's bad votes go with no other rule's, as agreement then
+says nothing about it. The posterior probability of being good decides, in place of a filter
+that every rule must pass.
 """
 
 from __future__ import annotations
@@ -29,8 +35,10 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 def repeated_words(words: Column) -> Column:
     """Number of words that lie in a window of three words found twice or more.
 
-    Windows are hashed to 64 bits and sorted with their places in the low bits, so equal ones
-    become neighbours; texts of 65,536 windows or more sort pairs of hash and place instead.
+    Windows are hashed, and sorted with their places in the low bits, so equal hashes become
+    neighbours; texts of 65,536 windows or more sort pairs of hash and place instead, as more
+    bits are needed for a place. Windows whose hash occurs once are single. Those that share a
+    hash are then sorted by their words, so the words decide, whatever the length of the text.
     """
 
     def covered(places: Column) -> Column:
@@ -38,24 +46,32 @@ def repeated_words(words: Column) -> Column:
         step = lambda a, p: F.struct(p.alias("last"), (a["n"] + F.least(F.lit(3).cast("bigint"), p - a["last"])).alias("n"))
         return F.aggregate(F.array_sort(places), start, step, lambda a: a["n"])
 
-    def paired(key: Callable[[Column], Column], place: Callable[[Column], Column]) -> Callable[[Column], Column]:
+    def repeats(key: Callable[[Column], Column], place: Callable[[Column], Column]) -> Callable[[Column], Column]:
+        """Places of the elements of a sorted array that have a neighbour with their key."""
+
         def of(s: Column) -> Column:
-            m = F.size(s)
             same = lambda k, o: F.coalesce(key(F.get(s, k)) == key(F.get(s, k + o)), F.lit(False))
-            return covered(F.transform(F.filter(F.sequence(F.lit(0), m - 1), lambda k: same(k, -1) | same(k, 1)), lambda k: place(F.get(s, k))))
+            return F.when(F.size(s) > 0, F.transform(F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda k: same(k, -1) | same(k, 1)), lambda k: place(F.get(s, k)))).otherwise(F.array().cast("array<bigint>"))
 
         return of
 
-    def of_hashes(h: Column) -> Column:
-        # the sign bit is dropped first, so that a shift brings the hash back unchanged
-        coded = F.transform(h, lambda x, i: F.shiftleft(x, 16).bitwiseOR(i.cast("bigint")))
-        short = let(F.sort_array(coded), paired(lambda x: F.shiftright(x, 16), lambda x: x.bitwiseAND(F.lit(_SHORT - 1).cast("bigint"))))
-        full = let(F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.cast("bigint").alias("p")))), paired(lambda x: x["h"], lambda x: x["p"]))
-        return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("bigint")).when(F.size(h) < _SHORT, short).otherwise(full)
+    def of_hashes(w: Column) -> Callable[[Column], Column]:
+        def of(h: Column) -> Column:
+            # the shift to the left drops a hash's upper 16 bits, of which nothing depends: words are compared afterwards
+            coded = F.transform(h, lambda x, i: F.shiftleft(x, 16).bitwiseOR(i.cast("bigint")))
+            short = let(F.sort_array(coded), repeats(lambda x: F.shiftright(x, 16), lambda x: x.bitwiseAND(F.lit(_SHORT - 1).cast("bigint"))))
+            full = let(F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.cast("bigint").alias("p")))), repeats(lambda x: x["h"], lambda x: x["p"]))
+            likely = F.when(F.size(h) < _SHORT, short).otherwise(full)
+            # words hold no blank, so windows joined by blanks are equal only when their words are
+            read = lambda p: F.struct(F.concat_ws(" ", F.get(w, p.cast("int")), F.get(w, p.cast("int") + 1), F.get(w, p.cast("int") + 2)).alias("g"), p.alias("p"))
+            sure = let(F.array_sort(F.transform(likely, read)), repeats(lambda x: x["g"], lambda x: x["p"]))
+            return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("bigint")).otherwise(covered(sure))
+
+        return of
 
     def of_words(w: Column) -> Column:
         h = F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
-        return F.when(F.size(w) < 4, F.lit(0).cast("bigint")).otherwise(let(h, of_hashes))
+        return F.when(F.size(w) < 4, F.lit(0).cast("bigint")).otherwise(let(h, of_hashes(w)))
 
     return let(words, of_words)
 
@@ -91,40 +107,65 @@ RULES: dict[str, tuple[str, str]] = {
 }
 
 
-def fit_votes(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 50) -> tuple[float, list[tuple[float, float]]]:
-    """Prior of good, and of each rule how often it is right, when it votes, on good and on bad documents."""
-    total = sum(n for _, n in patterns)
-    # a document with a bad vote starts as probably bad; a rule may overlook most bad documents, but seldom blames a good one
-    posterior = [0.1 if -1 in v else 0.9 for v, _ in patterns]
-    prior, right = 0.5, [(0.95, 0.5)] * len(RULES)
+#: Priors of a rule's share of bad votes on good documents and on its own mode, and how many votes per document they are worth.
+FALSE_ALARMS, OWN_MODE = (0.01, 0.3), (0.9, 0.1)
+
+Fit = tuple[list[float], list[list[float]]]  # of each class (good, then the modes): its share, and each rule's share of bad votes among its votes
+
+
+def fit_votes(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 300, settled: float = 1e-7) -> Fit:
+    """Expectation-maximisation from the start that a document with bad votes is probably in the modes of these rules, any other good."""
+    rules = len(patterns[0][0]) if patterns else len(RULES)
+    total, classes = sum(n for _, n in patterns), rules + 1
+
+    def start(v: tuple[int, ...]) -> list[float]:
+        blamed = [k for k in range(1, classes) if v[k - 1] < 0]
+        return [0.1] + [0.9 / len(blamed) if k in blamed else 0.0 for k in range(1, classes)] if blamed else [1.0] + [0.0] * rules
+
+    def bad_share(k: int, j: int) -> float:
+        mean, worth = FALSE_ALARMS if k == 0 else OWN_MODE if k == j + 1 else (0.5, 2 / total)
+        said, blamed = (sum(w[k] * n for w, (v, n) in zip(weights, patterns) if v[j] in of) for of in ((-1, 1), (-1,)))
+        return (blamed + mean * worth * total) / (said + worth * total)
+
+    weights = [start(v) for v, _ in patterns]
+    fit: Fit = ([1 / classes] * classes, [[0.5] * rules] * classes)
     for _ in range(rounds if total else 0):
-        good = sum(p * n for p, (_, n) in zip(posterior, patterns))
-        prior = min(0.99, max(0.01, (good + 1) / (total + 2)))
-        right = []
-        for j in range(len(RULES)):
-            rates = []
-            for value, weight, least, most in ((1, lambda p: p, 0.995, 0.9999), (-1, lambda p: 1 - p, 0.02, 0.99)):
-                said = sum(weight(p) * n for p, (v, n) in zip(posterior, patterns) if v[j])
-                agreed = sum(weight(p) * n for p, (v, n) in zip(posterior, patterns) if v[j] == value)
-                rates.append(min(most, max(least, (agreed + 1) / (said + 2))))
-            right.append((rates[0], rates[1]))
-        posterior = [1 / (1 + math.exp(-log_odds(v, prior, right))) for v, _ in patterns]
-    return prior, right
+        share = [(1 + sum(w[k] * n for w, (_, n) in zip(weights, patterns))) / (total + classes) for k in range(classes)]
+        fit, old = (share, [[bad_share(k, j) for j in range(rules)] for k in range(classes)]), weights
+        weights = [class_posteriors(v, fit) for v, _ in patterns]
+        if max(abs(x[0] - y[0]) for x, y in zip(weights, old)) < settled:
+            break
+    return fit
+
+
+def class_posteriors(votes: tuple[int, ...], fit: Fit) -> list[float]:
+    """The probability of each class; the first one is good. A rule that abstains says nothing."""
+    each = [math.prod([share, *(b if v < 0 else 1 - b for v, b in zip(votes, bad) if v)]) for share, bad in zip(*fit)]
+    return [x / sum(each) for x in each]
 
 
-def log_odds(votes: tuple[int, ...], prior: float, right: list[tuple[float, float]]) -> float:
-    return math.log(prior / (1 - prior)) + sum(weight_of(v, g, b) for v, (g, b) in zip(votes, right))
+def accuracies(fit: Fit) -> list[tuple[float, float]]:
+    """Of each rule, how often it is right when it votes on good and on bad documents."""
+    share, bad = fit
+    return [(1 - bad[0][j], sum(s * b[j] for s, b in zip(share[1:], bad[1:])) / sum(share[1:])) for j in range(len(bad[0]))]
 
 
-def weight_of(vote: int, good: float, bad: float) -> float:
-    return 0.0 if not vote else math.log(good / (1 - bad)) if vote > 0 else math.log((1 - good) / bad)
+def posterior_column(votes: list[str], fit: Fit) -> Column:
+    each = []
+    for share, bad in zip(*fit):
+        product = F.lit(share)
+        for name, b in zip(votes, bad):
+            product = product * F.when(F.col(name) < 0, b).when(F.col(name) > 0, 1 - b).otherwise(1.0)
+        each.append(product)
+    return each[0] / sum(each[1:], each[0])
 
 
 def op8_quality(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """One row per row of docs: the measures, base_failed, posterior (of being good) and kept.
 
     A null or empty text has no words and fails. Repeated rows get equal results; ids may be null;
-    other columns are ignored; an empty table gives no rows.
+    a very long text is measured as a whole; other columns are ignored; an empty table gives no
+    rows.
     """
     found = measures(F.col("text"))
     words = found.pop("words")
@@ -132,10 +173,6 @@ def op8_quality(docs: DataFrame, least: float = 0.5) -> DataFrame:
     votes = {f"vote_{r}": F.when(F.expr(bad), -1).when(F.expr(good), 1).otherwise(0) for r, (good, bad) in RULES.items()}
     voted = described.withColumns(votes)
     patterns = [(tuple(row[:-1]), row[-1]) for row in voted.groupBy(*votes).count().collect()]  # 3 ** len(RULES) rows at most
-    prior, right = fit_votes(patterns)
-    odds = F.lit(math.log(prior / (1 - prior)))
-    for name, (g, b) in zip(votes, right):
-        odds = odds + F.when(F.col(name) > 0, weight_of(1, g, b)).when(F.col(name) < 0, weight_of(-1, g, b)).otherwise(0.0)
+    posterior = posterior_column(list(votes), fit_votes(sorted(patterns)))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    posterior = 1 / (1 + F.exp(-odds))
     return voted.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & (posterior >= least)).alias("kept"), posterior.alias("posterior"))

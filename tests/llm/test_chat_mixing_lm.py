@@ -48,11 +48,45 @@ def test_loss_is_the_assistants_text(spark):
     assert [chat_format.unescape(p) for p, w in pieces if w] == ["[a]", "b"]
 
 
+def test_turns_are_read_across_rows(spark):
+    """The reader takes the conversation as one text: a turn cut over two rows is still one turn."""
+    import hashlib
+
+    rows_ = [(1, True, True, ["[INST] ", "one"], [False, False]), (1, True, False, [" two", " [/INST]", " "], [False, False, False]), (1, True, False, ["yes", " </s>"], [True, False])]
+    df = spark.createDataFrame(rows_, "conv_id bigint, valid boolean, first boolean, pieces array<string>, loss array<boolean>").coalesce(1)
+    r = df.mapInArrow(chat_format._digest(chat_format.TEMPLATE), "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint, valid boolean").first()
+    assert (r.n_turns, r.loss_chars) == (2, 3) and r.turns_sha256 == hashlib.sha256(b"user\none two\nassistant\nyes\n").hexdigest()
+
+
+def test_very_long_turn(spark):
+    t = spark.createDataFrame([(1, 0, "user", "[x]" * 300_000), (1, 1, "assistant", "<y>" * 300_000)], "conv_id bigint, turn bigint, role string, text string")
+    r = chat_format.op2_chat(t).where("conv_id = 1").first()
+    assert (r.n_turns, r.loss_chars, r.valid) == (2, 900_000, True)
+
+
 def test_mixing_equals_sql(spark, documents):
-    d = documents.select("doc_id", "text", "lang", "source", "n_chars").where("doc_id IS NOT NULL AND n_chars IS NOT NULL").dropDuplicates(["doc_id"])
-    a, b = mixing.op7_mixing(d).toPandas(), sql(mixing.ORACLE, documents=d.toPandas())
+    d = documents.select("doc_id", "text", "lang", "source", "n_chars").where("n_chars IS NOT NULL").withColumn("doc_id", mixing.F.expr("if(doc_id % 50 = 3, NULL, doc_id)"))
+    more = mixing.F.lit(0).alias("mix_copy"), mixing.F.lit("x").alias("_mix_source"), mixing.F.lit("y").alias("mix_source"), mixing.F.lit("z").alias("MIX_n")
+    a, b = mixing.op7_mixing(d.select("*", *more)).toPandas().astype({"doc_id": "Int64"}), sql(mixing.ORACLE, documents=d.toPandas().astype({"doc_id": "Int64"}))
     assert len(a) and rows(a) == rows(b)
-    assert (a["shuffle_key"].sort_values().to_numpy() == a["shuffle_key"].to_numpy()).all()
+    ordered = [tuple(r) for r in mixing.replicated(d).select("mix_key", "text").collect()]
+    assert ordered == sorted(ordered, key=lambda r: (r[0], r[1] is not None, (r[1] or "").encode()))
+
+
+def test_mixing_keeps_other_columns(spark):
+    docs = spark.createDataFrame([(i, "t", "s", i, -i) for i in range(50)], "doc_id bigint, text string, source string, mix_source bigint, mix_n bigint")
+    out = mixing.replicated(docs)
+    assert out.columns == [*docs.columns, "mix_copy", "mix_key"]
+    assert all(r.mix_source == r.doc_id == -r.mix_n for r in out.collect())
+    one_id = docs.withColumn("doc_id", mixing.F.lit(7)).withColumn("text", mixing.F.col("mix_source").cast("string"))
+    texts = [(r.mix_key, r.text) for r in mixing.replicated(one_id).collect()]
+    assert texts == sorted(texts)
+    many = mixing.BROADCAST_SOURCES
+    try:
+        mixing.BROADCAST_SOURCES = 0
+        assert rows(mixing.replicated(docs).toPandas()) == rows(out.toPandas())
+    finally:
+        mixing.BROADCAST_SOURCES = many
 
 
 def test_mixing_rates(spark):

@@ -104,8 +104,8 @@ def test_one_of_each_group_stays(spark):
     rows = [
         (4, long, "en", "s1"),
         (2, long.upper(), "en", "s2"),  # an equal set
-        (2, long + "new words at the end of it", "en", "s0"),  # another text under the same id
-        (2, long + "new words at the end of it", "de", "s0"),  # and once more
+        (2, long + "new words at the end", "en", "s0"),  # another text under the same id
+        (2, long + "new words at the end", "de", "s0"),  # and once more
         (7, "nothing of the kind is in here at all", None, "s3"),
         (7, "a wholly different text under an id of two", "fr", "s3"),
         (None, long, "en", "s4"),

@@ -33,6 +33,66 @@ def test_license_notices(spark):
     assert labels == {1: "mit", 2: "mit", 3: "", 4: "cc-by,cc-by-nc-4.0"}
 
 
+def test_license_spans_count_a_template_place_once(spark):
+    mit = license_scan.NOTICES["mit"]
+    texts = [(1, "licensed under cc licensed under cc licensed under cc"), (2, "licensed under cc licensed under CC-BY 4.0"), (3, f"{mit} and again {mit}"), (4, "mit " * 3000 + "license"), (None, None), (None, None), (5, "word " * 300_000 + mit)]
+    found = license_scan.op9_license_scan(spark.createDataFrame(texts, "doc_id bigint, text string")).collect()
+    assert Counter((r.doc_id, r.labels, r.n_base) for r in found) == Counter({(1, "", 0): 1, (2, "cc-by,cc-by-4.0", 1): 1, (3, "mit", 0): 1, (4, "mit", 1): 1, (None, "", 0): 2, (5, "mit", 0): 1})
+    spans = license_scan.license_spans(spark.createDataFrame(texts[2:3], "doc_id bigint, text string")).where("template > 0").orderBy("first_word").collect()
+    size = len(mit.split())
+    assert [(r.first_word, r.last_word, r.coverage) for r in spans] == [(0, size - 1, 1.0), (size + 2, 2 * size + 1, 1.0)]
+
+
+def test_license_words_are_compared(spark, monkeypatch):
+    rows, exact = license_scan.gram_rows()
+    import pyarrow as pa
+
+    monkeypatch.setattr(license_scan, "TaskContext", type("T", (), {"get": staticmethod(lambda: type("C", (), {"partitionId": staticmethod(lambda: 0)}))}))
+    monkeypatch.setattr(license_scan, "grams", lambda h, k: license_scan.np.full(max(0, len(h) - k + 1), rows[1][4], "i8").view("u8") - license_scan.U(k))
+    batch = pa.record_batch([pa.array([1]), pa.array(["no license words here but apache license"])], names=["doc_id", "text"])
+    (out,) = license_scan._rolling([rows[1][4]], exact)(iter([batch]))
+    assert out.column(2).to_pylist() == [[7, 5]]
+
+
+def test_license_fuzz_equals_brute_force(spark):
+    """Labels and scores of notices against a scalar version: word cover by diagonals, merged when close."""
+    rng = random.Random(6)
+    words = sorted({w for *_, ws in license_scan.templates() for w in ws})
+    texts = []
+    for i in range(150):
+        *_, notice = rng.choice(license_scan.templates())
+        text = [w.decode() for w in notice]
+        for _ in range(rng.randrange(4)):
+            at = rng.randrange(len(text) + 1)
+            text[at:at] = [rng.choice(words).decode()] if rng.random() < 0.5 else []
+            del text[at : at + rng.randrange(2)]
+        texts.append((i, " ".join(["x"] * rng.randrange(3) + text + text[: rng.randrange(9)])))
+    found = {r.doc_id: (r.labels, round(r.score, 6)) for r in license_scan.op9_license_scan(spark.createDataFrame(texts, "doc_id bigint, text string")).collect()}
+    for i, text in texts:
+        doc, labels, score = text.encode().split(), set(), 0.0
+        for _, label, phrase, template in license_scan.templates():
+            k = 2 if phrase else 3
+            lines = {}
+            for p in range(len(doc) - k + 1):
+                for a in range(len(template) - k + 1):
+                    if doc[p : p + k] == template[a : a + k]:
+                        lines.setdefault(p - a, []).append((p, a))
+            parts = []
+            for d in sorted(lines):
+                if phrase or not parts or d - parts[-1][-1] > license_scan.SHIFT:
+                    parts.append([])
+                parts[-1].append(d)
+            for part in parts:
+                cover = lambda ds: len({a + j for d in ds for _, a in lines[d] for j in range(k)}) / len(template)  # noqa: E731, B023
+                places = [p for d in part for p, _ in lines[d]]
+                close = max(places) + k - 1 - min(places) < license_scan.STRETCH * len(template)
+                c = cover(part) if close else max(cover([d]) for d in part)
+                if c >= (1 if phrase else license_scan.LEAST_COVERAGE):
+                    labels.add(label)
+                    score = max(score, c)
+        assert found[i] == (",".join(sorted(labels)), round(score, 6)), text
+
+
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
@@ -107,12 +167,68 @@ def test_quality_equals_brute_force(spark, documents, texts):
     assert found == expected
 
 
+def test_windows_that_share_a_hash_are_told_apart(spark, monkeypatch):
+    monkeypatch.setattr(quality.F, "xxhash64", lambda *words: quality.F.length(words[0]).cast("bigint"))
+    rows = [(1, " ".join(f"w{i}" for i in range(60))), (2, "a b c d a b c e f g"), (3, "a b a c a b a c")]
+    assert {r.doc_id: r.n_repeat_words for r in quality.op8_quality(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()} == {1: 0, 2: 6, 3: 8}
+
+
+def reference_em(patterns, rounds):
+    """The same model document by document, in numpy."""
+    import numpy as np
+
+    v = np.array([p for p, n in patterns for _ in range(n)])
+    k = v.shape[1] + 1
+    blamed = v < 0
+    w = np.where(blamed.any(axis=1)[:, None], np.hstack([np.full((len(v), 1), 0.1), 0.9 * blamed / np.maximum(blamed.sum(axis=1), 1)[:, None]]), np.hstack([np.ones((len(v), 1)), np.zeros(v.shape)]))
+    for _ in range(rounds):
+        share = (w.sum(axis=0) + 1) / (len(v) + k)
+        mean, worth = np.full((k, k - 1), 0.5), np.full((k, k - 1), 2.0)
+        mean[0], worth[0] = quality.FALSE_ALARMS[0], quality.FALSE_ALARMS[1] * len(v)
+        for j in range(k - 1):
+            mean[j + 1, j], worth[j + 1, j] = quality.OWN_MODE[0], quality.OWN_MODE[1] * len(v)
+        bad = (w.T @ (v < 0) + mean * worth) / (w.T @ (v != 0) + worth)
+        logs = np.log(share) + (v < 0) @ np.log(bad).T + (v > 0) @ np.log(1 - bad).T
+        w = np.exp(logs - logs.max(axis=1, keepdims=True))
+        w /= w.sum(axis=1, keepdims=True)
+    return dict(zip(map(tuple, v.tolist()), w[:, 0].tolist()))
+
+
+def test_votes_equal_a_document_by_document_fit():
+    rng = random.Random(4)
+    draw = lambda bad: tuple(rng.choices((-1, 0, 1), (bad, 0.1, 0.9 - bad))[0] for _ in range(3))
+    patterns = sorted(Counter([draw(0.03) for _ in range(900)] + [draw(0.7) for _ in range(100)]).items())
+    fit = quality.fit_votes(patterns, 40, settled=0)
+    for v, p in reference_em(patterns, 40).items():
+        assert abs(quality.class_posteriors(v, fit)[0] - p) < 1e-9
+    assert all(good > 0.9 and 0.3 < bad < 1 for good, bad in quality.accuracies(fit))
+    assert quality.fit_votes([]) == ([0.125] * 8, [[0.5] * 7] * 8)
+
+
+def test_a_rule_that_others_contradict_loses_its_say():
+    """Votes of a rule that blames a tenth of all documents at random, whatever the others say, move the posterior less than those of rules that agree."""
+    rng = random.Random(2)
+    votes = Counter()
+    for _ in range(4000):
+        bad = rng.random() < 0.2
+        votes[tuple((-1 if rng.random() < (0.9 if bad else 0.01) else 1) for _ in range(3)) + ((-1 if rng.random() < 0.1 else 1),)] += 1
+    fit = quality.fit_votes(sorted(votes.items()))
+    good = lambda v: quality.class_posteriors(v, fit)[0]
+    assert good((-1, -1, 1, 1)) < 0.05 and good((1, 1, 1, 1)) > 0.9
+    assert quality.accuracies(fit)[0][1] > 0.6 > quality.accuracies(fit)[3][1]
+
+
+def test_verdicts_come_from_the_posterior(spark, documents):
+    found = quality.op8_quality(documents)
+    assert found.where("kept <> (NOT base_failed AND posterior >= 0.5)").count() == 0
+
+
 def test_quality_follows_labels(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     r = quality.op8_quality(docs).join(labels, "doc_id").where("NOT base_failed").collect()
     assert sum(x.kept for x in r if x.quality == 1) >= 0.98 * sum(x.quality == 1 for x in r)
-    assert sum(not x.kept for x in r if x.quality == 0) >= 0.8 * sum(x.quality == 0 for x in r)
+    assert sum(not x.kept for x in r if x.quality == 0) >= 0.95 * sum(x.quality == 0 for x in r)
 
 
 def test_empty(spark, documents):
