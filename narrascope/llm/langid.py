@@ -17,13 +17,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from narrascope.llm.shared import fold, small_batches
+from narrascope.llm.shared import fold, saved, small_batches
 from narrascope.llm.textkernel import slices, text_bytes, trimmed
 
 WINDOW, UNITS, PAD = 64, 8, 256
 SAMPLE_PER_LANGUAGE, SAMPLE_ROWS, WINDOWS_PER_TEXT = 400, 8_000, 6
 STEPS, BATCH, RATE = 400, 192, 0.01
 _LANES = 2048
+#: A text is told apart if its probability is at least what all but this share of held-out sample texts reach in their own language.
+LOST, CHECKED = 0.002, 5  # of CHECKED sample texts one is held out to find that limit
 
 
 class ByteNetwork:
@@ -31,7 +33,7 @@ class ByteNetwork:
 
     def __init__(self, languages: list[str], seed: int = 5):
         rng = np.random.default_rng(seed)
-        self.languages = languages
+        self.languages, self.least = languages, 0.0
         self.p = {
             "embed": rng.normal(0, 0.3, (2, 257, 2 * UNITS)).astype(np.float32),
             "recur": rng.normal(0, 0.3, (2, UNITS, 2 * UNITS)).astype(np.float32),
@@ -132,7 +134,7 @@ class ByteNetwork:
             b, e = begin[s : s + _LANES], stop[s : s + _LANES]
             where = b[None, :] + np.arange(WINDOW)[:, None]
             real = where < e[None, :]
-            x = np.where(real, data[np.minimum(where, len(data) - 1)], PAD)
+            x = np.where(real, data[np.minimum(where, len(data) - 1)].astype(np.int64), PAD)
             p = self.probabilities(self.states(x)).reshape(WINDOW, len(b), -1)
             if not real[-1].all():
                 p *= real[:, :, None]
@@ -141,54 +143,84 @@ class ByteNetwork:
         return total / np.maximum(n, 1)[:, None]
 
 
-def _windows(text_column: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, at = text_bytes(batch.column(batch.schema.get_field_index(text_column)))
-            rows, out = [], []
-            for i, n in enumerate(np.diff(at).tolist()):
-                rng = np.random.default_rng(n)
-                for b in rng.integers(0, max(1, n - WINDOW + 1), min(WINDOWS_PER_TEXT, 1 + n // WINDOW)).tolist() if n else []:
-                    rows.append(i)
-                    out.append(data[at[i] + b : min(at[i] + b + WINDOW, at[i + 1])].tobytes())
-            taken = batch.take(pa.array(rows, pa.int64()))
-            yield pa.RecordBatch.from_arrays([taken.column(taken.schema.get_field_index("rank")), taken.column(taken.schema.get_field_index("lang")), pa.array(out, pa.binary())], names=["rank", "lang", "window"])
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each text (o, lang, text): some windows from anywhere in it, one after another in one value, and their sizes."""
+    for batch in batches:
+        data, at = text_bytes(batch.column(batch.schema.get_field_index("text")))
+        windows, sizes = [], []
+        for i, n in enumerate(np.diff(at).tolist()):
+            rng = np.random.default_rng(n)
+            begins = rng.integers(0, max(1, n - WINDOW + 1), min(WINDOWS_PER_TEXT, 1 + n // WINDOW)).tolist() if n else []
+            parts = [data[at[i] + b : min(at[i] + b + WINDOW, at[i + 1])].tobytes() for b in begins]
+            windows.append(b"".join(parts))
+            sizes.append([len(p) for p in parts])
+        yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in ("lang", "o")), pa.array(windows, pa.binary()), pa.array(sizes, pa.list_(pa.int32()))], names=["lang", "o", "windows", "sizes"])
+
 
-    return run
+def sample_windows(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, rows: int = SAMPLE_ROWS) -> list[tuple[str, int, bytes, list[int]]]:
+    """(lang, hash, windows, sizes) of the `per_language` distinct texts of each language with the least hashes of id and text, `rows` in all at most.
+
+    A limit on the hash, from each language's count, leaves about twice as many rows as are
+    wanted before anything is shuffled; rows that repeat both id and text count once.
+    """
+    good = small_batches(labelled).where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL").select("lang", "text", F.shiftrightunsigned(F.xxhash64(F.col("doc_id").cast("string"), "text"), 1).alias("o"))
+    counts = saved(good.groupBy("lang").agg(F.count("*").alias("n")), "languages")
+    languages = counts.count()
+    if not languages:
+        return []
+    each = max(1, min(per_language, rows // languages))
+    limits = counts.select("lang", (F.least(F.lit(1.0), (2 * each + 50) / F.col("n")) * float(2**63)).alias("most"))
+    limits = F.broadcast(limits) if languages <= rows else limits  # a row a language
+    near = good.join(limits, "lang").where(F.col("o").cast("double") <= F.col("most")).select("lang", "o", "text")
+    found = near.mapInArrow(trimmed(_windows), "lang string, o bigint, windows binary, sizes array<int>").dropDuplicates(["lang", "o"])
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("o"))).where(F.col("rank") <= each)
+    return sorted(((r.lang, r.o, bytes(r.windows), list(r.sizes)) for r in ranked.orderBy("rank", "lang").limit(rows).collect()), key=lambda x: (x[1], x[0]))
 
 
 def fit(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, rows: int = SAMPLE_ROWS) -> ByteNetwork | None:
-    """Train on (doc_id, text, lang): per language the `per_language` documents with the least hashed ids, `rows` in all at most."""
-    good = small_batches(labelled).where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL")
-    order = F.xxhash64(F.col("doc_id").cast("string"))
-    chosen = good.select("doc_id", "lang", order.alias("o")).withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("o", "doc_id"))).where(F.col("rank") <= per_language)
-    chosen = chosen.orderBy("rank", "lang").limit(rows).select(F.col("doc_id").alias("id"), F.col("lang").alias("l"), "rank")
-    sample = good.join(F.broadcast(chosen), (F.col("doc_id") == F.col("id")) & (F.col("lang") == F.col("l"))).select("rank", "lang", "text")
-    found = sorted(tuple(r) for r in sample.mapInArrow(trimmed(_windows("text")), "rank int, lang string, window binary").collect())
+    """Train on a bounded sample of (doc_id, text, lang), and find `network.least`, the lowest probability of a text that is told apart."""
+    found = sample_windows(labelled, per_language, rows)
     if not found:
         return None
-    languages = sorted({x[1] for x in found})
-    x = np.full((len(found), WINDOW), PAD, np.int64)
-    for i, (_, _, w) in enumerate(found):
-        x[i, : len(w)] = np.frombuffer(bytes(w), np.uint8)
+    languages = sorted({x[0] for x in found})
     network = ByteNetwork(languages)
-    network.train(x, np.array([languages.index(z[1]) for z in found]))
+
+    def windows(texts) -> tuple[np.ndarray, np.ndarray]:
+        cut = [(lang, w) for lang, _, whole, sizes in texts for w in np.split(np.frombuffer(whole, np.uint8), np.cumsum(sizes)[:-1])]
+        x = np.full((len(cut), WINDOW), PAD, np.int64)
+        for i, (_, w) in enumerate(cut):
+            x[i, : len(w)] = w
+        return x, np.array([languages.index(lang) for lang, _ in cut])
+
+    checked = [x for i, x in enumerate(found) if i % CHECKED == CHECKED - 1]
+    network.train(*windows([x for i, x in enumerate(found) if i % CHECKED != CHECKED - 1]))
+    if checked:
+        p = network.documents(np.frombuffer(b"".join(x[2] for x in checked), np.uint8), np.cumsum([0, *(len(x[2]) for x in checked)]))
+        own = p[np.arange(len(checked)), [languages.index(x[0]) for x in checked]]
+        network.least = float(np.quantile(own[p.argmax(axis=1) == [languages.index(x[0]) for x in checked]], LOST)) if (p.argmax(axis=1) == [languages.index(x[0]) for x in checked]).any() else 0.0
     return network
 
 
 def predictions(docs: DataFrame, network: ByteNetwork | None, keep: list[str] | None = None, text_column: str = "text") -> DataFrame:
-    """The columns `keep` of docs with lang_pred and score; `und` and 0 for a text that is null or has no letter, or without a network."""
+    """The columns `keep` of docs (all by default) with lang_pred and score; `und` and 0 for a text that is null or has no letter, or without a network.
+
+    Columns of docs that are named lang_pred or score are replaced. Every byte of a text of any
+    length is read; repeated rows get equal results; an empty table gives no rows.
+    """
     docs = small_batches(docs)
-    kept = docs.columns if keep is None else keep
-    letters = F.coalesce(F.col(text_column).rlike(r"\p{L}"), F.lit(False))
-    rows = docs.withColumn("has_letter", letters).select(*dict.fromkeys([*kept, text_column]), "has_letter") if text_column in docs.columns else docs
+    kept = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score")]
+    letter_column = "has_letter"
+    while letter_column in docs.columns:
+        letter_column = f"_{letter_column}"
+    letters = F.coalesce(F.col(f"`{text_column}`").rlike(r"\p{L}"), F.lit(False))
+    rows = docs.select(*(F.col(f"`{c}`") for c in dict.fromkeys([*kept, text_column])), letters.alias(letter_column))
     shipped = docs.sparkSession.sparkContext.broadcast(network)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shipped.value
         for whole in batches:
             for batch in slices(whole, text_column):
-                letter = batch.column(batch.schema.get_field_index("has_letter")).to_numpy(zero_copy_only=False).astype(bool)
+                letter = batch.column(batch.schema.get_field_index(letter_column)).to_numpy(zero_copy_only=False).astype(bool)
                 names, score = np.full(batch.num_rows, "und", object), np.zeros(batch.num_rows)
                 if model is not None:
                     p = model.documents(*text_bytes(batch.column(batch.schema.get_field_index(text_column))))
@@ -218,20 +250,18 @@ def op6_language(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame, least: float = 0.3) -> DataFrame:
-    """docs without rows whose language can't be told: `und`, or a pooled probability under `least`. Learns from all labelled rows."""
-    rows = small_batches(docs).select("doc_id", "text", "lang")
-    network = fit(rows)
-    shipped = docs.sparkSession.sparkContext.broadcast(network)
+def keep_identified(docs: DataFrame, least: float | None = None) -> DataFrame:
+    """docs without rows whose language can't be told: `und`, or a pooled probability under `least`; a null `lang` becomes the language found.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shipped.value
-        for whole in batches:
-            for batch in slices(whole, "text"):
-                column = batch.column(batch.schema.get_field_index("text"))
-                keep = np.zeros(batch.num_rows, bool)
-                if model is not None:
-                    keep = model.documents(*text_bytes(column)).max(axis=1) >= least
-                yield batch.filter(pa.array(keep))
-
-    return docs.where(F.col("text").rlike(r"\p{L}")).mapInArrow(trimmed(run), docs.schema)
+    By default the limit is what nearly all (all but `LOST`) held-out sample texts reach. Learns
+    from all rows with a language and an id; without any, all rows go. A null, empty or
+    letterless text is `und` and goes. Null ids and repeated rows are treated like others; every
+    byte of a text of any length is read; columns may have any names; an empty table gives no
+    rows.
+    """
+    docs = small_batches(docs)
+    network = fit(docs.select("doc_id", "text", "lang"))
+    found = predictions(docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)), "text"), network)
+    limit = (0.0 if network is None else network.least) if least is None else least
+    told = found.where((F.col("lang_pred") != "und") & (F.col("score") >= limit))
+    return told.select(*((F.coalesce(f"c{i}", "lang_pred") if c == "lang" else F.col(f"c{i}")).alias(c) for i, c in enumerate(docs.columns)))

@@ -1,3 +1,6 @@
+import math
+import zlib
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -45,3 +48,73 @@ def test_held_out_accuracy_and_odd_rows(spark):
 def test_nothing_to_learn_from(spark, documents):
     assert {x.lang_pred for x in g.op6_language(documents.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
     assert g.op6_language(documents.limit(0)).count() == 0
+
+
+def scalar(net, text):
+    """The network in plain Python floats: mean probabilities over all bytes of a text, in windows from a zero state."""
+    total = [0.0] * len(net.languages)
+    for begin in range(0, len(text), g.WINDOW):
+        window = text[begin : begin + g.WINDOW]
+        states = [[0.0] * (2 * g.UNITS) for _ in window]
+        for d in (0, 1):
+            embed, recur, h = net.p["embed"][d], net.p["recur"][d], [0.0] * g.UNITS
+            for t in range(len(window)) if d == 0 else reversed(range(len(window))):
+                pre = [float(embed[window[t], u]) + sum(h[k] * float(recur[k, u]) for k in range(g.UNITS)) for u in range(2 * g.UNITS)]
+                z = [1 / (1 + math.exp(-x)) for x in pre[: g.UNITS]]
+                h = [a + b * (math.tanh(c) - a) for a, b, c in zip(h, z, pre[g.UNITS :])]
+                states[t][d * g.UNITS : (d + 1) * g.UNITS] = h
+        for s in states:
+            e = [math.exp(float(net.p["bias"][k]) + sum(s[u] * float(net.p["out"][u, k]) for u in range(2 * g.UNITS))) for k in range(len(total))]
+            total = [a + b / sum(e) for a, b in zip(total, e)]
+    return [x / max(1, len(text)) for x in total]
+
+
+def test_predictions_equal_a_scalar_network(spark, documents):
+    net = g.ByteNetwork(["x", "y", "z"])
+    docs = documents.where("length(text) < 700 OR text IS NULL").limit(40).select("doc_id", "text", "lang").union(spark.createDataFrame([(5, "é" * 33, None)], "doc_id bigint, text string, lang string"))
+    for r in g.predictions(docs, net).collect():
+        text = (r.text or "").encode()
+        p = scalar(net, text)
+        if any(c.isalpha() for c in text.decode()):
+            assert abs(max(p) - r.score) < 1e-4 and r.lang_pred == net.languages[p.index(max(p))]
+        else:
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+
+
+def test_held_out_is_a_fold_of_ids(spark, documents):
+    found = documents.select("doc_id", g.held_out(F.col("doc_id")).alias("h")).collect()
+    assert all(r.h == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in found) and len({r.h for r in found}) == 2
+
+
+def test_sample_is_bounded_and_distinct(spark):
+    docs = spark.range(3000).selectExpr("7 AS doc_id", "if(id % 2 = 0, 'same words', concat('words ', id)) AS text", "concat('l', id % 3) AS lang")
+    found = g.sample_windows(docs, 100)
+    assert len(found) == len({(x[0], x[1]) for x in found}) == 300
+    again = g.sample_windows(docs.repartition(7), 100)
+    assert found == again and len(g.sample_windows(docs, 100, 60)) == 60
+    assert g.sample_windows(docs.withColumn("lang", F.lit(None).cast("string"))) == []
+
+
+def test_names_that_clash(spark):
+    docs = spark.createDataFrame([(1, "some words", "en", 3, 4, True, "x")], "doc_id bigint, text string, lang string, score int, lang_pred int, has_letter boolean, c0 string")
+    net = g.ByteNetwork(["en"])
+    out = g.predictions(docs, net)
+    assert out.columns == ["doc_id", "text", "lang", "has_letter", "c0", "lang_pred", "score"] and out.first().lang_pred == "en"
+    kept = g.keep_identified(docs)
+    assert kept.columns == docs.columns and tuple(kept.first()) == tuple(docs.first())
+
+
+def test_texts_of_no_learned_language_go(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    import random
+
+    rng = random.Random(1)
+    noise = [(-1 - i, "".join(rng.choice("бвгджзиклмнопрст  ") for _ in range(600)), None) for i in range(40)] + [(-100, None, None), (-101, "12 !?", None)]
+    more = spark.createDataFrame(noise, docs.schema)
+    unlabelled = docs.withColumn("lang", F.when(F.col("doc_id") % 10 != 0, F.col("lang")))
+    kept = {r.doc_id: r.lang for r in g.keep_identified(unlabelled.union(more)).collect()}
+    truth = {r.doc_id: r.lang for r in docs.where("length(text) >= 40").collect()}
+    assert sum(i in kept for i in truth) >= 0.985 * len(truth)
+    assert sum(kept.get(i, lang) == lang for i, lang in truth.items()) >= 0.97 * len(truth) and None not in kept.values()
+    assert not {-100, -101} & kept.keys()
+    print("noise kept:", sum(-41 < i < 0 for i in kept))
