@@ -6,6 +6,10 @@ over all its positions. Each direction is a recurrent layer with an update gate,
 `h' = h + z * (n - h)`. Training is backpropagation through time in numpy with Adam, on windows
 spread over whole texts of a bounded, hash-ordered sample of labelled documents; prediction reads
 every byte of every text.
+
+One more class, `other`, is trained on made-up windows: letters drawn evenly from the Latin
+alphabet, or from a stretch of code points whose bytes the sample hardly has. It stands for
+languages that were not learned; a text is told apart if one of the learned ones beats it.
 """
 
 from __future__ import annotations
@@ -26,6 +30,7 @@ STEPS, BATCH, RATE = 400, 192, 0.01
 _LANES = 2048
 #: A text is told apart if its probability is at least what all but this share of held-out sample texts reach in their own language.
 LOST, CHECKED = 0.002, 5  # of CHECKED sample texts one is held out to find that limit
+OTHERS = 600  # made-up windows
 
 
 class ByteNetwork:
@@ -37,8 +42,8 @@ class ByteNetwork:
         self.p = {
             "embed": rng.normal(0, 0.3, (2, 257, 2 * UNITS)).astype(np.float32),
             "recur": rng.normal(0, 0.3, (2, UNITS, 2 * UNITS)).astype(np.float32),
-            "out": rng.normal(0, 0.3, (2 * UNITS, len(languages))).astype(np.float32),
-            "bias": np.zeros(len(languages), np.float32),
+            "out": rng.normal(0, 0.3, (2 * UNITS, len(languages) + 1)).astype(np.float32),  # the last class is `other`
+            "bias": np.zeros(len(languages) + 1, np.float32),
         }
         self._pad()
 
@@ -122,11 +127,11 @@ class ByteNetwork:
         return loss
 
     def documents(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Mean probabilities over all bytes of each text; zeros for an empty one."""
+        """Mean probabilities of the languages, and of `other`, over all bytes of each text; zeros for an empty one."""
         n = np.diff(at)
         lanes = -(-n // WINDOW)
         first = np.concatenate([[0], np.cumsum(lanes)])
-        total = np.zeros((len(n), len(self.languages)))
+        total = np.zeros((len(n), len(self.languages) + 1))
         owner = np.repeat(np.arange(len(n)), lanes)
         begin = at[:-1][owner] + (np.arange(first[-1]) - first[:-1][owner]) * WINDOW
         stop = np.minimum(begin + WINDOW, at[1:][owner])
@@ -157,6 +162,19 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in ("lang", "o")), pa.array(windows, pa.binary()), pa.array(sizes, pa.list_(pa.int32()))], names=["lang", "o", "windows", "sizes"])
 
 
+def other_windows(seen: np.ndarray, count: int = OTHERS, seed: int = 13) -> list[bytes]:
+    """Windows of made-up words; `seen` are the bytes of the sample."""
+    rng = np.random.default_rng(seed)
+    common = np.bincount(seen, minlength=256) > len(seen) / 1000
+    starts = [c for c in range(0x100, 0xD700, 0x20) if not common[chr(c).encode()[0]]]
+    out = []
+    for i in range(count):
+        letters = "abcdefghijklmnopqrstuvwxyz" if i % 2 == 0 or not starts else "".join(map(chr, range(c := int(rng.choice(starts)), c + 0x20)))
+        words = "".join(letters[k] if k < len(letters) else " " for k in rng.integers(0, len(letters) + 5, WINDOW).tolist())
+        out.append(words.encode()[:WINDOW])
+    return out
+
+
 def sample_windows(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, rows: int = SAMPLE_ROWS) -> list[tuple[str, int, bytes, list[int]]]:
     """(lang, hash, windows, sizes) of the `per_language` distinct texts of each language with the least hashes of id and text, `rows` in all at most.
 
@@ -193,11 +211,18 @@ def fit(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, rows: int
         return x, np.array([languages.index(lang) for lang, _ in cut])
 
     checked = [x for i, x in enumerate(found) if i % CHECKED == CHECKED - 1]
-    network.train(*windows([x for i, x in enumerate(found) if i % CHECKED != CHECKED - 1]))
+    x, y = windows([x for i, x in enumerate(found) if i % CHECKED != CHECKED - 1])
+    if len(x):
+        made = [(len(languages), w) for w in other_windows(x[x != PAD])][: max(1, len(x) // len(languages))]
+        more = np.full((len(made), WINDOW), PAD, np.int64)
+        for i, (_, w) in enumerate(made):
+            more[i, : len(w)] = np.frombuffer(w, np.uint8)
+        network.train(np.concatenate([x, more]), np.concatenate([y, [k for k, _ in made]]).astype(np.int64))
     if checked:
         p = network.documents(np.frombuffer(b"".join(x[2] for x in checked), np.uint8), np.cumsum([0, *(len(x[2]) for x in checked)]))
-        own = p[np.arange(len(checked)), [languages.index(x[0]) for x in checked]]
-        network.least = float(np.quantile(own[p.argmax(axis=1) == [languages.index(x[0]) for x in checked]], LOST)) if (p.argmax(axis=1) == [languages.index(x[0]) for x in checked]).any() else 0.0
+        number = np.array([languages.index(x[0]) for x in checked])
+        right = p[:, :-1].argmax(axis=1) == number
+        network.least = float(np.quantile(p[np.arange(len(checked)), number][right], LOST)) if right.any() else 0.0
     return network
 
 
@@ -224,7 +249,7 @@ def predictions(docs: DataFrame, network: ByteNetwork | None, keep: list[str] |
                 names, score = np.full(batch.num_rows, "und", object), np.zeros(batch.num_rows)
                 if model is not None:
                     p = model.documents(*text_bytes(batch.column(batch.schema.get_field_index(text_column))))
-                    best = p.argmax(axis=1)
+                    best = p[:, :-1].argmax(axis=1)
                     names = np.where(letter, np.array(model.languages, object)[best], "und")
                     score = np.where(letter, np.minimum(p[np.arange(len(p)), best], 1.0), 0.0)
                 yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in kept), pa.array(names, pa.string()), pa.array(score, pa.float64())], names=[*kept, "lang_pred", "score"])

@@ -11,7 +11,7 @@ def test_gradients():
     net = g.ByteNetwork(["a", "b", "c"])
     rng = np.random.default_rng(0)
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
-    x, y = rng.integers(0, 257, (7, 3)), np.array([0, 1, 2])
+    x, y = rng.integers(0, 257, (7, 3)), np.array([0, 1, 3])  # 3: other
     _, grads = net.gradients(x, y)
     for k, grad in grads.items():
         at = np.unravel_index(np.abs(grad).argmax(), grad.shape)
@@ -52,7 +52,7 @@ def test_nothing_to_learn_from(spark, documents):
 
 def scalar(net, text):
     """The network in plain Python floats: mean probabilities over all bytes of a text, in windows from a zero state."""
-    total = [0.0] * len(net.languages)
+    total = [0.0] * (len(net.languages) + 1)
     for begin in range(0, len(text), g.WINDOW):
         window = text[begin : begin + g.WINDOW]
         states = [[0.0] * (2 * g.UNITS) for _ in window]
@@ -76,7 +76,7 @@ def test_predictions_equal_a_scalar_network(spark, documents):
         text = (r.text or "").encode()
         p = scalar(net, text)
         if any(c.isalpha() for c in text.decode()):
-            assert abs(max(p) - r.score) < 1e-4 and r.lang_pred == net.languages[p.index(max(p))]
+            assert abs(max(p[:-1]) - r.score) < 1e-4 and r.lang_pred == net.languages[p.index(max(p[:-1]))]
         else:
             assert (r.lang_pred, r.score) == ("und", 0.0)
 
@@ -117,4 +117,4 @@ def test_texts_of_no_learned_language_go(spark):
     assert sum(i in kept for i in truth) >= 0.985 * len(truth)
     assert sum(kept.get(i, lang) == lang for i, lang in truth.items()) >= 0.97 * len(truth) and None not in kept.values()
     assert not {-100, -101} & kept.keys()
-    print("noise kept:", sum(-41 < i < 0 for i in kept))
+    assert sum(-41 < i < 0 for i in kept) <= 2
