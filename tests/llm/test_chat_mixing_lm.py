@@ -138,9 +138,9 @@ def test_lm_shares_sum_to_one():
     net = gru_lm.Network(v)
     known = np.arange(801)
     share = np.array([net.log_likelihoods(np.array([k]), np.array([1]))[0] for k in [*known, -1]])
-    row, cls, inner = net.rows(np.array([*known, -1]))
-    log = np.array([*v.log, np.log10(0.5)])
-    share += np.where(inner < 0, log - v.log_mass[np.maximum(cls - v.classes, 0)], 0)
+    _, cls, inner = net.rows(np.array([*known, -1]))
+    assert (inner[:-1] >= 0).all() and inner[-1] < 0 and len({(c, i) for c, i in zip(cls[:64].tolist(), inner[:64].tolist())}) == 64
+    share += [*v.share, np.log10(0.5) - v.log_beyond]
     missing = 5000 + 0.5 * (1200 - 801)  # mass of the words without a rank, in the same bin as the unseen one
     total = (10.0 ** share[:-1]).sum() + 10.0 ** share[-1] / 0.5 * (missing + 0.5)
     assert abs(total - 1) < 1e-4
@@ -169,6 +169,53 @@ def test_lm_gradients_and_carried_state():
         assert abs((losses[0] - losses[1]) / (2 * e) - g[at]) < 1e-3
 
 
+def test_lm_scores_equal_a_scalar_network(spark):
+    """The whole query's score against the network word by word in plain floats."""
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * k) % 37}" for k in range(20))) for i in range(60)] + [(100, "never seen words"), (101, None)], "doc_id bigint, text string")
+    kept, old = [], gru_lm.Network.log_likelihoods
+    head, every = gru_lm.HEAD, gru_lm.read_corpus
+
+    def remember(network, *rest):
+        every(network, *rest)
+        kept.append(network)
+
+    try:
+        gru_lm.HEAD, gru_lm.read_corpus = 16, remember
+        found = {r.doc_id: r.score for r in gru_lm.op4_lm_scores(docs, sample=20, steps=30).collect()}
+    finally:
+        gru_lm.HEAD, gru_lm.read_corpus = head, every
+    net = kept[0]
+    v, p, u = net.v, {k: w.astype(float) for k, w in net.p.items()}, gru_lm.UNITS
+    assert old is gru_lm.Network.log_likelihoods and v.head == 16 and v.classes > 1
+    for doc, text in docs.collect():
+        h, row, total = np.zeros(u), v.start_row, 0.0
+        for w in [*spaced(text), ""]:
+            pre = p["embed"][row] + p["gate"] + h @ p["recur"]
+            z = 1 / (1 + np.exp(-pre[:u]))
+            h = h + z * (np.tanh(pre[u:]) - h)
+            rank = v.words.get(w.encode(), -1)
+            (r,), (c,), (i,) = net.rows(np.array([rank]))
+            top = np.exp(h @ p["top"] + p["top_bias"])
+            total += np.log10(top[c] / top.sum())
+            if rank < 0:
+                total += np.log10(0.5) - v.log_beyond
+            else:
+                inside = np.exp(h @ p["word"][c] + p["word_bias"][c])
+                total += np.log10(inside[i] / inside.sum()) + v.share[rank]
+            row = r
+        assert abs(found[doc] - total) < 1e-3 * abs(total)
+
+
+def test_lm_sample_and_ranks_are_bounded(spark):
+    v = spark.sparkContext.broadcast(gru_lm.Vocabulary([(b"a", 5), (b"", 3)], 8, 2))
+    one = spark.range(300).selectExpr("7 AS doc_id", "if(id % 3 = 0, concat('a a ', id), 'a a a') AS text")
+    assert len(gru_lm.sample_texts(one, v, 10)) == 10 and len(gru_lm.sample_texts(one, v, 1000)) == 101
+    counts = spark.range(5000).selectExpr("CAST(CAST(id AS string) AS binary) AS word", "if(id < 10, 50 + id, 1) AS n")
+    ranked = gru_lm.most_frequent(counts, 500)
+    assert [n for _, n in ranked[:10]] == list(range(59, 49, -1)) and 400 < len(ranked) <= 500
+    assert gru_lm.most_frequent(counts, 5) and len(gru_lm.most_frequent(counts, 9000)) == 5000
+
+
 def test_lm_empty(spark, documents):
     assert gru_lm.op4_lm_scores(documents.limit(0)).count() == 0
 
