@@ -1,13 +1,19 @@
 """Personal data by boosted trees over candidate spans: DataFrame functions only.
 
 Strict patterns with validators give the base spans, which always stay. Generators with a high
-recall propose further, overlapping candidates; each has a few small integer features of its
-format and its context. Candidates that equal a base span are the positive examples. Since a
-feature vector has few values, all candidates of the corpus shrink, by one grouped count, to a
-table of at most `MOST_VECTORS` vectors, on which gradient boosting of depth-2 trees is run in
-plain Python, exactly as on all candidates. The trees become CASE expressions. For each generator
-the threshold is the lowest score down to which precision stays at `PRECISION`; candidates over
-it that overlap no base span are added.
+recall propose further, overlapping candidates: masked addresses, national telephone numbers,
+cards of other lengths and separators, IPv6. A candidate's weak label comes from evidence that
+its features don't hold: a check digit, a numbering plan, a known top-level domain, the shape of
+an address. The features are small integers of its format (signs, groups, first digit) and its
+context. So a format or context in which candidates are valid far above chance is one of personal
+data: among numbers of a format that only look alike, one in ten passes the check digit.
+
+Since a feature vector has few values, all candidates of the corpus shrink, by one grouped count,
+to a table of at most `2 * MOST_VECTORS` rows, on which gradient boosting of depth-2 trees is run
+in plain Python, exactly as on all candidates of four fifths of the documents. The trees become
+CASE expressions. For each generator the threshold is the lowest score down to which, on the
+candidates of the other fifth, the share of chance hits among valid ones stays under
+`1 - PRECISION`. Valid candidates over it that overlap no base span are added.
 
 Texts are scanned with possessive patterns that start only where a match can, so time is linear.
 Positions are code points, from the lengths of matches and of what lies between them.
@@ -22,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from narrascope.llm.quality import let
-from narrascope.llm.shared import saved
+from narrascope.llm.shared import fold, saved
 
 KINDS = ("email", "ip", "card", "phone")
 # `\G` allows a match right after another one; the look-behinds keep a failed run from being tried again from its middle.
@@ -34,16 +40,19 @@ BASE = {
 }
 NEEDS = {"email": "@", "phone": "+"}
 GENERATORS: tuple[tuple[str, str], ...] = (
-    ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?(?:@|\(at\)|\[at\]) ?[A-Za-z0-9-]{1,63}+ ?(?:\.|\(dot\)|\[dot\]) ?[A-Za-z]{2,24}+(?:\.[A-Za-z]{2,24}+){0,3}+"),
-    ("ip", r"(?<![0-9.])[0-9]{1,3}+(?:\.[0-9]{1,3}+){3}(?![0-9])"),
-    ("card", r"(?<![0-9])[0-9]{16}(?![0-9])"),
-    ("card", r"(?<![0-9])[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{4}(?![0-9])"),
-    ("phone", r"(?<![0-9A-Za-z+])\+?+\(?+[0-9]{1,4}+\)?+(?:[ .-]{0,2}+\(?+[0-9]{2,5}+\)?+){2,4}+(?![0-9A-Za-z])"),
+    ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?(?:@|\(at\)|\[at\]) ?[A-Za-z0-9-]{1,63}+(?: ?(?:\.|\(dot\)|\[dot\]) ?[A-Za-z0-9-]{1,63}+){0,3} ?(?:\.|\(dot\)|\[dot\]) ?[A-Za-z]{2,24}+"),
+    ("ip", r"(?<![0-9A-Za-z:.])(?:[0-9A-Fa-f]{0,4}+:){2,7}+[0-9A-Fa-f]{1,4}+(?![0-9A-Za-z:.])"),
+    ("card", r"(?<![0-9])[0-9](?:[ .-]{0,2}+[0-9]){12,18}+(?![0-9])"),
+    ("phone", r"(?<![0-9A-Za-z])\+?+\(?+[0-9]{1,4}+\)?+(?:[ ./-]{0,2}+\(?+[0-9]{2,5}+\)?+){1,4}+(?![0-9A-Za-z])"),
 )
-#: Values of each feature: generator, digits, separators, check digit, plus sign, octets, words before, neighbours.
-RANGES = (len(GENERATORS), 6, 4, 2, 2, 2, 5, 3)
+#: How often a candidate of each generator that is no personal data is valid by chance, at most.
+CHANCE = (0.1, 0.1, 0.1, 0.7)
+#: Values of each feature: generator, digits, separators, brackets, plus sign, first digit of card networks, way of writing "at", words before, neighbours, letters.
+RANGES = (len(GENERATORS), 7, 5, 2, 2, 2, 3, 5, 3, 2)
 MOST_VECTORS = math.prod(RANGES)
-TREES, RATE, PRECISION = 12, 0.5, 0.99
+TREES, RATE, PRECISION, FOLDS = 40, 0.5, 0.95, 5
+# Common top-level domains, and those kept for examples.
+DOMAINS = ("com", "org", "net", "edu", "gov", "io", "info", "biz", "eu", "uk", "de", "fr", "es", "it", "nl", "at", "ch", "pl", "se", "no", "us", "ca", "au", "jp", "cn", "in", "br", "mx", "ru", "example", "test")
 CONTEXT = 24
 # Words before a candidate that tell its kind.
 WORDS_BEFORE = (r"(?i)phone|tel\b|call|mobile|fax", r"(?i)card|visa|credit|iban|account", r"(?i)mail|contact|write", r"(?i)\bip\b|host|server|address")
@@ -110,45 +119,72 @@ def base_spans(text: Column, kind: str) -> Column:
     return F.when(F.contains(text, F.lit(NEEDS[kind])) if kind in NEEDS else text.rlike(r"[0-9][\x20-]?[0-9]" if kind == "card" else r"[0-9]\.[0-9]"), found).otherwise(F.array().cast(_SPANS))
 
 
+def _valid_candidate(kind: str, m: Column) -> Column:
+    """Evidence that a candidate is what it looks like; none of it is a feature."""
+    d = digits(m)
+    if kind == "email":
+        return F.lower(F.regexp_extract(m, "([A-Za-z]+)$", 1)).isin(*DOMAINS)
+    if kind == "ip":
+        halves = F.size(F.split(m, "::"))
+        groups = F.size(F.regexp_extract_all(m, F.lit("[0-9A-Fa-f]+"), F.lit(0)))
+        return ((halves == 2) & (groups <= 7)) | ((halves == 1) & (groups == 8) & ~m.startswith(":"))
+    if kind == "card":
+        return let(d, lambda x: F.when(F.length(x).between(13, 19), luhn(x)).otherwise(F.lit(False)))
+    plan = d.rlike("^1?[2-9][0-9]{2}[2-9][0-9]{6}$") | d.rlike("^0[1-9][0-9]{7,9}$")
+    return F.when(m.contains("+"), F.length(d).between(8, 15)).otherwise(plan)
+
+
 def _features(text: Column, number: int, s: Column) -> list[Column]:
     """The features of candidate s, in the order of RANGES."""
     m, d = s["match"], digits(s["match"])
     n = F.length(d)
-    separated = F.regexp_replace(m, "[0-9+()]", "")
+    separated = F.regexp_replace(m, "[0-9A-Za-z+()@_%:\\[\\]]", "")
     before = F.substr(text, F.greatest(s["start"] - CONTEXT + 1, F.lit(1)), F.least(s["start"], F.lit(CONTEXT)))
     words = F.lit(0)
     for i, pattern in reversed(list(enumerate(WORDS_BEFORE, 1))):
         words = F.when(before.rlike(pattern), i).otherwise(words)
     last = F.when(s["start"] > 0, F.substr(text, s["start"], F.lit(1))).otherwise(F.lit(" "))
     following = F.substr(text, s["stop"] + 1, F.lit(1))
+    flag = lambda c: F.when(c, 1).otherwise(0)
     return [
         F.lit(number),
-        F.when(n < 7, 0).when(n < 8, 1).when(n < 12, 2).when(n < 16, 3).when(n < 20, 4).otherwise(5),
-        F.when(separated == "", 0).when(separated.rlike("^ +$"), 1).when(separated.rlike("^-+$"), 2).otherwise(3),
-        F.when(n.between(16, 19) & F.when(n.between(16, 19), luhn(d)).otherwise(F.lit(False)), 1).otherwise(0),
-        F.when(F.substr(m, F.lit(1), F.lit(1)) == "+", 1).otherwise(0),
-        F.when(octets(m), 1).otherwise(0),
+        F.when(n < 8, 0).when(n < 10, 1).when(n < 11, 2).when(n < 13, 3).when(n < 16, 4).when(n < 17, 5).otherwise(6),
+        F.when(separated == "", 0).when(separated.rlike("^ +$"), 1).when(separated.rlike("^-+$"), 2).when(separated.rlike("^\\.+$"), 3).otherwise(4),
+        flag(m.rlike("[(\\[]")),
+        flag(m.contains("+")),
+        flag(d.rlike("^[3-6]")),
+        F.when(m.rlike("[(\\[]at[)\\]]"), 1).when(m.contains("@") & m.contains(" "), 2).otherwise(0),
         words,
-        F.when(last.rlike("[A-Za-z0-9]"), 1).otherwise(0) + F.when(following.rlike("[A-Za-z0-9]"), 1).otherwise(0),
+        flag(last.rlike("[A-Za-z0-9]")) + flag(following.rlike("[A-Za-z0-9]")),
+        flag(m.rlike("[A-Za-z]")),
     ]
 
 
+_CANDIDATES = "array<struct<kind:int,start:int,stop:int,f:array<int>,is_base:boolean,valid:boolean>>"
+_GATES = {"email": r"@|[(\[]at[)\]]", "ip": r":[0-9A-Fa-f]{0,4}:", "card": r"[0-9][ .-]{0,2}[0-9]", "phone": r"[0-9]{2}"}
+
+
 def _candidates(text: Column) -> Column:
-    """Candidates of all generators with features and whether they equal a base span of their kind."""
+    """Candidates of all generators with features, whether they equal a base span of their kind, and whether they are valid."""
 
     def described(number: int, kind: str) -> Callable[[Column], Column]:
-        return lambda s: F.struct(
-            F.lit(KINDS.index(kind)).alias("kind"),
-            s["start"].alias("start"),
-            s["stop"].alias("stop"),
-            F.array(*(f.cast("int") for f in _features(text, number, s))).alias("f"),
-            F.exists(F.col(kind), lambda b: (b["start"] == s["start"]) & (b["stop"] == s["stop"])).alias("is_base"),
-        )
+        def of(s: Column) -> Column:
+            is_base = F.exists(F.col(kind), lambda b: (b["start"] == s["start"]) & (b["stop"] == s["stop"]))
+            return F.struct(
+                F.lit(KINDS.index(kind)).alias("kind"),
+                s["start"].alias("start"),
+                s["stop"].alias("stop"),
+                F.array(*(f.cast("int") for f in _features(text, number, s))).alias("f"),
+                is_base.alias("is_base"),
+                (is_base | F.coalesce(_valid_candidate(kind, s["match"]), F.lit(False))).alias("valid"),
+            )
+
+        return of
 
     lists = []
     for number, (kind, pattern) in enumerate(GENERATORS):
-        gate = F.when(text.rlike("@|[(\\[]at[)\\]]") if kind == "email" else text.rlike("[0-9]{2}"), F.transform(located(text, pattern), described(number, kind)))
-        lists.append(F.coalesce(gate, F.array().cast("array<struct<kind:int,start:int,stop:int,f:array<int>,is_base:boolean>>")))
+        gate = F.when(text.rlike(_GATES[kind]), F.transform(located(text, pattern), described(number, kind)))
+        lists.append(F.coalesce(gate.cast(_CANDIDATES), F.array().cast(_CANDIDATES)))
     return F.concat(*lists)
 
 
@@ -212,15 +248,25 @@ def tree_column(trees: list[Tree], f: Column) -> Column:
 
 
 def thresholds(trees: list[Tree], vectors: list[tuple[tuple[int, ...], int, int]], precision: float = PRECISION) -> list[float]:
-    """Of each generator, the lowest score down to which this share of its candidates is positive."""
+    """Of each generator, the lowest score down to which this share of the valid candidates is valid by more than chance.
+
+    Of n candidates that are no personal data, CHANCE * n are valid; so of n candidates of which
+    v are valid, about (n - v) * CHANCE / (1 - CHANCE) of the valid ones are chance hits. Two
+    more candidates that are not valid are added, so that few say little; and a score at which
+    half of the valid ones are chance hits ends the search, however pure all above it is.
+    """
     out = []
-    for number in range(len(GENERATORS)):
+    for number, chance in enumerate(CHANCE):
         ranked = sorted(((tree_score(trees, f), n, pos) for f, n, pos in vectors if f[0] == number), reverse=True)
-        least, n, pos = math.inf, 0, 0
+        least, n, pos, own_n, own_pos = math.inf, 0, 0, 0, 0
         for i, (score, rows, hits) in enumerate(ranked):
-            n, pos = n + rows, pos + hits
-            whole = i + 1 == len(ranked) or ranked[i + 1][0] < score
-            if whole and pos >= precision * n:
+            n, pos, own_n, own_pos = n + rows, pos + hits, own_n + rows, own_pos + hits
+            if i + 1 < len(ranked) and ranked[i + 1][0] >= score:
+                continue
+            if (own_n - own_pos) * chance / (1 - chance) > own_pos / 2:
+                break
+            own_n = own_pos = 0
+            if (n + 2 - pos) * chance / (1 - chance) <= (1 - precision) * pos:
                 least = score - 1e-9
         out.append(least)
     return out
@@ -229,18 +275,19 @@ def thresholds(trees: list[Tree], vectors: list[tuple[tuple[int, ...], int, int]
 def pii_spans(docs: DataFrame, text_column: str = "text", id_column: str = "doc_id") -> DataFrame:
     """doc_id, the base spans of each kind, and `added`, the spans that the trees add (kind number, start, stop).
 
-    A null or empty text has no spans. Ids may be null or repeated; repeated rows get equal
-    results; other columns are ignored; an empty table gives no rows.
+    A null or empty text has no spans; a text of any length is scanned as a whole. Ids may be
+    null or repeated; repeated rows get equal results; other columns are ignored; an empty table
+    gives no rows.
     """
     rows = docs.select(F.col(id_column).alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
     based = rows.select("doc_id", "text", *(base_spans(F.col("text"), k).alias(k) for k in KINDS))
     found = based.select("doc_id", *(F.transform(k, lambda s: F.struct(s["start"], s["stop"])).alias(k) for k in KINDS), _candidates(F.col("text")).alias("candidates"))
     found = saved(found, "pii")
-    each = found.select(F.explode("candidates").alias("c")).select("c.f", "c.is_base")
-    vectors = [(tuple(f), n, pos) for f, n, pos in each.groupBy("f").agg(F.count("*"), F.count_if("is_base")).collect()]  # MOST_VECTORS rows at most
-    vectors.sort()
-    trees = fit_trees(vectors)
-    least = thresholds(trees, vectors)
+    held = F.coalesce(fold(F.col("doc_id"), FOLDS) == 0, F.lit(False))
+    each = found.select(held.alias("held"), F.explode("candidates").alias("c")).select("held", "c.f", "c.valid")
+    counted = [(h, tuple(f), n, pos) for h, f, n, pos in each.groupBy("held", "f").agg(F.count("*"), F.count_if("valid")).collect()]  # 2 * MOST_VECTORS rows at most
+    trees = fit_trees(sorted((f, n, pos) for h, f, n, pos in counted if not h))
+    least = thresholds(trees, sorted((f, n, pos) for h, f, n, pos in counted if h))
     over = lambda a, b: (a["start"] < b["stop"]) & (b["start"] < a["stop"])
     base = F.concat(*KINDS)
 
@@ -249,7 +296,7 @@ def pii_spans(docs: DataFrame, text_column: str = "text", id_column: str = "doc_
         for number, t in enumerate(least):
             if t < math.inf:
                 ok = ok | ((F.get(c["f"], F.lit(0)) == number) & (tree_column(trees, c["f"]) >= t))
-        return ok & ~c["is_base"] & ~F.exists(base, lambda b: over(b, c))
+        return ok & c["valid"] & ~c["is_base"] & ~F.exists(base, lambda b: over(b, c))
 
     picked = F.filter("candidates", selected)
     first = lambda p: F.filter(p, lambda c: ~F.exists(p, lambda d: over(d, c) & (F.get(d["f"], F.lit(0)) < F.get(c["f"], F.lit(0)))))
@@ -269,7 +316,7 @@ def op3_pii(docs: DataFrame) -> DataFrame:
 
 
 def redacted(text: Column, spans: Column) -> Column:
-    """text with each of the spans (kind number, start, stop; not overlapping) replaced by its kind in brackets."""
+    """text with each of the spans (kind number, start, stop; not overlapping) replaced by its kind in brackets. A null text or null spans give null, an empty text or no spans the text itself, whatever its length; columns, so rows, names and ties don't matter."""
     kinds = F.array(*map(F.lit, KINDS))
     last_first = F.sort_array(F.transform(spans, lambda s: F.struct(s["start"], s["stop"], s["kind"])), asc=False)
     cut = lambda t, s: F.concat(F.substr(t, F.lit(1), s["start"]), F.lit("["), F.upper(F.get(kinds, s["kind"])), F.lit("]"), F.substr(t, s["stop"] + 1))
