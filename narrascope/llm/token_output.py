@@ -30,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark import TaskContext
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -343,9 +344,22 @@ def _write(path: str, end: int):
     return run
 
 
+def in_file_order(docs: DataFrame) -> DataFrame:
+    """docs of stored files, dealt by part number, file and row in it: readers may take files in another order."""
+    file, row = F.col("_metadata.file_name"), F.col("_metadata.row_index")
+    placed = docs.select("*", file.alias("_file"), row.alias("_row")).withColumn("_part", F.coalesce(F.regexp_extract("_file", "part-([0-9]+)", 1).try_cast("bigint"), F.lit(-1)))
+    return placed.repartitionByRange("_part", "_file", "_row").sortWithinPartitions("_part", "_file", "_row")
+
+
 def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end: int = 1, ordered: bool = True, id_column: str = "doc_id", text_column: str = "text") -> None:
-    """Write the shards of docs into a new folder; by ascending id (ties by text, null ids first), or in docs' own order."""
-    rows = small_batches(docs).select(F.col(id_column).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
+    """Write the shards of docs into a new folder; by ascending id (ties by text, null ids first), or else docs as they stand in their files, or in docs' own order if they come from none."""
+    rows = small_batches(docs)
+    if not ordered and not {"_metadata", "_file", "_row", "_part"} & set(docs.columns) and docs.inputFiles():
+        try:
+            rows = in_file_order(rows)
+        except AnalysisException:  # a plan on top of files, which hides their rows' places
+            pass
+    rows = rows.select(F.col(id_column).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
     if ordered:
         rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     rows.mapInArrow(trimmed(_write(tokenizer, end)), _SEGMENT).write.parquet(folder)
@@ -382,8 +396,9 @@ def word_tokenizer() -> str:
 def op10_token_output(docs: DataFrame, tokenizer: str | None = None, end: int = 1, ordered: bool = True) -> DataFrame:
     """Write docs as shards in the shared folder and read their digests back.
 
-    A null or empty text is its end id alone. Rows with equal doc_ids each count, ordered by text;
-    a null doc_id sorts first. Other columns are ignored; an empty table gives no rows.
+    A null or empty text is its end id alone; a text of any length is encoded as a whole. Rows
+    with equal doc_ids each count, ordered by text; a null doc_id sorts first. Other columns are
+    ignored; an empty table gives no rows.
     """
     folder = new_path(docs.sparkSession, "tokens")
     write_tokens(docs, folder, tokenizer or word_tokenizer(), end, ordered)

@@ -220,30 +220,109 @@ def test_lm_empty(spark, documents):
     assert gru_lm.op4_lm_scores(documents.limit(0)).count() == 0
 
 
-def test_pipeline(spark, folder, documents):
-    import corpus_pipeline as p
-    from narrascope.llm import decontaminate
+def brute_pipeline(spark, documents, folder):
+    """What run() gives, stage by stage in plain Python; only the language network's own probabilities are taken from it."""
+    import hashlib
+
+    import test_decontaminate
+    import test_near_dedup
+    from narrascope.llm import langid
     from tokenizers import Tokenizer
 
-    from test_near_dedup import brute
-
-    docs = documents
-    kept = {}
-    for name, stage in p.STAGES[:-1]:
-        docs = stage(spark, docs, folder)
-        docs.write.mode("overwrite").parquet(path := f"{p.saved.__globals__['shared_folder'](spark)}/test-{name.split()[0]}")
-        docs = spark.read.parquet(path)
-        assert docs.columns == p.COLUMNS
-        kept[name] = [tuple(r) for r in docs.select("doc_id", "text").collect()]
-    first, second, third, fourth = kept.values()
-    assert {i for i, _ in first} >= {r.doc_id for r in documents.where("lang IS NOT NULL AND length(text) > 40").collect()}
-    expected = {i for (i, _, _, k) in brute(first, 5, 80, 100) if k}
-    assert {i for i, _ in second} == expected and len(second) == len({i for i, _ in second})
-    items = spark.read.parquet(f"{folder}/benchmark.parquet")
-    assert decontaminate.op1_contamination(spark.createDataFrame(third, "doc_id bigint, text string"), items).where("contaminated").count() == 0
-    assert {i for i, _ in third} <= {i for i, _ in second} and {i for i, _ in fourth} <= {i for i, _ in third}
-    out = p.token_shards(spark, docs, folder).orderBy("start").collect()
-    tokenizer = Tokenizer.from_file(p.token_output.word_tokenizer())
-    ids = lambda t: np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 1], "<u4")
-    assert Counter((i, len(ids(t)), zlib.crc32(ids(t).tobytes())) for i, t in fourth) == Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in out)
-    assert [r.start for r in out] == [0, *np.cumsum([r.n_tokens for r in out])[:-1].tolist()]
+    rows_ = [tuple(r) for r in documents.select("doc_id", "text", "lang", "source", "n_chars").collect()]
+    network = langid.fit(documents)
+    kept = []
+    for i, text, lang, source, n in rows_:
+        if text and any(c.isalpha() for c in text):
+            p = network.documents(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text.encode())]))[0, :-1]
+            if p.max() >= network.least:
+                kept.append((i, text, lang if lang is not None else network.languages[p.argmax()], source, n))
+    # one row of each group of near copies
+    named = [r for r in kept if r[0] is not None and spaced(r[1])]
+    groups = {}
+    sets = [test_near_dedup.shingles(r[1], 5) for r in named]
+    parent = list(range(len(named)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    where = {}
+    for a, s in enumerate(sets):
+        for g in s:
+            where.setdefault(g, []).append(a)
+    shared = Counter((a, b) for owners in where.values() for x, a in enumerate(owners) for b in owners[x + 1 :])
+    for (a, b), c in shared.items():
+        if 100 * c >= 80 * (len(sets[a]) + len(sets[b]) - c):
+            parent[find(a)] = find(b)
+    for a, r in enumerate(named):
+        groups.setdefault(find(a), []).append(r)
+    null_first = lambda r: tuple((v is not None, v) for v in r)
+    kept = [min(g, key=lambda r: (r[0], hashlib.md5(r[1].encode()).digest(), null_first(r[2:]))) for g in groups.values()] + [r for r in kept if r not in named]
+    # benchmark passages
+    items = [tuple(r) for r in spark.read.parquet(f"{folder}/benchmark.parquet").select("item_id", "text").collect()]
+    windows = {}
+    for i, text in items:
+        words = test_decontaminate.alphanumeric(text)
+        k = min(10, len(words))
+        for j in range(len(words) - k + 1 if k else 0):
+            windows.setdefault(k, set()).add(tuple(words[j : j + k]))
+    assert set(windows) == {10}
+    import re
+
+    cleaned = []
+    for i, text, lang, source, n in kept:
+        found = [m.span() for m in re.finditer(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text)]
+        words = test_decontaminate.alphanumeric(text)
+        hit = {j + k for j in range(len(words) - 9) if tuple(words[j : j + 10]) in windows[10] for k in range(10)}
+        if len(hit) > 0.5 * len(words):
+            continue
+        if hit:
+            cut = sorted(hit, reverse=True)
+            for j in cut:
+                stop = found[j][1] if j + 1 not in hit else found[j + 1][0]
+                text = text[: found[j][0]] + text[stop:]
+            n = len(text)
+        cleaned.append((i, text, lang, source, n))
+    # copies
+    counts = Counter(r[3] for r in cleaned)
+    weights = {s: n**0.5 for s, n in counts.items()}
+    copies = []
+    for r in cleaned:
+        rate = len(cleaned) * weights[r[3]] / sum(weights.values()) / counts[r[3]]
+        assert rate < 32
+        name = str(r[0]) if r[0] is not None else "text:" + hashlib.md5(r[1].encode()).hexdigest()
+        u, p, k = int(hashlib.md5(f"{mixing.SEED}:{name}:1".encode()).hexdigest()[:13], 16) / 2**52, math.exp(-rate), 0
+        cdf = p
+        while cdf <= u:
+            k += 1
+            p *= rate / k
+            cdf += p
+        copies += [(hashlib.md5(f"{mixing.SEED}:order:{name}:{c}".encode()).hexdigest(), r[1], r[0]) for c in range(k)]
+    tokenizer = Tokenizer.from_file(__import__("public_tokenizers").path("word_bpe_49k.json"))
+    out, start = [], 0
+    for _, text, i in sorted(copies, key=lambda c: (c[0], c[1].encode())):
+        ids = np.array([*tokenizer.encode(text, add_special_tokens=False).ids, 1], "<u4")
+        out.append((i, start, len(ids), zlib.crc32(ids.tobytes())))
+        start += len(ids)
+    return out
+
+
+def test_run_equals_a_brute_force_version(spark, folder, documents, tmp_path):
+    import corpus_pipeline as p
+
+    documents.withColumn("mix_key", mixing.F.lit("x")).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{folder}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for stage in (s for _, s in p.STAGES):
+        assert stage.__doc__
+    found = [tuple(r) for r in p.run(spark, str(tmp_path)).select("doc_id", "start", "n_tokens", "ids_crc32").orderBy("start").collect()]
+    assert found == brute_pipeline(spark, documents, folder)
+
+
+def test_run_on_an_empty_table(spark, folder, documents, tmp_path):
+    import corpus_pipeline as p
+
+    documents.limit(0).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{folder}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert p.run(spark, str(tmp_path)).count() == 0
