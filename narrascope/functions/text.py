@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,13 +30,20 @@ def name_tokens(name: Column) -> Column:
     return F.filter(F.split(spaced, r"\s+"), lambda t: t != "")
 
 
-_ACCENTED = "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝàáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-_PLAIN = "AAAAAACEEEEIIIINOOOOOUUUUYaaaaaaceeeeiiiinooooouuuuyy"
+#: Letters of Latin blocks that are an ASCII letter with marks, by their canonical decomposition.
+_DECOMPOSED = {c: d[0] for c in map(chr, [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]) if (d := unicodedata.normalize("NFD", c))[0].isascii() and d != c}
 
 
 def normalized(text: Column) -> Column:
-    """ASCII only: accents go, curly quotes and long dashes become plain, other letters are dropped."""
-    return F.regexp_replace(F.translate(text, _ACCENTED + "“”’—", _PLAIN + "\"\"'-"), r"[^\x00-\x7F]", "")
+    """ASCII only: marks go from letters, combining or not, curly quotes and long dashes become plain, other letters are dropped."""
+    return F.regexp_replace(F.translate(text, "".join(_DECOMPOSED) + "“”’—", "".join(_DECOMPOSED.values()) + "\"\"'-"), r"[^\x00-\x7F]", "")
+
+
+def strip_headers(text: Column) -> Column:
+    """A book's own text: what stands between the lines that announce its start and its end, or all if there are none."""
+    start, end = r"(?im)^[ *]*\*{3} *start of [^\n]*$", r"(?im)^[ *]*\*{3} *end of [^\n]*$"
+    after = F.when(text.rlike(start), F.element_at(F.split(text, start, 2), 2)).otherwise(text)
+    return F.trim(F.element_at(F.split(after, end, 2), 1))
 
 
 def split_characters(heading: Column) -> Column:
@@ -108,9 +117,30 @@ def html_element(html: Column, tag: str, name: str | None = None) -> Column:
     return F.lower(F.trim(F.regexp_replace(F.regexp_extract(html, f"(?s){at}(.*?)</{tag}>", 1), "<[^>]*>", "")))
 
 
-def html_blocks(html: Column, name: str) -> Column:
-    """All `div`s of a class, as (id, text): without comments and marks, blank lines dropped, ending in a full stop."""
-    blocks = F.regexp_extract_all(html, F.lit(f'(?s)<div(?=[^>]*class="{name}")[^>]*>.*?</div>'), F.lit(0))
-    body = lambda b: F.regexp_replace(F.regexp_replace(b, "(?s)<!--.*?-->", ""), "<[^>]*>", " ")
-    text = lambda b: F.trim(F.regexp_replace(body(b), r"\s+", " "))
-    return F.transform(blocks, lambda b: F.struct(F.regexp_extract(b, 'id="([^"]*)"', 1).alias("id"), F.when(F.endswith(text(b), F.lit(".")), text(b)).otherwise(F.concat(text(b), F.lit("."))).alias("text")))
+def html_blocks(html: Column, name: str, drop_first_line: bool = False) -> Column:
+    """All outermost `div`s of a class, with the `div`s inside them, as (id, text): without comments and marks, blank lines dropped, ending in a full stop.
+
+    A pointer to an in-depth analysis goes if it is the last sentence; with `drop_first_line` so
+    does what stands before the first line break. A block that is never closed ends with the page.
+    """
+    pieces = F.regexp_extract_all(F.regexp_replace(html, "(?s)<!--.*?-->", ""), F.lit(r"(?i)<div\b[^>]*>|</div\s*>|[^<]+|<"), F.lit(0))
+    kind = "array<struct<id:string,text:string>>"
+    block = lambda head, text: F.array(F.struct(F.regexp_extract(head, 'id="([^"]*)"', 1).alias("id"), text.alias("text"))).cast(kind)
+    state = lambda depth, head, text, out: F.struct(depth.cast("int").alias("depth"), head.alias("head"), text.alias("text"), out.alias("out"))
+
+    def step(s: Column, p: Column) -> Column:
+        opens, closes = p.rlike(r"(?i)^<div\b"), p.rlike("(?i)^</div")
+        outside = F.when(opens & p.rlike(f'class="{name}"'), state(F.lit(1), p, F.lit(""), s["out"])).otherwise(s)
+        inside = F.when(closes & (s["depth"] == 1), state(F.lit(0), F.lit(""), F.lit(""), F.concat(s["out"], block(s["head"], s["text"]))))
+        return F.when(s["depth"] == 0, outside).otherwise(inside.otherwise(state(s["depth"] + F.when(opens, 1).when(closes, -1).otherwise(0), s["head"], F.concat(s["text"], p), s["out"])))
+
+    whole = lambda s: F.when(s["depth"] > 0, F.concat(s["out"], block(s["head"], s["text"]))).otherwise(s["out"])
+    found = F.aggregate(pieces, state(F.lit(0), F.lit(""), F.lit(""), F.array().cast(kind)), step, whole)
+
+    def cleaned(text: Column) -> Column:
+        lines = F.regexp_replace(text, r"^[^\n]*\n", "") if drop_first_line else text
+        plain = F.trim(F.regexp_replace(F.regexp_replace(lines, "<[^>]*>", " "), r"\s+", " "))
+        plain = F.trim(F.regexp_replace(plain, r"(^|\.)\s*Read an ?in-depth analysis of[^.]*\.?$", "$1"))
+        return F.when(F.endswith(plain, F.lit(".")), plain).otherwise(F.concat(plain, F.lit(".")))
+
+    return F.transform(found, lambda b: F.struct(b["id"].alias("id"), cleaned(b["text"]).alias("text")))

@@ -8,8 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from narrascope.functions.text import has_capital, is_the
-from narrascope.operators.frames import computed, small
+from narrascope.functions.text import has_capital, is_the, synset_word
+from narrascope.operators.frames import computed, saved, small
 
 # Fixed values.
 BAD_TITLES = ("Mr.", "Mr", "Mrs.", "Ms.", "Mrs", "Ms", "Miss")
@@ -37,13 +37,14 @@ class Cutoffs:
 
 
 def lexicon(edges: DataFrame, root: str) -> DataFrame:
-    """word: all that lie under root in (parent, child), by a recursive query over the acyclic tree."""
-    edges.createOrReplaceTempView("narrascope_lexicon_edges")
-    return edges.sparkSession.sql(
-        "WITH RECURSIVE under AS (SELECT child FROM narrascope_lexicon_edges WHERE parent = :root UNION ALL SELECT e.child FROM under JOIN narrascope_lexicon_edges e ON e.parent = under.child) "
-        "SELECT DISTINCT translate(split_part(child, '.', 1), '_', ' ') AS word FROM under",
-        args={"root": root},
-    )
+    """word: all that lie under root in (parent, child). Each round joins only what is new, so cycles end; rounds are tables in the shared folder."""
+    edges = edges.select("parent", "child").distinct()
+    known = fresh = saved(edges.where(F.col("parent") == root).select("child").distinct(), "lexicon")
+    while not fresh.isEmpty():
+        step = fresh.select(F.col("child").alias("parent")).join(edges, "parent").select("child").distinct()
+        fresh = saved(step.join(known, "child", "left_anti"), "lexicon")
+        known = known.union(fresh)
+    return known.select(synset_word(F.col("child")).alias("word")).distinct()
 
 
 def noun_phrases(tokens: DataFrame, persons: Sequence[str]) -> DataFrame:
@@ -91,9 +92,10 @@ def grams(tokens: DataFrame, most: int) -> DataFrame:
 
 def windows(sentences: DataFrame, keys: list[str], most: int) -> DataFrame:
     """The same from sentences with their words as an array `w`."""
-    ends = sentences.select(*keys, "w", F.explode(F.sequence(F.lit(1), F.size("w"))).alias("e")).where(F.size("w") > 0)
-    each = ends.select(*keys, "w", "e", F.explode(F.sequence(F.lit(1), F.least("e", F.lit(most)))).alias("n"))
-    return each.select(*keys, (F.col("e") - 1).alias("tok_idx"), "n", F.array_join(F.slice("w", F.col("e") - F.col("n") + 1, F.col("n")), " ").alias("gram_key"))
+    size = F.size("w")
+    ending = lambda e, n: F.struct((e - 1).cast("int").alias("tok_idx"), n.alias("n"), F.array_join(F.slice("w", e - n + 1, n), " ").alias("gram_key"))
+    found = F.flatten(F.transform(F.sequence(F.lit(1), size), lambda e: F.transform(F.sequence(F.lit(1), F.least(e, F.lit(most))), lambda n: ending(e, n))))
+    return sentences.where(size > 0).select(*keys, F.inline(found))  # built in the row: the words are not copied to every gram
 
 
 def longest_suffix_counts(found: DataFrame, candidates: DataFrame) -> DataFrame:

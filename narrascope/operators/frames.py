@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
+import atexit
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_kept: list[tuple[SparkSession, str]] = []
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """`spark.checkpoint.dir`; only where the session has none, a folder of this process (tests)."""
+    """`spark.checkpoint.dir`; where the session has none, a folder of this process, on a local master only."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         if found.isEmpty():
+            if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="narrascope-"))
             found = spark.sparkContext._jsc.sc().getCheckpointDir()
         folder = found.get()
@@ -22,12 +28,27 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: the lineage is cut and lost executors lose nothing."""
+    """Write df to the shared folder and read it back: the lineage is cut and lost executors lose nothing. The table is deleted by `release`, or when the process ends."""
     path = f"{shared_folder(df.sparkSession)}/narrascope/{name}-{uuid.uuid4().hex}"
+    _kept.append((df.sparkSession, path))
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release() -> None:
+    """Delete the tables of `saved`; frames that read them can't be used afterwards."""
+    while _kept:
+        spark, path = _kept.pop()
+        try:
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        except Exception:  # noqa: BLE001  the session has ended
+            return
+
+
+atexit.register(release)
+
+
 def computed(df: DataFrame, **columns: Column) -> DataFrame:
     """df with further columns, each computed once a row: unlike those of withColumn, they are not copied into the lambdas that use them."""
     return df.select("*", F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))

@@ -77,7 +77,7 @@ def matching(edges: DataFrame) -> DataFrame:
         pdf = pdf.sort_values(["character", "gram_key"])
         rows, columns = sorted(pdf["character"].unique()), sorted(pdf["gram_key"].unique())
         w = np.zeros((len(rows), len(columns)))
-        w[[rows.index(x) for x in pdf["character"]], [columns.index(x) for x in pdf["gram_key"]]] = pdf["weight"]
+        w[np.searchsorted(rows, pdf["character"]), np.searchsorted(columns, pdf["gram_key"])] = pdf["weight"]
         found = assignment(w)
         return pd.DataFrame({"book_id": pdf["book_id"].iloc[0], "character": [rows[r] for r, _ in found], "gram_key": [columns[c] for _, c in found], "weight": [w[r, c] for r, c in found]})
 
@@ -114,6 +114,28 @@ def unresolved_rates(characters: DataFrame, matched: DataFrame) -> DataFrame:
     return characters.select("book_id", "character").join(hit, ["book_id", "character"], "left").groupBy("book_id").agg(F.avg(F.when(F.col("hit").isNull(), 1.0).otherwise(0.0)).alias("unresolved"))
 
 
+def rate_summary(rates: DataFrame, column: str = "unresolved") -> DataFrame:
+    """Least, greatest and mean rate of all books."""
+    return rates.agg(F.min(column).alias("least"), F.max(column).alias("most"), F.avg(column).alias("mean"))
+
+
+def quality_names(candidates: DataFrame, edges: DataFrame, matched: DataFrame, characters: DataFrame) -> DataFrame:
+    """book_id, kind, names: the duplicate and invalid candidates and the unresolved characters of each book, as sorted lists."""
+    edge = edges.select("book_id", "gram_key").distinct()
+    rest = candidates.select("book_id", "gram_key").join(matched.select("book_id", "gram_key").distinct(), ["book_id", "gram_key"], "left_anti")
+    duplicate, invalid = rest.join(edge, ["book_id", "gram_key"], "left_semi"), candidates.select("book_id", "gram_key").join(edge, ["book_id", "gram_key"], "left_anti")
+    missed = characters.select("book_id", "character").join(matched, ["book_id", "character"], "left_anti")
+    each = duplicate.withColumn("kind", F.lit("duplicate")).union(invalid.withColumn("kind", F.lit("invalid"))).union(missed.withColumn("kind", F.lit("unresolved")))
+    return each.toDF("book_id", "name", "kind").groupBy("book_id", "kind").agg(F.array_sort(F.collect_list("name")).alias("names"))
+
+
+def quality_rates(quality: DataFrame, characters: DataFrame) -> DataFrame:
+    """Per book: unresolved characters by all characters, duplicate and invalid candidates by all candidates (0 without any)."""
+    known = characters.groupBy("book_id").agg(F.count("*").alias("n_characters"))
+    share = lambda c, n: F.coalesce(F.try_divide(F.col(c), F.col(n)), F.lit(0.0)).alias(f"{c}_rate")
+    return quality.join(known, "book_id").select("book_id", share("unresolved", "n_characters"), share("duplicate", "n_candidates"), share("invalid", "n_candidates"))
+
+
 def candidate_quality(candidates: DataFrame, edges: DataFrame, matched: DataFrame, characters: DataFrame) -> DataFrame:
     """Per book: characters unmatched, candidates that duplicate another's match, candidates without any edge; as counts."""
     edge = edges.select("book_id", "gram_key").distinct().withColumn("has_edge", F.lit(1))

@@ -8,7 +8,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import DecisionTreeClassificationModel, DecisionTreeClassifier, GBTClassifier, LinearSVC, RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import PolynomialExpansion, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param.shared import HasInputCol, HasOutputCol
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
@@ -123,9 +123,19 @@ class AdaBoost(Estimator):
         return BoostedTrees(trees)
 
 
+def svm_stages(kernel: str, gamma: float, degree: int) -> list:
+    """A linear machine on the features themselves, on their monomials up to a degree, or on Fourier features of a Gaussian kernel."""
+    machine = lambda column: LinearSVC(featuresCol=column, weightCol="weight", maxIter=30)
+    if kernel == "linear":
+        return [machine("features")]
+    if kernel == "poly":
+        return [PolynomialExpansion(inputCol="features", outputCol="monomials", degree=degree), machine("monomials")]
+    return [FourierFeatures(gamma=gamma), machine("fourier")]
+
+
 #: By name: estimator factories. Extremely randomised trees are approximated: all rows for every tree, few coarse cut points, one random feature a split.
 CLASSIFIERS: dict[str, Callable[..., Estimator]] = {
-    "svm": lambda kernel="rbf", gamma=0.05, **_: LinearSVC(weightCol="weight", maxIter=30) if kernel == "linear" else Pipeline(stages=[FourierFeatures(gamma=gamma), LinearSVC(featuresCol="fourier", weightCol="weight", maxIter=30)]),
+    "svm": lambda kernel="rbf", gamma=0.05, degree=3, **_: Pipeline(stages=svm_stages(kernel, gamma, degree)),
     "rf": lambda n_estimators=10, max_depth=5, **_: RandomForestClassifier(weightCol="weight", numTrees=n_estimators, maxDepth=max_depth, seed=1),
     "erf": lambda n_estimators=10, max_depth=5, **_: RandomForestClassifier(weightCol="weight", numTrees=n_estimators, maxDepth=max_depth, maxBins=8, subsamplingRate=1.0, bootstrap=False, featureSubsetStrategy="1", seed=1),
     "ada_boost": lambda n_estimators=10, **_: AdaBoost(rounds=n_estimators),
@@ -138,12 +148,22 @@ def train(frame: DataFrame, model: str = "svm", **options) -> Model:
 
 
 def save_model(model: Model, frame_books: DataFrame, folder: str) -> None:
-    model.write().overwrite().save(f"{folder}/model")
+    """Write any model of CLASSIFIERS and the books it was trained on. Boosted trees are a pipeline of trees and a table of their votes' weights."""
+    boosted = isinstance(model, BoostedTrees)
+    PipelineModel([tree for tree, _ in model.trees] if boosted else [model]).write().overwrite().save(f"{folder}/model")
+    spark = frame_books.sparkSession
+    votes = [(i, alpha) for i, (_, alpha) in enumerate(model.trees)] if boosted else []
+    spark.createDataFrame([(boosted,)], "boosted boolean").write.mode("overwrite").parquet(f"{folder}/kind")
+    spark.createDataFrame(votes, "place int, weight double").write.mode("overwrite").parquet(f"{folder}/votes")
     frame_books.select("book_id").distinct().write.mode("overwrite").parquet(f"{folder}/train_books")
 
 
-def load_pipeline(spark, folder: str) -> tuple[PipelineModel, DataFrame]:
-    return PipelineModel.load(f"{folder}/model"), spark.read.parquet(f"{folder}/train_books")
+def load_pipeline(spark, folder: str) -> tuple[Model, DataFrame]:
+    model = PipelineModel.load(f"{folder}/model")
+    if spark.read.parquet(f"{folder}/kind").first().boosted:
+        votes = sorted(map(tuple, spark.read.parquet(f"{folder}/votes").collect()))  # a row a round
+        model = BoostedTrees([(model.stages[i], weight) for i, weight in votes])
+    return model, spark.read.parquet(f"{folder}/train_books")
 
 
 def precision_recall(predicted: DataFrame) -> DataFrame:

@@ -120,6 +120,16 @@ def mention_paragraphs(spots: DataFrame, spans: DataFrame) -> DataFrame:
     return both.withColumn("p", last).where("spot AND s < p.stop").select("book_id", "s", F.col("p.paragraph_id").alias("paragraph_id"))
 
 
+def averages(compared: DataFrame) -> DataFrame:
+    """Mean precision and recall of all books; missing values are skipped."""
+    return compared.agg(F.avg("precision").alias("precision"), F.avg("recall").alias("recall"))
+
+
+def weak_books(compared: DataFrame, least: float = 0.7) -> DataFrame:
+    """Books whose precision or recall is under `least`."""
+    return compared.where((F.col("precision") < least) | (F.col("recall") < least))
+
+
 def compare(predicted: DataFrame, true: DataFrame) -> DataFrame:
     """Per book: precision 1 - FP / predicted (1 without predictions), recall 1 - FN / true (null without any)."""
     both = predicted.select("book_id", "c1", "c2").distinct().withColumn("p", F.lit(1)).join(true.select("book_id", "c1", "c2").distinct().withColumn("t", F.lit(1)), ["book_id", "c1", "c2"], "full_outer")

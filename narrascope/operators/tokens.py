@@ -97,6 +97,53 @@ def complete(sectioned: DataFrame, lines: DataFrame) -> DataFrame:
     return a.join(b, "book_id", "full_outer").where("coalesce(n_tokens, 0) <> coalesce(n_lines, 0)")
 
 
+def aligned(words: list[str], lines: list[str], newline: str = "*NL*") -> list[tuple[int, int]]:
+    """Of each word, the number of newline lines passed over to reach it, and the line that holds it.
+
+    Lines are passed over until one is the word, or until the word is part of what the passed
+    lines make up together: the annotator has then cut a line in several words, or joined
+    several. Ends early where no line is left.
+    """
+    out, at = [], 0
+    for word in words:
+        newlines, passed = 0, ""
+        while at < len(lines) and lines[at] != word and word not in passed:
+            newlines += lines[at] == newline
+            passed += "" if lines[at] == newline else lines[at]
+            at += 1
+        whole = at < len(lines) and lines[at] == word
+        if not whole and word not in passed:
+            break
+        out.append((newlines, at if whole else at - 1))
+        at += whole
+    return out
+
+
+def align(tokens: DataFrame, lines: DataFrame) -> DataFrame:
+    """tokens(book_id, pos, word) with nl_before and line from lines(book_id, line, text); books are walked in parallel, and words after a failed one have nulls.
+
+    A null word or line is an empty one. Both tables are sorted by book and place and streamed to
+    one walk a book.
+    """
+    import pandas as pd
+
+    kind = tokens.schema["book_id"].dataType.simpleString()
+
+    def one(t: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
+        t = t.sort_values("pos")
+        found = aligned(t["word"].fillna("").tolist(), s.sort_values("line")["text"].fillna("").tolist())
+        rest = [None] * (len(t) - len(found))
+        return t.assign(nl_before=pd.array([*(n for n, _ in found), *rest], "Int64"), line=pd.array([*(x for _, x in found), *rest], "Int64"))
+
+    sides = tokens.select("book_id", F.col("pos").cast("bigint").alias("pos"), "word").groupBy("book_id"), lines.select("book_id", F.col("line").cast("bigint").alias("line"), "text").groupBy("book_id")
+    return sides[0].cogroup(sides[1]).applyInPandas(one, f"book_id {kind}, pos bigint, word string, nl_before bigint, line bigint")
+
+
+def newline_lines(text: Column) -> Column:
+    """Tokens of a text, a line each, with a line for every newline."""
+    return F.transform(F.regexp_extract_all(text, F.lit(rf"\n|{TOKEN}"), F.lit(0)), lambda x: F.when(x == "\n", "*NL*").otherwise(x))
+
+
 def newline_tokens(text: Column) -> Column:
     """array<struct<word, nl_before, begin>>: tokens with the newlines before them and their offsets."""
     pieces = F.regexp_extract_all(text, F.lit(rf"\n|{TOKEN}|[^\S\n]+"), F.lit(0))

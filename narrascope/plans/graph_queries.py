@@ -9,176 +9,211 @@ from narrascope.operators import cooccurrence as co
 from narrascope.operators import coref, labels
 from narrascope.operators import relations as rel
 from narrascope.operators.frames import saved, table
-from narrascope.plans.base import query, values
+from narrascope.plans import name_tables as n
+from narrascope.plans.base import query
 
-# Sample names, characters and relations.
-NAMES = [
-    "Tom", "Tom Sawyer", "Sid Sawyer", "Sally Sawyer", "Mr. Tom", "Mr. Sawyer", "Mrs. Sawyer", "T. Sawyer", "Doctor Sawyer", "Monsieur Sawyer", "Huck", "Huckleberry", "Huck Finn", "Huckleberry Finn",
-    "Mr. Finn", "Sawyer", "Sawyers", "Fred Weasley", "Freddy Weasley", "Frederick Weasley", "Tweedledee", "Tweedledum", "Monsieur", "D'Artagan", "d'Artagan", "The Sid",
-]
-GENDERS = [("tom", "MALE"), ("sid", "MALE"), ("sally", "FEMALE"), ("huck", "MALE"), ("fred", "MALE"), ("mina", "FEMALE"), ("jonathan", "MALE"), ("lucy", "FEMALE")]
-CANDIDATES = [
-    "Dr. Van Helsing", "Lord Godalming", "Jonathan Harker", "Dr. Seward", "Count", "Lucy Westenra", "Mr. Hawkins", "Renfield", "Arthur", "Mr. Quincey", "Mrs. Harker", "Quincey Morris", "friend John", "Professor", "Mina Murray", "Mr. Morris",
-]
-CHARACTERS = [
-    ("Count Dracula", ["Dracula"]), ("Van Helsing", ["Abraham Van Helsing"]), ("Jonathan Harker", []), ("Mina Murray", ["Mina Harker"]), ("Lucy Westenra", []), ("John Seward", ["Dr. John Seward"]), ("Arthur Holmwood", ["Lord Godalming"]), ("Quincey Morris", []), ("Renfield", []), ("Mrs. Westenra", []),
-]
-RELATED = [("Jonathan Harker", "Mina Murray"), ("Lucy Westenra", "Mina Murray"), ("Arthur Holmwood", "Lucy Westenra"), ("John Seward", "Renfield")]
+CLOSED = f"""RECURSIVE {n.NAMED},
+edges AS MATERIALIZED ({n.EDGES["partial"]}),
+closed AS (SELECT book_id, src, dst FROM edges UNION SELECT c.book_id, c.src, e.dst FROM closed c JOIN edges e ON e.book_id = c.book_id AND e.src = c.dst),
+far AS MATERIALIZED (SELECT * FROM closed WHERE src <> dst)"""
 
-# name -> tokens as a list, strict matching of two tokens, greedy matching in order: all in SQL
-_STRICT = "(CASE WHEN ends_with({b}, '.') AND NOT ends_with({a}, '.') AND (starts_with({a}, {b}[:-2]) OR (length({b}) = 3 AND starts_with({a}, {b}[1]) AND ends_with({a}, {b}[2]))) THEN true ELSE {a} = {b} END)"
-_UNCAP = "lower(x[1]) || x[2:]"
 
+def names(spark: SparkSession, folder: str) -> DataFrame:
+    return saved(n.names(n.top_words(spark, folder)), "names")
 
-def _strict(a: str, b: str) -> str:
-    return _STRICT.format(a=a, b=b)
 
+def closed(found: DataFrame) -> DataFrame:
+    return coref.closure(coref.partial_edges(found))
 
-def edges_sql(table: str) -> str:
-    """CTEs up to `edges(book_id, src, dst)`, strict containment between the names of table(book_id, k)."""
-    return f"""RECURSIVE n AS (SELECT book_id, k, list_transform(string_split(k, ' '), lambda x: {_UNCAP}) AS g FROM {table}),
-prs AS (SELECT a.book_id, a.k AS src, b.k AS dst, a.g AS inn, b.g AS out FROM n a JOIN n b ON a.book_id = b.book_id AND a.k <> b.k WHERE {_strict("b.g[1]", "a.g[1]")} OR {_strict("b.g[-1]", "a.g[-1]")}),
-walk AS (SELECT *, 1 AS o, 1 AS i FROM prs
-  UNION ALL SELECT book_id, src, dst, inn, out, o + 1, CASE WHEN i <= len(inn) AND {_strict("out[o]", "inn[i]")} THEN i + 1 ELSE i END FROM walk WHERE o <= len(out)),
-edges AS (SELECT DISTINCT book_id, src, dst FROM walk WHERE i = len(inn) + 1)"""
 
-
-_NAMES_SQL = "(SELECT 'b' AS book_id, k FROM " + values([(n,) for n in NAMES], "k") + ")"
-CLOSED = edges_sql(_NAMES_SQL) + ",\nclosed AS (SELECT book_id, src, dst FROM edges UNION SELECT c.book_id, c.src, e.dst FROM closed c JOIN edges e ON e.book_id = c.book_id AND e.src = c.dst),\nfar AS (SELECT * FROM closed WHERE src <> dst)"
-
-
-def names(spark: SparkSession, listed: list[str] = NAMES, book: str = "b") -> DataFrame:
-    return spark.createDataFrame([(book, n) for n in listed], "book_id string, gram_key string").withColumn("gram", F.split("gram_key", " "))
-
-
-def genders(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(GENDERS, "name string, gender string")
-
-
-@query("WITH " + edges_sql(_NAMES_SQL) + " SELECT book_id, src, dst FROM edges")
+@query(f"WITH {n.NAMED} {n.EDGES['partial']}")
 def partial_reference(spark, folder):
-    return coref.partial_edges(names(spark))
+    return coref.partial_edges(names(spark, folder))
 
 
-@query()
+@query(f"WITH {n.NAMED} {n.EDGES['nickname']}")
 def nickname_similarity(spark, folder):
-    return coref.nickname_edges(names(spark))
+    return coref.nickname_edges(names(spark, folder))
 
 
-@query()
+@query(f"WITH {n.NAMED} {n.EDGES['title']}")
 def title_resolution(spark, folder):
-    return coref.title_edges(names(spark), genders(spark))
+    top = n.top_words(spark, folder)
+    return coref.title_edges(n.names(top), n.genders(top))
 
 
-@query()
+@query(f"WITH {n.NAMED} {' UNION '.join(n.EDGES.values())}")
 def reference_edges(spark, folder):
-    return coref.reference_edges(names(spark), genders(spark))
+    top = n.top_words(spark, folder)
+    return coref.reference_edges(saved(n.names(top), "names"), n.genders(top))
 
 
-@query("WITH " + CLOSED + " SELECT book_id, src, dst FROM far")
+@query(f"WITH {CLOSED} SELECT book_id, src, dst FROM far")
 def coref_closure(spark, folder):
-    return coref.closure(coref.partial_edges(names(spark)))
+    return closed(names(spark, folder))
 
 
 @query(
-    "WITH "
-    + CLOSED
-    + """, mutual AS (SELECT a.* FROM far a JOIN far b ON a.src = b.dst AND a.dst = b.src),
+    f"""WITH {CLOSED}, mutual AS (SELECT a.* FROM far a JOIN far b ON a.book_id = b.book_id AND a.src = b.dst AND a.dst = b.src),
 stays AS (SELECT * FROM far EXCEPT SELECT * FROM mutual WHERE string_split(src, ' ') > string_split(dst, ' '))
-SELECT book_id, k AS gram_key FROM n WHERE k NOT IN (SELECT src FROM stays)"""
+SELECT book_id, k AS gram_key FROM listed WHERE (book_id, k) NOT IN (SELECT (book_id, src) FROM stays)"""
 )
 def unique_characters(spark, folder):
-    n = names(spark)
-    return coref.unique_names(n, coref.closure(coref.partial_edges(n))).select("book_id", "gram_key")
+    found = names(spark, folder)
+    return coref.unique_names(found, closed(found)).select("book_id", "gram_key")
 
 
-_WEIGHTED = "length(k) AS count, length(k) % 5 AS count_st"
+def name_features(found: DataFrame) -> DataFrame:
+    return found.select("book_id", "gram_key", F.length("gram_key").alias("count"), (F.length("gram_key") % 5).alias("count_st"))
 
 
-def name_features(spark: SparkSession) -> DataFrame:
-    return names(spark).select("book_id", "gram_key", F.length("gram_key").alias("count"), (F.length("gram_key") % 5).alias("count_st"))
+_SUMS = [f"coref_{kind}_{c}" for kind in ("shorter", "longer") for c in ("count", "count_st")]
 
 
 @query(
-    "WITH "
-    + CLOSED
-    + f""", f AS (SELECT book_id, k, {_WEIGHTED} FROM n),
-e AS (SELECT src AS k, dst AS o, 'longer' AS kind FROM far UNION ALL SELECT dst, src, 'shorter' FROM far)
-SELECT f.book_id, f.k AS gram_key, coalesce(max((kind = 'shorter')::INT), 0) AS coref_shorter, coalesce(sum(o.count) FILTER (kind = 'shorter'), 0)::BIGINT AS coref_shorter_count, coalesce(sum(o.count_st) FILTER (kind = 'shorter'), 0)::BIGINT AS coref_shorter_count_st,
-  coalesce(max((kind = 'longer')::INT), 0) AS coref_longer, coalesce(sum(o.count) FILTER (kind = 'longer'), 0)::BIGINT AS coref_longer_count, coalesce(sum(o.count_st) FILTER (kind = 'longer'), 0)::BIGINT AS coref_longer_count_st
-FROM f LEFT JOIN e ON e.k = f.k LEFT JOIN f o ON o.k = e.o GROUP BY ALL"""
+    f"""WITH {CLOSED}, f AS (SELECT book_id, k, length(k) AS count, length(k) % 5 AS count_st FROM listed),
+e AS (SELECT book_id, src AS k, dst AS o, 'longer' AS kind FROM far UNION ALL SELECT book_id, dst, src, 'shorter' FROM far)
+SELECT f.book_id, f.k AS gram_key, """
+    + ", ".join(f"coalesce(max((kind = '{kind}')::INT), 0) AS coref_{kind}" for kind in ("shorter", "longer"))
+    + ", "
+    + ", ".join(f"coalesce(sum(o.{c}) FILTER (kind = '{kind}'), 0)::BIGINT AS coref_{kind}_{c}" for kind in ("shorter", "longer") for c in ("count", "count_st"))
+    + " FROM f LEFT JOIN e ON e.k = f.k AND e.book_id = f.book_id LEFT JOIN f o ON o.k = e.o AND o.book_id = f.book_id GROUP BY ALL"
 )
 def coref_features(spark, folder):
-    return coref.neighbour_features(coref.closure(coref.partial_edges(names(spark))), name_features(spark), ["count", "count_st"])
+    found = names(spark, folder)
+    return coref.neighbour_features(closed(found), name_features(found), ["count", "count_st"])
 
 
-def _pair_scores(spark: SparkSession) -> DataFrame:
-    return coref.ordered_pairs(names(spark)).withColumn("cooc", ((F.length("gram1") * 3 + F.length("gram2")) % 7).cast("bigint"))
+def _pair_scores(found: DataFrame) -> DataFrame:
+    return coref.ordered_pairs(found).withColumn("cooc", ((F.length("gram1") * 3 + F.length("gram2")) % 7).cast("bigint"))
 
 
-PAIR_SUMS = (
-    "WITH "
-    + CLOSED
-    + """, near AS (SELECT k AS g, k AS m, 'e' AS kind FROM n UNION ALL SELECT src, dst, 'l' FROM far UNION ALL SELECT dst, src, 's' FROM far),
-p AS (SELECT a.k AS g1, b.k AS g2, ((length(a.k) * 3 + length(b.k)) % 7)::BIGINT AS cooc FROM n a JOIN n b ON a.k <> b.k),
-sums AS (SELECT x.g AS gram1, y.g AS gram2, x.kind || y.kind AS kind, sum(cooc)::BIGINT AS cooc FROM p JOIN near x ON x.m = p.g1 JOIN near y ON y.m = p.g2 WHERE x.g <> y.g AND x.kind || y.kind <> 'ee' GROUP BY ALL)"""
-)
+PAIR_SUMS = f"""WITH {CLOSED}, near AS (SELECT book_id, k AS g, k AS m, 'e' AS kind FROM listed UNION ALL SELECT book_id, src, dst, 'l' FROM far UNION ALL SELECT book_id, dst, src, 's' FROM far),
+p AS (SELECT a.book_id, a.k AS g1, b.k AS g2, ((length(a.k) * 3 + length(b.k)) % 7)::BIGINT AS cooc FROM listed a JOIN listed b ON a.book_id = b.book_id AND a.k <> b.k),
+sums AS MATERIALIZED (SELECT p.book_id, x.g AS gram1, y.g AS gram2, x.kind || y.kind AS kind, sum(cooc)::BIGINT AS cooc FROM p JOIN near x ON x.m = p.g1 AND x.book_id = p.book_id JOIN near y ON y.m = p.g2 AND y.book_id = p.book_id WHERE x.g <> y.g AND x.kind || y.kind <> 'ee' GROUP BY ALL)"""
 
 
-@query(PAIR_SUMS + " SELECT 'b' AS book_id, gram1, gram2, kind, cooc FROM sums")
+@query(PAIR_SUMS + " SELECT book_id, gram1, gram2, kind, cooc FROM sums")
 def coref_pair_sums(spark, folder):
-    return coref.pair_sums(coref.closure(coref.partial_edges(names(spark))), names(spark), _pair_scores(spark), ["cooc"])
+    found = names(spark, folder)
+    return coref.pair_sums(closed(found), found, _pair_scores(found), ["cooc"])
 
 
 @query(
     PAIR_SUMS
-    + ", f AS (SELECT k, length(k) AS count, length(k) % 5 AS count_st FROM n), lk AS (SELECT src AS a, dst AS b FROM far UNION SELECT dst, src FROM far)\nSELECT 'b' AS book_id, p.g1 AS gram1, p.g2 AS gram2, p.cooc, a.count::INT AS \"1_count\", a.count_st::INT AS \"1_count_st\", b.count::INT AS \"2_count\", b.count_st::INT AS \"2_count_st\", "
-    + ", ".join(f"coalesce((SELECT sum(cooc) FROM sums s WHERE s.gram1 = p.g1 AND s.gram2 = p.g2 AND s.kind = '{k}'), 0)::BIGINT AS cooc_{k}" for k in coref.KINDS)
-    + ", (EXISTS (SELECT 1 FROM lk WHERE lk.a = p.g1 AND lk.b = p.g2))::INT AS coref FROM p JOIN f a ON a.k = p.g1 JOIN f b ON b.k = p.g2"
+    + """, f AS (SELECT book_id, k, length(k) AS count, length(k) % 5 AS count_st FROM listed), lk AS (SELECT book_id, src AS a, dst AS b, 1 AS c FROM far UNION SELECT book_id, dst, src, 1 FROM far),
+wide AS (SELECT book_id, gram1, gram2, """
+    + ", ".join(f"sum(cooc) FILTER (kind = '{k}') AS cooc_{k}" for k in coref.KINDS)
+    + """ FROM sums GROUP BY ALL)
+SELECT p.book_id, p.g1 AS gram1, p.g2 AS gram2, p.cooc, a.count::INT AS "1_count", a.count_st::INT AS "1_count_st", b.count::INT AS "2_count", b.count_st::INT AS "2_count_st", """
+    + ", ".join(f"coalesce(cooc_{k}, 0)::BIGINT AS cooc_{k}" for k in coref.KINDS)
+    + """, coalesce(lk.c, 0)::INT AS coref FROM p JOIN f a ON a.k = p.g1 AND a.book_id = p.book_id JOIN f b ON b.k = p.g2 AND b.book_id = p.book_id
+LEFT JOIN wide w ON w.book_id = p.book_id AND w.gram1 = p.g1 AND w.gram2 = p.g2 LEFT JOIN lk ON lk.book_id = p.book_id AND lk.a = p.g1 AND lk.b = p.g2"""
 )
 def pair_features_wide(spark, folder):
-    closed = coref.closure(coref.partial_edges(names(spark)))
-    p = _pair_scores(spark)
-    return coref.pair_frame(p, name_features(spark), ["count", "count_st"], coref.pair_sums(closed, names(spark), p, ["cooc"]), ["cooc"], closed)
+    found = names(spark, folder)
+    far, p = closed(found), _pair_scores(found)
+    return coref.pair_frame(p, name_features(found), ["count", "count_st"], coref.pair_sums(far, found, p, ["cooc"]), ["cooc"], far)
 
 
-def characters(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([("b", n, r) for n, r in CHARACTERS], "book_id string, character string, references array<string>")
+def matches(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Characters, candidates, the scores between them, and each character's best candidate."""
+    top = n.top_words(spark, folder)
+    people, found = saved(n.characters(top), "characters"), saved(n.names(top), "names")
+    edges = saved(labels.match_edges(people, found, n.genders(top)), "matches")
+    best = edges.groupBy("book_id", "character").agg(F.max_by(F.struct("gram_key", "weight"), F.struct(F.round("weight", 6), "gram_key")).alias("x")).select("book_id", "character", "x.*")
+    return people, found, edges, best
 
 
-def match_edges(spark: SparkSession) -> DataFrame:
-    return labels.match_edges(characters(spark), names(spark, CANDIDATES), genders(spark))
+_MATCHED = f"WITH {n.NAMED}, {n.MATCHED}"
+_BEST = f"{_MATCHED}, best AS (SELECT book_id, character, gram_key FROM matched QUALIFY row_number() OVER (PARTITION BY book_id, character ORDER BY round(weight, 6) DESC, gram_key DESC) = 1)"
 
 
-@query()
+@query(f"{_MATCHED} SELECT book_id, character, gram_key, round(weight, 6) AS weight FROM matched")
 def character_match_edges(spark, folder):
-    return match_edges(spark).withColumn("weight", F.round("weight", 6))
+    return matches(spark, folder)[2].withColumn("weight", F.round("weight", 6))
 
 
 @query()
 def character_matching(spark, folder):
-    return labels.matching(saved(match_edges(spark), "matches")).withColumn("weight", F.round("weight", 6))
+    return labels.matching(matches(spark, folder)[2]).withColumn("weight", F.round("weight", 6))
 
 
-@query()
+@query(f"{_MATCHED} SELECT book_id, k AS gram_key, ((book_id, k) IN (SELECT (book_id, gram_key) FROM matched))::INT AS label, '' AS matched FROM listed")
 def label_candidates(spark, folder):
-    edges = saved(match_edges(spark), "matches")
-    return labels.candidate_labels(names(spark, CANDIDATES), edges, labels.matching(edges))
+    _, found, edges, _ = matches(spark, folder)
+    return labels.candidate_labels(found, edges)
 
 
-@query()
+@query(f"{_BEST} SELECT l.book_id, k AS gram_key, (b.gram_key IS NOT NULL)::INT AS label, coalesce(b.character, '') AS matched FROM listed l LEFT JOIN best b ON b.book_id = l.book_id AND b.gram_key = k")
+def label_candidates_named(spark, folder):
+    _, found, edges, best = matches(spark, folder)
+    return labels.candidate_labels(found, edges, best)
+
+
+_RELATED = "rel AS (SELECT * FROM (SELECT book_id, character AS c1, lead(character) OVER (PARTITION BY book_id ORDER BY character) AS c2 FROM chars) WHERE c2 IS NOT NULL)"
+
+
+def _pairs_sql(either: str) -> str:
+    return (
+        f"{_MATCHED}, {_RELATED}, either AS ({either}), pos AS (SELECT DISTINCT book_id, gram_key FROM matched), "
+        "hit AS (SELECT DISTINCT e.book_id, x.gram_key AS gram1, y.gram_key AS gram2, 1 AS one FROM either e JOIN matched x ON x.book_id = e.book_id AND x.character = c1 JOIN matched y ON y.book_id = e.book_id AND y.character = c2) "
+        "SELECT a.book_id, a.gram_key AS gram1, b.gram_key AS gram2, coalesce(one, 0)::INT AS label FROM pos a JOIN pos b ON a.book_id = b.book_id AND a.gram_key <> b.gram_key LEFT JOIN hit h ON h.book_id = a.book_id AND h.gram1 = a.gram_key AND h.gram2 = b.gram_key"
+    )
+
+
+def _pair_labels(spark, folder, literal):
+    people, found, edges, _ = matches(spark, folder)
+    following = F.lead("character").over(co.Window.partitionBy("book_id").orderBy("character"))
+    related = people.select("book_id", F.col("character").alias("c1"), following.alias("c2")).where("c2 IS NOT NULL")
+    return labels.pair_labels(labels.candidate_labels(found, edges), edges, related, literal)
+
+
+@query(_pairs_sql("SELECT * FROM rel UNION SELECT book_id, c2, c1 FROM rel"))
 def relation_labels(spark, folder):
-    edges = saved(match_edges(spark), "matches")
-    related = spark.createDataFrame([("b", *sorted(r)) for r in RELATED], "book_id string, c1 string, c2 string")
-    return labels.pair_labels(labels.candidate_labels(names(spark, CANDIDATES), edges), edges, related)
+    return _pair_labels(spark, folder, False)
 
 
-@query()
+@query(_pairs_sql("SELECT * FROM rel"))
+def relation_labels_literal(spark, folder):
+    return _pair_labels(spark, folder, True)
+
+
+_KINDS = """, edged AS (SELECT DISTINCT book_id, gram_key FROM matched), picked AS (SELECT DISTINCT book_id, gram_key FROM best),
+cand AS (SELECT l.book_id, k, e.gram_key IS NOT NULL AS edge, p.gram_key IS NOT NULL AS pick FROM listed l LEFT JOIN edged e ON e.book_id = l.book_id AND e.gram_key = k LEFT JOIN picked p ON p.book_id = l.book_id AND p.gram_key = k),
+missed AS (SELECT book_id, character FROM chars WHERE (book_id, character) NOT IN (SELECT (book_id, character) FROM best))"""
+
+
+@query(f"{_BEST}{_KINDS} SELECT book_id, count(*) AS n_candidates, count(*) FILTER (edge AND NOT pick) AS duplicate, count(*) FILTER (NOT edge) AS invalid, (SELECT count(*) FROM missed WHERE missed.book_id = cand.book_id) AS unresolved FROM cand GROUP BY book_id")
 def evaluate_candidates(spark, folder):
-    edges = saved(match_edges(spark), "matches")
-    return labels.candidate_quality(names(spark, CANDIDATES), edges, labels.matching(edges), characters(spark))
+    people, found, edges, best = matches(spark, folder)
+    return labels.candidate_quality(found, edges, best.dropDuplicates(["book_id", "gram_key"]), people)
 
 
+@query(
+    f"{_BEST}{_KINDS}, each AS (SELECT book_id, 'duplicate' AS kind, k AS name FROM cand WHERE edge AND NOT pick UNION ALL SELECT book_id, 'invalid', k FROM cand WHERE NOT edge UNION ALL SELECT book_id, 'unresolved', character FROM missed) "
+    "SELECT book_id, kind, string_agg(name, '|' ORDER BY name) AS names FROM each GROUP BY ALL"
+)
+def candidate_quality_names(spark, folder):
+    people, found, edges, best = matches(spark, folder)
+    return labels.quality_names(found, edges, best, people).withColumn("names", F.array_join("names", "|"))
+
+
+@query(
+    f"{_BEST}{_KINDS}, size AS (SELECT book_id, count(*) AS n FROM chars GROUP BY ALL) SELECT book_id, round((SELECT count(*) FROM missed WHERE missed.book_id = cand.book_id) / any_value(n), 9) AS unresolved_rate, round(count(*) FILTER (edge AND NOT pick) / count(*), 9) AS duplicate_rate, round(count(*) FILTER (NOT edge) / count(*), 9) AS invalid_rate FROM cand JOIN size USING (book_id) GROUP BY book_id"
+)
+def evaluate_unique_names(spark, folder):
+    """Rates of a whole run's evaluation; here all names count as predicted and unique."""
+    people, found, edges, best = matches(spark, folder)
+    return _rounded(labels.quality_rates(labels.candidate_quality(found, edges, best.dropDuplicates(["book_id", "gram_key"]), people), people))
+
+
+@query(
+    f"{_BEST}, hit AS (SELECT DISTINCT book_id, character FROM best), r AS (SELECT c.book_id, avg((h.character IS NULL)::INT) AS u FROM chars c LEFT JOIN hit h ON h.book_id = c.book_id AND h.character = c.character GROUP BY ALL) SELECT round(min(u), 9) AS least, round(max(u), 9) AS most, round(avg(u), 9) AS mean FROM r"
+)
+def unresolved_rates(spark, folder):
+    people, _, _, best = matches(spark, folder)
+    return _rounded(labels.rate_summary(labels.unresolved_rates(people, best)))
 
 
 def paragraphs(spark: SparkSession, folder: str) -> DataFrame:
@@ -205,15 +240,17 @@ def relations_from_descriptions(spark, folder):
     return rel.from_descriptions(saved(paragraphs(spark, folder), "paragraphs"))
 
 
-@query(
+_COMPARED = (
     "WITH "
     + _PARAGRAPHS_SQL
     + """, pred AS (SELECT DISTINCT book_id, least(character, heading) AS c1, greatest(character, heading) AS c2 FROM others JOIN pars USING (book_id, paragraph_id)),
 truth AS (SELECT DISTINCT a.book_id, least(a.heading, b.heading) AS c1, greatest(a.heading, b.heading) AS c2 FROM pars a JOIN pars b ON a.book_id = b.book_id AND b.paragraph_id = a.paragraph_id + 10 WHERE a.heading <> b.heading),
-j AS (SELECT coalesce(p.book_id, t.book_id) AS book_id, p.c1 IS NOT NULL AS p, t.c1 IS NOT NULL AS t FROM pred p FULL JOIN truth t ON p.book_id = t.book_id AND p.c1 = t.c1 AND p.c2 = t.c2)
-SELECT book_id, round(coalesce(count(*) FILTER (p AND t) / nullif(count(*) FILTER (p), 0), 1.0), 9) AS precision, round(count(*) FILTER (p AND t) / nullif(count(*) FILTER (t), 0), 9) AS recall FROM j GROUP BY ALL"""
+j AS (SELECT coalesce(p.book_id, t.book_id) AS book_id, p.c1 IS NOT NULL AS p, t.c1 IS NOT NULL AS t FROM pred p FULL JOIN truth t ON p.book_id = t.book_id AND p.c1 = t.c1 AND p.c2 = t.c2),
+compared AS (SELECT book_id, round(coalesce(count(*) FILTER (p AND t) / nullif(count(*) FILTER (p), 0), 1.0), 9) AS precision, round(count(*) FILTER (p AND t) / nullif(count(*) FILTER (t), 0), 9) AS recall FROM j GROUP BY ALL)"""
 )
-def relation_compare(spark, folder):
+
+
+def _compared(spark: SparkSession, folder: str) -> DataFrame:
     p = saved(paragraphs(spark, folder), "paragraphs")
     after = p.select("book_id", (F.col("paragraph_id") - 10).alias("paragraph_id"), F.col("heading").alias("h2"))
     true = p.join(after, ["book_id", "paragraph_id"]).where("heading <> h2").select("book_id", F.least("heading", "h2").alias("c1"), F.greatest("heading", "h2").alias("c2"))
@@ -221,6 +258,21 @@ def relation_compare(spark, folder):
     return found.select("book_id", F.round("precision", 9).alias("precision"), F.round("recall", 9).alias("recall"))
 
 
+@query(_COMPARED + " SELECT * FROM compared")
+def relation_compare(spark, folder):
+    return _compared(spark, folder)
+
+
+@query(_COMPARED + " SELECT round(avg(precision), 6) AS precision, round(avg(recall), 6) AS recall FROM compared")
+def relation_averages(spark, folder):
+    return _rounded(rel.averages(_compared(spark, folder)), 6)
+
+
+@query(_COMPARED + " SELECT * FROM compared WHERE precision < 0.7 OR recall < 0.7")
+def relation_weak_books(spark, folder):
+    return rel.weak_books(_compared(spark, folder))
+
+
 @query(
     """WITH spans AS (SELECT doc_id, source AS book_id, n_chars, sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id)::BIGINT AS stop FROM documents), spots AS (SELECT source AS book_id, unnest(range(0, sum(n_chars)::BIGINT, 5000)) AS s FROM documents GROUP BY source)
 SELECT s.book_id, s.s, p.doc_id AS paragraph_id FROM spots s JOIN spans p ON s.book_id = p.book_id AND p.stop - n_chars <= s AND s < p.stop"""

@@ -11,7 +11,8 @@ from narrascope.operators import candidates as c
 from narrascope.operators import crossref as x
 from narrascope.operators import tokens as t
 from narrascope.operators.frames import shared_folder, table
-from narrascope.plans.base import query, values
+from narrascope.plans.base import query
+from narrascope.plans.sentences import SENTENCES
 from narrascope.sources import sinks
 from narrascope.streaming import books
 
@@ -91,12 +92,17 @@ def as_of_section(spark, folder):
     return t.as_of_sections(o.where("o_orderkey % 3 = 0").select("book_id", "begin").distinct(), markers).select("book_id", "begin", F.col("section_id").cast("bigint").alias("section_id"))
 
 
-EDGES = [("person.n.01", "ruler.n.01"), ("person.n.01", "sailor.n.01"), ("ruler.n.01", "king.n.01"), ("ruler.n.01", "queen_mother.n.01"), ("sailor.n.01", "helmsman.n.01"), ("helmsman.n.01", "able_seaman.n.01"), ("animal.n.01", "dog.n.01")]
+#: A tree of the tables: regions over nations over suppliers, and ways back from some nations to their regions.
+_TREE = "tree AS (SELECT 'region_' || n_regionkey || '.n.01' AS parent, 'nation_' || n_nationkey || '.n.01' AS child FROM nation UNION ALL SELECT 'nation_' || s_nationkey || '.n.01', 'supplier_' || s_suppkey || '.n.01' FROM supplier UNION ALL SELECT 'nation_' || n_nationkey || '.n.01', 'region_' || n_regionkey || '.n.01' FROM nation WHERE n_nationkey % 5 = 0)"
 
 
-@query("WITH RECURSIVE u AS (SELECT child FROM " + values(EDGES, "parent, child") + " WHERE parent = 'person.n.01' UNION ALL SELECT v.child FROM u JOIN " + values(EDGES, "parent, child") + " ON v.parent = u.child) SELECT DISTINCT replace(split_part(child, '.', 1), '_', ' ') AS word FROM u")
+@query(f"WITH RECURSIVE {_TREE}, u AS (SELECT child FROM tree WHERE parent = 'region_1.n.01' UNION SELECT t.child FROM u JOIN tree t ON t.parent = u.child) SELECT DISTINCT replace(split_part(child, '.', 1), '_', ' ') AS word FROM u")
 def lexicon_closure(spark, folder):
-    return c.lexicon(spark.createDataFrame(EDGES, "parent string, child string"), "person.n.01")
+    node = lambda kind, c: F.concat(F.lit(f"{kind}_"), F.col(c).cast("string"), F.lit(".n.01"))
+    n, s = table(spark, folder, "nation"), table(spark, folder, "supplier")
+    down = n.select(node("region", "n_regionkey").alias("parent"), node("nation", "n_nationkey").alias("child"))
+    back = n.where("n_nationkey % 5 = 0").select(node("nation", "n_nationkey").alias("parent"), node("region", "n_regionkey").alias("child"))
+    return c.lexicon(down.union(s.select(node("nation", "s_nationkey").alias("parent"), node("supplier", "s_suppkey").alias("child"))).union(back), "region_1.n.01")
 
 
 @query("WITH b AS (SELECT DISTINCT source AS book_id FROM documents), r AS (SELECT book_id, row_number() OVER (ORDER BY book_id) - 1 AS i, count(*) OVER () // 3 AS size FROM b) SELECT book_id, (i // size)::INT AS part FROM r WHERE i // size < 3")
@@ -147,16 +153,40 @@ def nickname_references(spark, folder):
     return named.select("character", F.explode(ft.nickname_references(F.col("character"))).alias("reference"))
 
 
-HEADINGS = ["Mr. and Mrs. Bennet", "Jane, Lydia and Kitty", "Charles Bingley", "Élizabeth “Lizzy” Bennet", "Uncle and Aunt Gardiner"]
+#: Headings of nations: a couple, a list, and a name with marks.
+_HEADINGS = "n AS (SELECT n_nationkey AS id, upper(n_name[1]) || lower(replace(n_name[2:], ' ', '')) AS name FROM nation), h AS (SELECT a.id, a.name AS a, b.name AS b, c.name AS c FROM n a JOIN n b ON b.id = (a.id + 1) % 25 JOIN n c ON c.id = (a.id + 2) % 25)"
 
 
-@query(
-    "SELECT * FROM "
-    + values([(HEADINGS[0], "Mr. Bennet"), (HEADINGS[0], "Mrs. Bennet"), (HEADINGS[1], "Jane"), (HEADINGS[1], "Kitty"), (HEADINGS[1], "Lydia"), (HEADINGS[2], "Charles Bingley"), (HEADINGS[3], 'Elizabeth "Lizzy" Bennet'), (HEADINGS[4], "Uncle Gardiner"), (HEADINGS[4], "Aunt Gardiner")], "heading, character")
-)
+@query(f"WITH {_HEADINGS} SELECT id, unnest(CASE id % 3 WHEN 0 THEN ['Mr. ' || a, 'Mrs. ' || a] WHEN 1 THEN [a, b, c] ELSE ['Zo' || a] END) AS character FROM h")
 def heading_characters(spark, folder):
-    h = spark.createDataFrame([(x,) for x in HEADINGS], "heading string")
-    return h.select("heading", F.explode(ft.split_characters(ft.normalized(F.col("heading")))).alias("character"))
+    n = table(spark, folder, "nation").select(F.col("n_nationkey").alias("id"), F.initcap(F.regexp_replace("n_name", " ", "")).alias("a"))
+    other = lambda by, name: n.select(((F.col("id") + 25 - by) % 25).alias("id"), F.col("a").alias(name))
+    each = n.join(other(1, "b"), "id").join(other(2, "c"), "id")
+    heading = F.when(F.col("id") % 3 == 0, F.concat(F.lit("Mr. and Mrs. "), "a")).when(F.col("id") % 3 == 1, F.concat("a", F.lit(", "), "b", F.lit(" and "), "c")).otherwise(F.concat(F.lit("\u017bo\u0301"), "a"))
+    return each.select("id", F.explode(ft.split_characters(ft.normalized(heading))).alias("character"))
+
+
+@query(r"WITH t AS (SELECT doc_id, len(regexp_extract_all(text, '(?:Mr|Mrs|Ms|Dr|Prof|Jr)\.|''s|[\p{L}\p{N}]+|[^\s\p{L}\p{N}]')) AS n_tokens, len(string_split(regexp_replace(text, '\s+$', ''), chr(10))) - 1 AS n_newlines FROM documents WHERE text IS NOT NULL) SELECT doc_id, n_tokens::BIGINT AS n_tokens, n_newlines::BIGINT AS n_newlines FROM t WHERE n_tokens > 0")
+def aligned_tokens(spark, folder):
+    """Words of every document walked along its token lines; every newline before the last word is found before some word."""
+    d = table(spark, folder, "documents").where("text IS NOT NULL").select("doc_id", t.newline_lines(F.col("text")).alias("lines"))
+    lines = d.select(F.col("doc_id").alias("book_id"), F.posexplode("lines").alias("line", "text"))
+    words = d.select(F.col("doc_id").alias("book_id"), F.posexplode(F.filter("lines", lambda x: x != "*NL*")).alias("pos", "word"))
+    return t.align(words, lines).groupBy(F.col("book_id").alias("doc_id")).agg(F.count("line").alias("n_tokens"), F.sum("nl_before").alias("n_newlines"))
+
+
+_POSSESSIVE = "CASE s_suppkey % 3 WHEN 0 THEN s_name || chr(39) || 's' WHEN 1 THEN s_name || 's' || chr(39) ELSE s_name END"
+
+
+@query(f"SELECT s_suppkey, CASE s_suppkey % 3 WHEN 1 THEN s_name || 's' ELSE s_name END AS plain, len(string_split_regex({_POSSESSIVE}, '[^0-9A-Za-z_]+'))::INT * 2 - 1 AS width, CASE s_suppkey % 2 WHEN 0 THEN 'st' ELSE 'cp' END AS section, 'supplier' AS stem, CASE s_suppkey % 3 WHEN 2 THEN '' WHEN 1 THEN 'MALE' ELSE 'FEMALE' END AS sex FROM supplier")
+def name_functions(spark, folder):
+    """Possessive forms, widths, section names, file stems and the sex of mentions, of supplier names."""
+    s = table(spark, folder, "supplier").withColumn("k", F.col("s_suppkey") % 3)
+    name = F.when(F.col("k") == 0, F.concat("s_name", F.lit("'s"))).when(F.col("k") == 1, F.concat("s_name", F.lit("s'"))).otherwise(F.col("s_name"))
+    sex = ft.coref_sex(F.array("s_name", F.when(F.col("k") == 1, "his").when(F.col("k") == 0, "Her").otherwise("one")))
+    kind = F.when(F.col("s_suppkey") % 2 == 0, "sentence").otherwise("chapter")
+    path = F.concat(F.lit("/data/supplier_"), F.col("s_suppkey").cast("string"), F.lit(".txt"))
+    return s.select("s_suppkey", ft.strip_possessive(name).alias("plain"), ft.name_width(name).alias("width"), ft.section_short(kind).alias("section"), ft.book_stem(path).alias("stem"), sex.alias("sex"))
 
 
 @query("SELECT source AS book_id, count(*) AS n_documents FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0) GROUP BY source")
@@ -166,7 +196,7 @@ def remaining_books(spark, folder):
     return kept.groupBy(F.col("source").alias("book_id")).agg(F.count("*").alias("n_documents"))
 
 
-@query()
+@query(SENTENCES + " SELECT book_id, count(*) AS num_sentences, sum(len(w))::BIGINT AS num_tokens FROM sents GROUP BY book_id")
 def streamed_tokens_per_section(spark, folder):
     """The token query as a stream of one table's files: micro-batches write, then the results are read together."""
     out = f"{shared_folder(spark)}/narrascope/stream-{uuid.uuid4().hex}"

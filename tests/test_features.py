@@ -39,9 +39,9 @@ def test_vectors(spark):
 
 
 def test_candidates_of_a_text(spark):
-    text = "\n\n".join(["then Tom Sawyer ran. so Tom slept. then Tom Sawyer fell."] * 4)
+    text = "\n\n".join(["then Tom Moor ran. so Tom slept. then Tom Moor fell."] * 4)
     found = {r.gram_key: r.n for r in api.candidates(spark.createDataFrame([("b", 1, text)], "source string, doc_id int, text string")).collect()}
-    assert found["Tom Sawyer"] == 8 and found["Tom"] == 12
+    assert found["Tom Moor"] == 8 and found["Tom"] == 12
 
 
 def test_descriptions(spark):
