@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -132,10 +133,15 @@ def best(rows: DataFrame, numbers: Sequence[int], beyond: int) -> DataFrame:
     return rows.where((F.col("r") <= max([*numbers, beyond])) & (F.col("r") <= by_length(numbers, F.col("length"), beyond))).drop("r")
 
 
-def ranked(counts: DataFrame, keys: list[str]) -> DataFrame:
-    """counts(…, gram_key, n) with rank (n descending, then gram_key), group size and share of the group's sum."""
-    w = Window.partitionBy(*keys)
-    return counts.withColumn("rank", F.row_number().over(w.orderBy(F.desc("n"), "gram_key"))).withColumn("rows", F.count("*").over(w)).withColumn("share", F.col("n") / F.sum("n").over(w))
+def ranked(counts: DataFrame, keys: list[str], most: int) -> DataFrame:
+    """The `most` best rows of each group of counts(…, gram_key, n), with rank (n descending, then gram_key), group size and share of the group's sum.
+
+    The constant bound lets each task keep only its best rows before the shuffle; sizes and sums are aggregates.
+    """
+    best_first = Window.partitionBy(*keys).orderBy(F.desc("n"), "gram_key")
+    sizes = counts.groupBy(*keys).agg(F.count("*").alias("rows"), F.sum("n").alias("all_n"))
+    top = counts.withColumn("rank", F.row_number().over(best_first)).where(F.col("rank") <= most)
+    return top.join(sizes, keys).withColumn("share", F.col("n") / F.col("all_n")).drop("all_n")
 
 
 def percent_filter(counts: DataFrame, c: Cutoffs = Cutoffs()) -> DataFrame:
@@ -143,16 +149,15 @@ def percent_filter(counts: DataFrame, c: Cutoffs = Cutoffs()) -> DataFrame:
 
     Up to the given lengths: the top percentage (the whole list when it makes less than one) with
     a count above `least_count`, and all with a large share; of these the given number. Longer
-    grams need a count above `longer_least` or a large share, and `longer_number` stay.
+    grams need a count above `longer_least` or a large share, and `longer_number` stay. All these
+    conditions hold for a first part of the ranking, so no row beyond the number is ever needed.
     """
-    r = ranked(counts.where(F.col("length") <= c.longest), ["book_id", "length"])
+    r = ranked(counts.where(F.col("length") <= c.longest), ["book_id", "length"], max([*c.numbers, c.longer_number]))
     k = F.floor(by_length(c.percents, F.col("length"), 100) * F.col("rows") / 100)
     top = (k == 0) | (F.col("rank") <= k)
     inside = F.col("length") <= len(c.percents)
     good = F.when(inside, (top & (F.col("n") > c.least_count)) | (F.col("share") > c.share)).otherwise((F.col("n") > c.longer_least) | (F.col("share") > c.share))
-    kept = r.where(good).select("book_id", "gram_key", "length", "n")
-    again = Window.partitionBy("book_id", "length").orderBy(F.desc("n"), "gram_key")
-    return best(kept.withColumn("r", F.row_number().over(again)), c.numbers, c.longer_number)
+    return best(r.where(good).select("book_id", "gram_key", "length", "n", F.col("rank").alias("r")), c.numbers, c.longer_number)
 
 
 def flex_filter(counts: DataFrame, numbers: Sequence[int] | None = None, least: int = 2) -> DataFrame:
@@ -174,13 +179,13 @@ def chapter_filter(chapter_counts: DataFrame, book_counts: DataFrame, c: Cutoffs
     if mode == "flex":
         found = chapter_counts.where(F.col("n") > c.chapter_least)
     else:
-        r = ranked(chapter_counts, ["book_id", "cp_id"])
+        # of shares above s there are less than 1 / s in a chapter
+        r = ranked(chapter_counts, ["book_id", "cp_id"], max(c.chapter_number, math.ceil(1 / c.chapter_share)))
         k = F.floor(c.chapter_percent * F.col("rows") / 100)
         large = F.col("share") > c.chapter_share
         if literal:
             return r.where(large).join(book, ["book_id", "gram_key"]).groupBy("book_id", "gram_key", "length").agg(F.max("n").alias("n"))
-        good = r.where((((k == 0) | (F.col("rank") <= k)) & (F.col("n") > 3)) | large).drop("rank")
-        found = good.withColumn("r", F.row_number().over(Window.partitionBy("book_id", "cp_id").orderBy(F.desc("n"), "gram_key"))).where(F.col("r") <= c.chapter_number)
+        found = r.where(((((k == 0) | (F.col("rank") <= k)) & (F.col("n") > 3)) | large) & (F.col("rank") <= c.chapter_number))
     return found.select("book_id", "gram_key").distinct().join(book, ["book_id", "gram_key"]).select("book_id", "gram_key", "length", F.col("book_n").alias("n"))
 
 

@@ -207,10 +207,10 @@ SELECT book_id, gram_key, n, count_pg, round(count_pg / num, 9) AS count_norm_le
 def top_grams_flagship(spark, folder):
     """Each book's 40 most frequent grams with section counts, shares and co-occurrence totals over paragraphs."""
     found = kept_grams(spark, folder)
-    hits = found.join(F.broadcast(dictionary(found).select("book_id", "gram_key")), ["book_id", "gram_key"])
+    hits = found.join(small(dictionary(found).select("book_id", "gram_key")), ["book_id", "gram_key"])
     best = saved(hits.groupBy(*c.SENTENCE, "pg_id", "tok_idx").agg(F.max_by("gram_key", "n").alias("gram_key")), "occurrences")
-    top = c.ranked(best.groupBy("book_id", "gram_key").agg(F.count("*").alias("n")), ["book_id"]).where("rank <= 40").select("book_id", "gram_key", "n")
-    occ = best.join(F.broadcast(top.select("book_id", "gram_key")), ["book_id", "gram_key"]).select("book_id", F.concat_ws("/", "cp_id", "pg_id").alias("section_id"), "gram_key").distinct()
+    top = c.ranked(best.groupBy("book_id", "gram_key").agg(F.count("*").alias("n")), ["book_id"], 40).select("book_id", "gram_key", "n")
+    occ = best.join(small(top.select("book_id", "gram_key")), ["book_id", "gram_key"]).select("book_id", F.concat_ws("/", "cp_id", "pg_id").alias("section_id"), "gram_key").distinct()
     # a row of the co-occurrence matrix sums the sizes of its sections: no pairs
     sized = occ.groupBy("book_id", "section_id").agg(F.collect_list("gram_key").alias("g")).select("book_id", F.explode("g").alias("gram_key"), F.size("g").alias("m"))
     per = sized.groupBy("book_id", "gram_key").agg(F.count("*").alias("count_pg"), F.sum("m").alias("cooc_cand_pg"))
@@ -228,7 +228,7 @@ SELECT book_id, section_type, gram_key AS item, count_s, round(count_s / m, 9) A
 )
 def section_counts_grams(spark, folder):
     found = kept_grams(spark, folder)
-    hits = found.join(F.broadcast(dictionary(found).select("book_id", "gram_key")), ["book_id", "gram_key"])
+    hits = found.join(small(dictionary(found).select("book_id", "gram_key")), ["book_id", "gram_key"])
     best = hits.groupBy(*c.SENTENCE, "pg_id", "tok_idx").agg(F.max_by("gram_key", "n").alias("item"))
     f = co.section_counts(saved(co.to_sections(best).distinct(), "sections"))
     return f.withColumns({k: F.round(k, 9) for k in ("count_norm_length_s", "count_norm_char_s")})
@@ -252,7 +252,7 @@ def tag_features(spark, folder):
     each = ends.select(*c.SENTENCE, "w", "tags", "e", F.explode(F.sequence(F.lit(1), F.least("e", F.lit(MOST)))).alias("n"))
     cut = lambda a: F.slice(a, F.col("e") - F.col("n") + 1, F.col("n"))
     grams = each.select(*c.SENTENCE, "e", "n", cut("w").alias("gram"), cut("tags").alias("ners")).withColumn("gram_key", F.array_join("gram", " "))
-    hits = grams.join(F.broadcast(words.select("book_id", "gram_key")), ["book_id", "gram_key"])
+    hits = grams.join(small(words.select("book_id", "gram_key")), ["book_id", "gram_key"])
     best = hits.groupBy(*c.SENTENCE, "e").agg(F.max_by(F.struct("gram_key", "gram", "ners"), "n").alias("x")).select("book_id", "x.*")
     f = x.tag_features(best)
     return f.withColumns({k: F.round(k, 9) for k in ("avg_ner", "avg_last_ner")})
