@@ -26,9 +26,9 @@ genders AS (SELECT lower(w) AS name, min(CASE r % 3 WHEN 0 THEN 'MALE' ELSE 'FEM
 chars AS (SELECT book_id, w || ' ' || nxt AS character, CASE WHEN r % 5 = 0 THEN ['Dr. ' || nxt] WHEN r % 5 = 1 THEN [w || ' ' || w] ELSE [] END AS refs FROM top WHERE r % 2 = 1)"""
 
 
-def top_words(spark: SparkSession, folder: str) -> DataFrame:
-    """book_id, w, r, nxt: at most WORDS rows a language."""
-    caps = table(spark, folder, "documents").where("lang IS NOT NULL").select(F.col("lang").alias("book_id"), F.explode(F.regexp_extract_all("text", F.lit("[A-Z][a-z]{2,}"), F.lit(0))).alias("w"))
+def top_words(spark: SparkSession, folder: str, book: str = "lang") -> DataFrame:
+    """book_id, w, r, nxt: at most WORDS rows a language, or a value of another column."""
+    caps = table(spark, folder, "documents").where(F.col(book).isNotNull()).select(F.col(book).alias("book_id"), F.explode(F.regexp_extract_all("text", F.lit("[A-Z][a-z]{2,}"), F.lit(0))).alias("w"))
     counts = caps.groupBy("book_id", "w").agg(F.count("*").alias("n"))
     r = F.row_number().over(Window.partitionBy("book_id").orderBy(F.desc("n"), "w"))
     top = saved(counts.select("book_id", "w", r.alias("r")).where(F.col("r") <= WORDS), "top-words")

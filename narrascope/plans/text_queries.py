@@ -9,9 +9,10 @@ from narrascope.operators import candidates as c
 from narrascope.operators import cooccurrence as co
 from narrascope.operators import coref
 from narrascope.operators import crossref as x
+from narrascope.operators import labels
 from narrascope.operators import tokens as t
 from narrascope.operators.frames import saved, small, table
-from narrascope.plans import features
+from narrascope.plans import features, name_tables
 from narrascope.plans.base import query
 from narrascope.plans.sentences import SENTENCES
 
@@ -258,10 +259,14 @@ def tag_features(spark, folder):
     return f.withColumns({k: F.round(k, 9) for k in ("avg_ner", "avg_last_ner")})
 
 
-def _vectors(spark, folder, cutoffs=c.Cutoffs()):
-    """Names, base features, occurrences, tags and the closure of reference edges for the grams of each book that the cutoffs keep."""
+def _candidates(spark, folder, cutoffs=c.Cutoffs()):
+    """The grams of all sentences, and the names (book_id, gram_key, gram) of each book that the cutoffs keep."""
     found = c.windows(saved(sentences(spark, folder), "sentences"), [*c.SENTENCE, "pg_id"], cutoffs.longest)
-    names = saved(c.percent_filter(gram_counts(found), cutoffs).select("book_id", "gram_key").withColumn("gram", F.split("gram_key", " ")), "names")
+    return found, saved(c.percent_filter(gram_counts(found), cutoffs).select("book_id", "gram_key").withColumn("gram", F.split("gram_key", " ")), "names")
+
+
+def _vectors(spark, folder, found, names):
+    """Names that occur, base features, occurrences, tags and the closure of reference edges, all counted over `names` alone."""
     hits = found.join(small(names.select("book_id", "gram_key")), ["book_id", "gram_key"])
     best = saved(hits.groupBy(*c.SENTENCE, "pg_id", "tok_idx").agg(F.max_by("gram_key", "n").alias("gram_key")), "occurrences")
     counts = best.groupBy("book_id", "gram_key").agg(F.count("*").alias("n")).withColumn("length", F.size(F.split("gram_key", " ")))
@@ -269,21 +274,32 @@ def _vectors(spark, folder, cutoffs=c.Cutoffs()):
     occurrences = saved(co.to_sections(best.withColumnRenamed("gram_key", "item")).distinct(), "sections")
     gram = F.split("gram_key", " ")
     tags = x.tag_features(best.select("book_id", "gram_key", gram.alias("gram"), F.transform(gram, lambda w: t.ner(w, F.lit(None).cast("string"))).alias("ners")))
-    closed = coref.closure(coref.partial_edges(names.join(base.select("book_id", "gram_key"), ["book_id", "gram_key"], "left_semi")))
-    return names.join(base.select("book_id", "gram_key"), ["book_id", "gram_key"], "left_semi"), base, occurrences, tags, closed
+    names = saved(names.join(base.select("book_id", "gram_key"), ["book_id", "gram_key"], "left_semi"), "names")
+    return names, base, occurrences, saved(tags, "tags"), coref.closure(coref.partial_edges(names))
+
+
+def labelled_names(spark, folder, names):
+    """label of each candidate: 1 if it is, or is contained in, one of the book's characters (pairs of its most frequent capitalised words)."""
+    people = name_tables.characters(name_tables.top_words(spark, folder, "source")).select("book_id", F.col("character").alias("gram_key"))
+    people = saved(people.withColumn("gram", F.split("gram_key", " ")), "characters")
+    own = people.select("book_id", F.col("gram_key").alias("src"), F.col("gram_key").alias("dst"))
+    edges = coref.partial_edges(names.unionByName(people).dropDuplicates(["book_id", "gram_key"])).join(own.select("book_id", "dst"), ["book_id", "dst"], "left_semi").unionByName(own)
+    return labels.candidate_labels(names, edges.withColumnRenamed("src", "gram_key"))
 
 
 @query()
 def character_features(spark, folder):
     """All 110 features of each book's names."""
-    _, base, occurrences, tags, closed = _vectors(spark, folder)
+    _, base, occurrences, tags, closed = _vectors(spark, folder, *_candidates(spark, folder))
     return features.character_features(base, occurrences, tags, closed)
 
 
 @query()
 def pair_features(spark, folder):
-    """All 382 features, and coref, of the ordered pairs of each book's names."""
-    names, base, occurrences, tags, closed = _vectors(spark, folder)
+    """All 382 features, and coref, of the ordered pairs of each book's labelled names: relations are learnt from candidates that match a character."""
+    found, names = _candidates(spark, folder)
+    known = labelled_names(spark, folder, names).where("label = 1").select("book_id", "gram_key")
+    names, base, occurrences, tags, closed = _vectors(spark, folder, found, saved(names.join(known, ["book_id", "gram_key"], "left_semi"), "labelled"))
     vectors = saved(features.character_features(base, occurrences, tags, closed), "vectors")
     weights = base.select("book_id", F.col("gram_key").alias("item"), F.col("count_norm_char").alias("w"))
     return features.pair_features(vectors, names, occurrences, weights, closed)

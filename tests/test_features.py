@@ -55,9 +55,13 @@ def test_names_of_the_vector_queries(spark, tmp_path, monkeypatch):
     counts = text_queries.gram_counts(c.windows(text_queries.sentences(spark, str(tmp_path)), [*c.SENTENCE, "pg_id"], 7))
     kept = {r.gram_key for r in c.percent_filter(counts).collect()}
     assert {len(n.split()) for n in kept} == {1, 2, 3, 4, 5, 6, 7}
-    monkeypatch.setattr(f, "pair_features", lambda vectors, names, *others: names)
-    assert {r.gram_key for r in text_queries._vectors(spark, str(tmp_path))[0].collect()} <= kept
+    found, names = text_queries._candidates(spark, str(tmp_path))
+    assert {r.gram_key for r in names.collect()} == kept
+    labelled = {r.gram_key for r in text_queries.labelled_names(spark, str(tmp_path), names).where("label = 1").collect()}
     monkeypatch.setattr(f, "character_features", lambda base, *others: base)
     characters = {r.gram_key for r in text_queries.character_features(spark, str(tmp_path)).collect()}
-    assert {r.gram_key for r in text_queries.pair_features(spark, str(tmp_path)).collect()} == characters
     assert characters <= kept and max(len(n.split()) for n in characters) == 7 and len(characters) > 6
+    monkeypatch.setattr(f, "pair_features", lambda vectors, names, *others: names)
+    paired = {r.gram_key for r in text_queries.pair_features(spark, str(tmp_path)).collect()}
+    # of the labelled names, those that are the longest at some place
+    assert "Alpha Beta" in labelled and "N1" not in labelled and paired and paired <= labelled
