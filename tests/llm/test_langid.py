@@ -118,3 +118,40 @@ def test_texts_of_no_learned_language_go(spark):
     assert sum(kept.get(i, lang) == lang for i, lang in truth.items()) >= 0.97 * len(truth) and None not in kept.values()
     assert not {-100, -101} & kept.keys()
     assert sum(-41 < i < 0 for i in kept) <= 2
+
+
+def test_chunks_hold_every_window(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(g, "CHUNK_WINDOWS", 7)
+    texts, langs = ["a" * 130, "", "é" * 32, None, "z" * 1000], ["x", "y", "y", "x", "x"]
+    chunks = list(g._chunks(iter([pa.record_batch([pa.array(langs), pa.array(texts)], names=["lang", "text"]), pa.record_batch([pa.array(["y"]), pa.array(["b"])], names=["lang", "text"])]), ["x", "y"]))
+    assert [len(x) for x, _ in chunks] == [7, 7, 7]
+    x, y = (np.concatenate(z) for z in zip(*chunks))
+    assert bytes(x[x != g.PAD].astype(np.uint8)) == "".join(t or "" for t in [*texts, "b"]).encode()
+    assert y.tolist() == [0] * 3 + [1] + [0] * 16 + [1]
+
+
+def test_learns_from_every_labelled_text(spark):
+    # a text has one letter; those of the two sampled ones tell nothing of the other 18
+    docs = spark.createDataFrame([(i, "abcdefghijklmnopqrst"[i % 20] * 6400, "xy"[i % 20 // 10]) for i in range(1000)], "doc_id bigint, text string, lang string")
+    net = g.fit(docs, per_language=1)
+    assert g.predictions(docs, net).where("lang = lang_pred").count() == 1000
+
+
+def test_limit_is_that_of_all_held_out_texts(spark, documents):
+    net = g.fit(documents, per_language=5)
+    own = []
+    for lang, text, o in g._labelled(documents).collect():
+        if o % g.CHECKED == g.CHECKED - 1 and any(c.isalpha() for c in text):
+            p = net.documents(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text.encode())]))[0, :-1]
+            own += [p.max()] if net.languages[p.argmax()] == lang else []
+    assert len(own) > 20 and abs(sorted(own)[int(g.LOST * len(own))] - g._CLOSE - net.least) < 1e-5
+
+
+def test_smallest_is_exact(spark):
+    rng = np.random.default_rng(4)
+    for values in ([], [0.5], [0.25] * 9, [0.1, np.nextafter(0.1, 1)] * 30, [*rng.random(5000) ** 9, *[1e-9] * 70]):
+        df = spark.createDataFrame([(float(v),) for v in values], "v double")
+        for share in (0.0, 0.002, 0.5, 0.99):
+            assert g.smallest(df, share) == (sorted(values)[int(share * len(values))] if values else None)
