@@ -14,9 +14,8 @@ it are joined to their counts by a shuffle. Weights are trained by truncated bac
 through time in numpy: the driver starts them on a bounded, hash-ordered sample; then tasks read
 all training documents once, whole, in hash-ordered shards of about `SHARD_WORDS` words, so the
 steps grow with the corpus, and the shards' weights are averaged by their words. The state runs
-through every word; errors go back through one of `EVERY` windows of `SPAN` words, a different
-one in each chunk. The hash decides a document's shard and place, so partitions of the input
-don't matter.
+through every word, and errors of every word go back, as far as the begin of its window of `SPAN`
+words. The hash decides a document's shard and place, so partitions of the input don't matter.
 """
 
 from __future__ import annotations
@@ -40,7 +39,8 @@ RANKED, HEAD, CLASS, BINS, BIN_CLASSES = 200_000, 1024, 32, (8_192, 65_536), 8
 UNITS, SUFFIXES = 24, 61
 SAMPLE_TEXTS, SAMPLE_WORDS = 2_000, 3_000  # per text, from a place anywhere in it
 STEPS, LANES, SPAN, RATE = 900, 64, 24, 0.012
-SHARD_WORDS, CHUNK_WORDS, WIDE_LANES, SHARD_RATE, EVERY = 3_000_000, 1 << 20, 512, 0.004, 4
+SHARD_WORDS, CHUNK_WORDS, WIDE_LANES, SHARD_RATE = 3_000_000, 1 << 20, 512, 0.004
+_ROWS = 2_048  # whose logits lie in the CPU's caches
 _FLUSH = 200_000
 
 
@@ -128,6 +128,31 @@ class Descent:
             self.p[k] -= (rate * (self.m[k] / (1 - 0.9**self.n)) / (np.sqrt(self.s[k] / (1 - 0.99**self.n)) + 1e-6)).astype(np.float32)
 
 
+def _softmax(h: np.ndarray, weights: np.ndarray, bias: np.ndarray, target: np.ndarray, scale: float, errors: bool) -> tuple[np.ndarray, np.ndarray | None]:
+    """Natural log of each row's share of its target, and with errors the gradient of minus their sum times scale."""
+    rows = np.arange(len(h))
+    logits = h @ weights
+    logits += bias
+    picked = logits[rows, target]
+    ones = np.ones(logits.shape[1], logits.dtype)
+    with np.errstate(over="ignore", invalid="ignore"):
+        np.exp(logits, out=logits)
+        total = logits @ ones
+    if not (total.min() > 1e-30 and total.max() < 1e30):  # the largest logit goes off only where it must
+        logits = h @ weights
+        logits += bias
+        logits -= logits.max(axis=1, keepdims=True)
+        picked = logits[rows, target]
+        np.exp(logits, out=logits)
+        total = logits @ ones
+    out = picked - np.log(total)
+    if not errors:
+        return out, None
+    logits *= (scale / total)[:, None]
+    logits[rows, target] -= scale
+    return out, logits
+
+
 class Network:
     """An update-gated recurrent layer under a class-factored softmax."""
 
@@ -149,8 +174,8 @@ class Network:
         v = self.v
         return np.where(known, v.input[at], np.int32(v.rare_row)), np.where(known, v.cls[at], np.int32(v.outputs - 1)), np.where(known, v.inner[at], np.int32(-1))
 
-    def states(self, x: np.ndarray, h: np.ndarray, reset: np.ndarray | None = None, tape: list | None = None) -> np.ndarray:
-        """x: input rows, steps x lanes; h: the state before, changed in place; reset: where a document begins."""
+    def states(self, x: np.ndarray, h: np.ndarray, reset: np.ndarray | None = None, tape: np.ndarray | None = None) -> np.ndarray:
+        """x: input rows, steps x lanes; h: the state before, changed in place; reset: where a document begins. tape: for each step the state before, gate and candidate."""
         out = np.empty((*x.shape, UNITS), np.float32)
         embed, recur = self.p["embed"] + self.p["gate"], self.p["recur"].copy()
         embed[:, :UNITS] *= 0.5
@@ -167,7 +192,7 @@ class Network:
             z += np.float32(0.5)
             n = a[:, UNITS:]
             if tape is not None:
-                tape.append((h.copy(), z, n.copy()))
+                tape[0, t], tape[1, t], tape[2, t] = h, z, n
             step = n - h
             step *= z
             h += step
@@ -176,62 +201,67 @@ class Network:
 
     def log_shares(self, h: np.ndarray, cls: np.ndarray, inner: np.ndarray, grads: dict | None = None) -> np.ndarray:
         """Natural log of the network's share of each target; with grads, also adds gradients of minus their mean, and d/dh as "h"."""
-        rows = np.arange(len(h))
-        logits = h @ self.p["top"]
-        logits += self.p["top_bias"]
-        logits -= logits.max(axis=1, keepdims=True)
-        picked = logits[rows, cls]
-        np.exp(logits, out=logits)
-        total = logits.sum(axis=1)
-        out = picked - np.log(total)
+        order = np.argsort(cls.astype(np.int16) if self.v.outputs < 1 << 15 else cls, kind="stable")
+        h, cls, inner = h[order], cls[order], inner[order]
+        cut = np.searchsorted(cls, np.arange(self.v.classes + 1))
+        sorted_out, one = np.empty(len(h), np.result_type(h, self.p["top"])), 1 / max(1, len(h))
         if grads is not None:
-            logits /= total[:, None]
-            logits[rows, cls] -= 1
-            logits /= len(h)
-            grads["top"], grads["top_bias"] = h.T @ logits, logits.sum(axis=0)
-            grads["h"] = logits @ self.p["top"].T
-            grads["word"], grads["word_bias"] = np.zeros_like(self.p["word"]), np.zeros_like(self.p["word_bias"])
-        order = np.argsort(cls, kind="stable")
-        cut = np.searchsorted(cls[order], np.arange(self.v.classes + 1))
-        for c in range(self.v.classes):
-            of = order[cut[c] : cut[c + 1]]
-            if len(of):
-                inside = h[of] @ self.p["word"][c]
-                inside += self.p["word_bias"][c]
-                inside -= inside.max(axis=1, keepdims=True)
-                chosen = inside[np.arange(len(of)), inner[of]]
-                np.exp(inside, out=inside)
-                total = inside.sum(axis=1)
-                out[of] += chosen - np.log(total)
-                if grads is not None:
-                    inside /= total[:, None]
-                    inside[np.arange(len(of)), inner[of]] -= 1
-                    inside /= len(h)
-                    grads["word"][c], grads["word_bias"][c] = h[of].T @ inside, inside.sum(axis=0)
-                    grads["h"][of] += inside @ self.p["word"][c].T
+            grads |= {k: np.zeros_like(self.p[k]) for k in ("top", "top_bias", "word", "word_bias")}
+            into = np.empty_like(h, sorted_out.dtype)
+        for s in range(0, len(h), _ROWS):
+            of = slice(s, s + _ROWS)
+            sorted_out[of], shares = _softmax(h[of], self.p["top"], self.p["top_bias"], cls[of], one, grads is not None)
+            if grads is not None:
+                grads["top"] += h[of].T @ shares
+                grads["top_bias"] += np.ones(len(shares), shares.dtype) @ shares
+                into[of] = shares @ self.p["top"].T
+        for c in np.flatnonzero(np.diff(cut)).tolist():
+            of = slice(cut[c], cut[c + 1])
+            more, shares = _softmax(h[of], self.p["word"][c], self.p["word_bias"][c], inner[of], one, grads is not None)
+            sorted_out[of] += more
+            if grads is not None:
+                grads["word"][c], grads["word_bias"][c] = h[of].T @ shares, np.ones(len(shares), shares.dtype) @ shares
+                into[of] += shares @ self.p["word"][c].T
+        out = np.empty_like(sorted_out)
+        out[order] = sorted_out
+        if grads is not None:
+            grads["h"] = np.empty_like(into)
+            grads["h"][order] = into
         return out
 
     def gradients(self, x: np.ndarray, cls: np.ndarray, inner: np.ndarray, h: np.ndarray, reset: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        tape: list = []
+        tape = np.empty((3, *x.shape, UNITS), np.float32)
         states = self.states(x, h, reset, tape)
         g: dict = {}
         loss = -float(self.log_shares(states.reshape(-1, UNITS), cls.ravel(), inner.ravel(), g).mean())
         into = g.pop("h").reshape(states.shape)
-        g |= {"embed": np.zeros_like(self.p["embed"]), "recur": np.zeros_like(self.p["recur"]), "gate": np.zeros_like(self.p["gate"])}
-        carried = np.zeros((x.shape[1], UNITS), np.float32)
+        g["embed"] = np.zeros_like(self.p["embed"])
+        back = np.ascontiguousarray(self.p["recur"].T)
+        dh = np.zeros((x.shape[1], UNITS), into.dtype)
         pres = np.empty((*x.shape, 2 * UNITS), np.float32)
+        a, stay = np.empty((2, x.shape[1], UNITS), np.float32)
         for t in range(len(x) - 1, -1, -1):
-            before, z, n = tape[t]
-            dh = carried + into[t]
-            pres[t, :, :UNITS] = dh * (n - before) * z * (1 - z)
-            pres[t, :, UNITS:] = dh * z * (1 - n * n)
-            g["recur"] += before.T @ pres[t]
-            carried = (dh * (1 - z) + pres[t] @ self.p["recur"].T) * ~reset[t][:, None]
-        flat = pres.reshape(-1, 2 * UNITS)
-        order = np.argsort(x.ravel(), kind="stable")
-        of, first = np.unique(x.ravel()[order], return_index=True)
-        g["embed"][of] = np.add.reduceat(flat[order], first, axis=0)
-        g["gate"] = flat.sum(axis=0)
+            before, z, n = tape[:, t]
+            dh += into[t]
+            np.subtract(1, z, out=stay)
+            np.subtract(n, before, out=a)
+            a *= z
+            a *= stay
+            np.multiply(dh, a, out=pres[t, :, :UNITS], casting="same_kind")
+            np.multiply(n, n, out=a)
+            np.subtract(1, a, out=a)
+            a *= z
+            np.multiply(dh, a, out=pres[t, :, UNITS:], casting="same_kind")
+            dh *= stay
+            dh += pres[t] @ back
+            dh *= ~reset[t][:, None]
+        flat, rows = pres.reshape(-1, 2 * UNITS), x.ravel()
+        g["recur"] = tape[0].reshape(-1, UNITS).T @ flat
+        order = np.argsort(rows.astype(np.int16) if self.v.rare_row < 1 << 15 else rows, kind="stable")
+        rows = rows[order]
+        first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
+        g["embed"][rows[first]] = np.add.reduceat(np.take(flat, order, axis=0), first, axis=0)
+        g["gate"] = g["embed"].sum(axis=0)
         return loss, g
 
     def train(self, texts: list[np.ndarray], steps: int = STEPS) -> float:
@@ -255,17 +285,17 @@ class Network:
         return loss
 
     def read(self, chunks: Iterator[tuple[np.ndarray, np.ndarray]], expected: float) -> int:
-        """Reads all of the chunks (ranks, whether a text begins there) once, about `expected` words in all, trains on one of EVERY windows, and returns the number of words.
+        """Reads all of the chunks (ranks, whether a text begins there) once, about `expected` words in all, trains on each of their windows, and returns the number of words.
 
         Lanes read equal parts of a chunk. A text that goes on in the next chunk keeps its state.
         """
         ahead, words, before = Descent(self.p), 0, self.v.start_row
         last = np.zeros(UNITS, np.float32)
-        for number, (stream, begin) in enumerate(chunks):
+        for stream, begin in chunks:
             row, cls, inner = self.rows(stream)
             x = np.concatenate([[before], row[:-1]])
             x[begin], before = self.v.start_row, row[-1]
-            lanes = int(min(WIDE_LANES, max(1, len(stream) // (8 * SPAN * EVERY))))
+            lanes = int(min(WIDE_LANES, max(1, len(stream) // (32 * SPAN))))
             place = (np.arange(lanes) * len(stream)) // lanes
             most = -(-len(stream) // lanes)  # a shorter lane reads its neighbour's first word, too
             h = np.zeros((lanes, UNITS), np.float32)
@@ -273,9 +303,6 @@ class Network:
             for done in range(0, most, SPAN):
                 at = np.minimum(place[None, :] + np.arange(done, min(done + SPAN, most))[:, None], len(stream) - 1)
                 words += int(min(SPAN, most - done)) * lanes
-                if (done // SPAN + number) % EVERY != EVERY - 1:
-                    self.states(x[at], h, begin[at])
-                    continue
                 _, g = self.gradients(x[at], cls[at], inner[at], h, begin[at])
                 ahead.step(g, SHARD_RATE * (1 - 0.95 * min(1.0, words / expected)))
             last = h[-1]

@@ -127,6 +127,35 @@ def test_lm_learns_from_every_training_text(spark, monkeypatch):
     assert gain > 0 and (r["sum(score)"] - r["sum(base_score)"]) / r["sum(n_tokens)"] > 0.01
 
 
+def test_lm_errors_of_every_word_go_back():
+    v = gru_lm.Vocabulary([(b"w%d" % i, 500 - i) for i in range(50)] + [(b"", 30)], 20_000, 60)
+    net, rng, seen = gru_lm.Network(v), np.random.default_rng(2), Counter()
+    chunks = [(rng.integers(-1, 51, n), rng.random(n) < 0.01) for n in (5000, 1, 1999)]
+
+    def gradients(x, cls, inner, h, reset):
+        seen.update(zip(cls.ravel().tolist(), inner.ravel().tolist()))
+        return gru_lm.Network.gradients(net, x, cls, inner, h, reset)
+
+    net.gradients = gradients
+    assert net.read(iter(chunks), 7000) >= 7000
+    _, cls, inner = net.rows(np.concatenate([ranks for ranks, _ in chunks]))
+    assert not Counter(zip(cls.tolist(), inner.tolist())) - seen
+
+
+def test_lm_shares_of_far_logits():
+    """Logits that float32 can't raise e to, against double precision."""
+    rng = np.random.default_rng(3)
+    h, target = rng.normal(0, 1, (40, 4)).astype(np.float32), rng.integers(0, 6, 40)
+    for size, shift in ((1, 0), (90, 0), (1, -150), (1, 150)):
+        w, b = (size * rng.normal(0, 1, (4, 6))).astype(np.float32), np.full(6, shift, np.float32)
+        logits = h.astype(float) @ w + b
+        share = np.exp(logits - logits.max(axis=1, keepdims=True))
+        share /= share.sum(axis=1, keepdims=True)
+        log = (logits - logits.max(axis=1, keepdims=True) - np.log(np.exp(logits - logits.max(axis=1, keepdims=True)).sum(axis=1, keepdims=True)))[np.arange(40), target]
+        found, errors = gru_lm._softmax(h, w, b, target, 0.5, True)
+        assert np.allclose(found, log, rtol=1e-4, atol=2e-4) and np.allclose(errors, 0.5 * (share - np.eye(6)[target]), atol=1e-4)
+
+
 def test_lm_shares_sum_to_one():
     ranked = [(b"w%d" % i, 900 - i) for i in range(800)] + [(b"", 40)]
     old = gru_lm.HEAD
