@@ -14,6 +14,9 @@ from narrascope.functions.text import FAMILY_WORDS, nickname_references, normali
 from narrascope.operators.frames import small
 from narrascope.operators.tokens import TOKEN
 
+#: First words of references that are broadcast, of some tens of bytes each.
+HEADS = 1_000_000
+
 
 def owners(paragraphs: DataFrame) -> DataFrame:
     """(book_id, paragraph_id, character) of the headings' names."""
@@ -44,11 +47,17 @@ def mentions(said: DataFrame, refs: DataFrame, family: DataFrame, longest: int =
     """Leftmost, longest, non-overlapping references in each sentence (never reaching its last token): book_id, paragraph_id, sent_id, start, stop, reference.
 
     Spans that are references come from an equi join; a fold over them, sorted by start and by
-    length, keeps what begins after the last kept one ended.
+    length, keeps what begins after the last kept one ended. Only places where a reference of the
+    book can begin give spans, of no more tokens than the longest such reference has at most.
     """
     known = refs.select("book_id", "reference").union(family.select("book_id", "reference")).distinct()
-    starts = said.select("book_id", "paragraph_id", "sent_id", "words", F.explode(F.sequence(F.lit(0), F.size("words") - 1)).alias("start"))
-    spans = starts.select("*", F.explode(F.sequence(F.lit(1), F.lit(longest))).alias("n")).where(F.col("start") + F.col("n") < F.size("words"))
+    # a reference's first letters, digits or sign are those of its first token, however its signs are cut
+    head = lambda x: F.regexp_extract(x, r"^([\p{L}\p{N}]+|[^\p{L}\p{N}])", 1)
+    finest = F.size(F.regexp_extract_all("reference", F.lit(r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]"), F.lit(0)))
+    heads = known.groupBy("book_id", head(F.col("reference")).alias("head")).agg(F.least(F.max(finest), F.lit(longest)).alias("most")).where("most > 0")
+    places = said.select("book_id", "paragraph_id", "sent_id", "words", F.posexplode("words").alias("start", "word")).where(F.col("start") + 1 < F.size("words"))
+    starts = places.select("book_id", "paragraph_id", "sent_id", "words", "start", head(F.col("word")).alias("head")).join(small(heads, HEADS), ["book_id", "head"])
+    spans = starts.select("*", F.explode(F.sequence(F.lit(1), "most")).alias("n")).where(F.col("start") + F.col("n") < F.size("words"))
     text = F.regexp_replace(F.array_join(F.slice("words", F.col("start") + 1, F.col("n")), " "), " ('s|[.,;:!?])", "$1")
     hits = spans.select("book_id", "paragraph_id", "sent_id", "start", (F.col("start") + F.col("n")).alias("stop"), text.alias("reference")).join(small(known), ["book_id", "reference"])
     sorted_spans = F.array_sort(F.collect_list(F.struct("start", (-F.col("stop")).alias("order"), "stop", "reference")))

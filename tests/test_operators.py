@@ -229,3 +229,24 @@ def test_parts_and_checks(spark):
     assert [(r.book_id, r.lacks) for r in sinks.inconsistent(x=b, y=b.where("book_id <> 'b3'")).collect()] == [("b3", ["y"])]
     split = learning.split_books(b)
     assert split.where("is_train").count() == 4 and learning.test_books(b, split.where("is_train")).count() == 3
+
+
+def test_mentions_begin_where_a_reference_can(spark):
+    said = spark.createDataFrame([("b", 0, 0, "Mr. Tom met Sid 's aunt , Mr . Tom and the Moors of the hill here .".split(" "))], "book_id string, paragraph_id int, sent_id int, words array<string>")
+    refs = spark.createDataFrame([("b", r, "x") for r in ("Mr. Tom", "Sid's aunt", "Sid", "hill", "")] + [("c", "met", "x")], "book_id string, reference string, character string")
+    family = spark.createDataFrame([("b", "the Moors", "x")], "book_id string, reference string, character string")
+    found = relations.mentions(said, refs, family)
+    assert sorted((r.start, r.stop, r.reference) for r in found.collect()) == [(0, 2, "Mr. Tom"), (3, 6, "Sid's aunt"), (7, 10, "Mr. Tom"), (11, 13, "the Moors"), (15, 16, "hill")]
+    # spans of all eight lengths are not made at every word
+    assert "[1,2,3,4,5,6,7,8]" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_best_tenth_is_ranked_in_ranges(spark):
+    rows = [(b, f"g{i % 17}", f"h{i}", i % 3) for b, n in (("x", 95), ("y", 3), (None, 40)) for i in range(n)]
+    found = learning.baseline_pairs(spark.createDataFrame(rows, "book_id string, gram1 string, gram2 string, cooc_pg int"))
+    for b, n in (("x", 95), ("y", 3), (None, 40)):
+        own = sorted((-s, g, h) for x, g, h, s in rows if x == b)
+        assert {(r.gram1, r.gram2) for r in found.collect() if r.book_id == b and r.prediction == 1} == {(g, h) for _, g, h in own[: n // 10 + 1]}
+    # no window over a whole book's pairs
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "windowspecdefinition(book_id" not in plan.split("row_number()")[1].split("\n")[0]
