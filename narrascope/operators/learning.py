@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from narrascope.operators.candidates import by_length
-from narrascope.operators.frames import saved
+from narrascope.operators.frames import saved, small
 
 
 def book_order(book: Column, seed: int = 0) -> Column:
@@ -195,9 +195,15 @@ def baseline_pairs(pairs: DataFrame, score: str = "cooc_pg", threshold: float |
     """prediction 1 for the best tenth (and one) of a book's pairs, or for all over a threshold."""
     if threshold is not None:
         return pairs.withColumn("prediction", F.when(F.col(score) > threshold, 1).otherwise(0))
-    w = Window.partitionBy("book_id")
-    r = F.row_number().over(w.orderBy(F.desc(score), "gram1", "gram2"))
-    return pairs.withColumn("prediction", F.when(r <= F.floor(F.count("*").over(w) / 10) + 1, 1).otherwise(0))
+    # a book's order is cut into ranges, ranked apart; the ranges before one add their sizes
+    order = [F.desc(score), F.col("gram1"), F.col("gram2")]
+    ranges = saved(pairs.repartitionByRange("book_id", *order).withColumn("range", F.spark_partition_id()), "ranges")
+    sizes = ranges.groupBy("book_id", "range").agg(F.count("*").alias("size"))
+    book = Window.partitionBy("book_id")
+    sizes = sizes.select(F.col("book_id").alias("b"), "range", (F.sum("size").over(book.orderBy("range")) - F.col("size")).alias("before"), F.sum("size").over(book).alias("all"))
+    ranked = ranges.withColumn("r", F.row_number().over(Window.partitionBy("range", "book_id").orderBy(*order))).withColumnRenamed("range", "own")
+    placed = ranked.join(small(sizes), F.col("book_id").eqNullSafe(F.col("b")) & (F.col("own") == F.col("range")))
+    return placed.select(*pairs.columns, F.when(F.col("r") + F.col("before") <= F.floor(F.col("all") / 10) + 1, 1).otherwise(0).alias("prediction"))
 
 
 def listing(predicted: DataFrame) -> DataFrame:
