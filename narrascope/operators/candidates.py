@@ -61,27 +61,40 @@ def noun_phrases(tokens: DataFrame, persons: Sequence[str]) -> DataFrame:
 
 
 def sentence_phrases(sentences: DataFrame, persons: Sequence[str]) -> DataFrame:
-    """The same from SENTENCE and `t`, each sentence's tokens as array<struct<word, pos, ...>>: no shuffle."""
-    bad_tag, bad_token = (lambda x: x["pos"].isin(list(BAD_TAGS))), (lambda x: x["word"].isin(list(BAD_TOKENS)))
-    is_head = lambda x: x["pos"].startswith("NN") & (has_capital(x["word"]) | x["word"].isin(list(persons))) & ~x["word"].isin(list(BAD_TITLES)) & ~bad_token(x)
-    places = F.filter(F.transform("t", lambda x, i: F.when(is_head(x), i)), lambda i: i.isNotNull())
-    heads = sentences.select(*SENTENCE, "t", F.explode(places).alias("h"))
-    at = lambda i: F.get(F.col("t"), i)
-    before = lambda stop, test: F.array_max(F.filter(F.sequence(F.lit(0), F.greatest(stop - 1, F.lit(0))), lambda i: (i < stop) & test(at(i))))
-    walked = computed(heads, cap=has_capital(at(F.col("h"))["word"]), b1=before(F.col("h"), bad_tag))
-    stop1 = F.array_max(F.filter(F.sequence(F.lit(0), F.col("h")), lambda i: (i > F.coalesce("b1", F.lit(-1))) & bad_token(at(i))))
-    walked = computed(walked, stop1=stop1)
-    noun_or_the = lambda i: at(i)["pos"].startswith("NN") | is_the(at(i)["word"])
-    phase1 = F.filter(
-        F.sequence(F.coalesce("stop1", "b1", F.lit(-1)) + 1, F.col("h")),
-        lambda i: F.when(F.col("cap"), noun_or_the(i) & (i >= 1) & ~has_capital(at(i - 1)["word"])).otherwise((at(i)["pos"].startswith("NN") & (i < F.col("h"))) | is_the(at(i)["word"])),
+    """The same from SENTENCE and `t`, each sentence's tokens as array<struct<word, pos, ...>>: no shuffle.
+
+    A walk sees no further than the part between two bad places that holds its head, and over a
+    bad tag the part before. Sentences are cut into such parts first, so a head costs no walk over
+    its whole sentence and no copy of it. What is asked of a token is a bit of its flag.
+    """
+    tag, bad, opens, the, cap, noun, person = (1 << i for i in range(7))
+    has = lambda x, bit: x.bitwiseAND(F.lit(bit)) != 0
+    is_head = lambda x: has(x, noun) & has(x, cap | person)
+    named = lambda x: F.when(x["word"].isin(list(BAD_TITLES)), 0).when(x["word"].isin(list(persons)), noun | person).otherwise(noun)
+    kind = lambda x: F.when(x["pos"].isin(list(BAD_TAGS)), tag | bad).when(x["word"].isin(list(BAD_TOKENS)), bad).otherwise(F.when(is_the(x["word"]), opens | the).otherwise(0).bitwiseOR(F.when(x["pos"].startswith("NN"), named(x).bitwiseOR(F.lit(opens))).otherwise(0)))
+    flags = F.transform("t", lambda x: kind(x).bitwiseOR(F.when(has_capital(x["word"]), cap).otherwise(0)))
+    places = lambda of, test: F.filter(F.transform(of, lambda x, i: F.when(test(x, i), i)), lambda i: i.isNotNull())
+    marked = computed(sentences.select(*SENTENCE, "t"), f=flags).where(F.exists("f", is_head))
+    edged = computed(marked, e=F.concat(F.array(F.lit(-1)), places(F.col("f"), lambda x, i: has(x, bad)), F.array(F.size("f"))), w=F.transform("t", lambda x: x["word"])).drop("t")
+    edge = lambda k: F.get(F.col("e"), k)
+    filled = F.filter(F.sequence(F.lit(0), F.size("e") - 2), lambda k: edge(k + 1) - edge(k) > 1)
+    # each part with the one before it: where that begins, the part's own first place from there, flags and words of both
+    begin = lambda k: F.when(k > 0, edge(k - 1) + 1).otherwise(0)
+    cut = lambda name, k: F.slice(name, begin(k) + 1, edge(k + 1) - begin(k)).alias(name)
+    parts = edged.select(*SENTENCE, F.inline(F.transform(filled, lambda k: F.struct(begin(k).alias("begin"), (edge(k) + 1 - begin(k)).alias("own"), cut("f", k), cut("w", k)))))
+    parts = parts.where(F.exists(F.slice("f", F.col("own") + 1, F.size("f")), is_head))
+    at = lambda i: F.get(F.col("f"), i)
+    start = lambda x, i: F.when(has(x, opens), F.struct(i.alias("i"), (i >= F.col("own")).alias("inside"), has(x, the).alias("the"), ((i > 0) & ~has(F.coalesce(at(i - 1), F.lit(cap)), cap)).alias("after")))
+    walked = computed(
+        parts,
+        heads=F.filter(F.transform("f", lambda x, i: F.when((i >= F.col("own")) & is_head(x), F.struct(i.alias("h"), has(x, cap).alias("capital")))), lambda x: x.isNotNull()),
+        starts=F.filter(F.transform("f", start), lambda x: x.isNotNull()),
+        hop=has(F.coalesce(at(F.col("own") - 1), F.lit(0)), tag),
     )
-    hop = F.col("cap") & F.col("stop1").isNull() & (F.col("b1") >= 1) & ~bad_tag(at(F.col("b1") - 1))
-    from2 = F.coalesce(F.array_max(F.filter(F.sequence(F.lit(0), F.greatest(F.col("b1") - 1, F.lit(0))), lambda i: bad_tag(at(i)) | bad_token(at(i)))), F.lit(-1)) + 1
-    walked = computed(walked, hop=hop, from2=from2)
-    phase2 = F.when(F.col("hop"), F.filter(F.sequence(F.lit(0), F.col("b1") - 1), lambda i: (i >= F.col("from2")) & noun_or_the(i))).otherwise(F.array().cast("array<int>"))
-    starts = walked.select(*SENTENCE, "h", "t", F.explode(F.concat(F.coalesce(phase1, F.array().cast("array<int>")), F.coalesce(phase2, F.array().cast("array<int>")))).alias("s"))
-    return starts.select(*SENTENCE, F.col("h").alias("head"), F.transform(F.slice("t", F.col("s") + 1, F.col("h") - F.col("s") + 1), lambda x: x["word"]).alias("gram"))
+    headed = walked.select(*SENTENCE, "begin", "w", "starts", "hop", F.inline("heads"))
+    fits = lambda x: F.when(F.col("capital"), F.when(x["inside"], x["after"] & (x["i"] <= F.col("h"))).otherwise(F.col("hop"))).otherwise(x["inside"] & ((x["i"] < F.col("h")) | ((x["i"] == F.col("h")) & x["the"])))
+    found = headed.select(*SENTENCE, "begin", "h", "w", F.explode(F.transform(F.filter("starts", fits), lambda x: x["i"])).alias("s"))
+    return found.select(*SENTENCE, (F.col("begin") + F.col("h")).alias("head"), F.slice("w", F.col("s") + 1, F.col("h") - F.col("s") + 1).alias("gram"))
 
 
 def grams(tokens: DataFrame, most: int) -> DataFrame:

@@ -59,5 +59,12 @@ def small(df: DataFrame, most: int = 100_000) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def spread(df: DataFrame, text: str, most: int = 4_000_000) -> tuple[DataFrame, int]:
+    """df in as many parts as hold about `most` characters of the column `text` each, and their number: what a task holds doesn't grow with the table."""
+    chars = df.agg(F.sum(F.length(text)).alias("n")).first()["n"] or 0
+    parts = max(1, -(-chars // most))
+    return df.repartition(parts), parts
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")

@@ -250,3 +250,18 @@ def test_best_tenth_is_ranked_in_ranges(spark):
     # no window over a whole book's pairs
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "windowspecdefinition(book_id" not in plan.split("row_number()")[1].split("\n")[0]
+
+
+def test_noun_phrases_of_a_long_sentence(spark, tmp_path, monkeypatch):
+    """A head walks over its part of the sentence, and no task holds more than its part of the documents."""
+    from narrascope.operators import frames
+    from narrascope.plans import text_queries
+
+    text = " , ".join(["then Tom met the Moor"] * 6000)
+    rows = [(i, text if i else "then Ann met Tom of the Moor", "en", "b", 0) for i in range(3)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(text_queries, "spread", lambda df, text: frames.spread(df, text, 50_000))
+    found = text_queries.np_candidates(spark, str(tmp_path))
+    assert found.rdd.getNumPartitions() == 6
+    got = {r.gram_key: r.n for r in found.collect()}
+    assert got["Tom"] == 12001 and got["the Moor"] == 12001 and got["Tom of the Moor"] == 1 and got["Ann met Tom"] == 1
