@@ -7,6 +7,10 @@ inside the row (chapter, paragraph, sentence, token), so no window and no shuffl
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -134,8 +138,6 @@ def align(tokens: DataFrame, lines: DataFrame) -> DataFrame:
     A null word or line is an empty one. Both tables are sorted by book and place and streamed to
     one walk a book.
     """
-    import pandas as pd
-
     kind = tokens.schema["book_id"].dataType.simpleString()
 
     def one(t: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
@@ -148,6 +150,49 @@ def align(tokens: DataFrame, lines: DataFrame) -> DataFrame:
     return sides[0].cogroup(sides[1]).applyInPandas(one, f"book_id {kind}, pos bigint, word string, nl_before bigint, line bigint")
 
 
+def _aligned_alike(words: pa.ListArray, lines: pa.ListArray, newline: str = "*NL*") -> tuple[pa.Array, pa.Array] | None:
+    """What `aligned` gives for rows whose lines, but for newlines, are their words, none of them empty; None if some row is not of that kind."""
+    size = lambda x: pc.list_value_length(x).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    n_words, n_lines, flat = size(words), size(lines), lines.flatten()
+    if words.null_count or lines.null_count or flat.null_count:
+        return None
+    kept = pc.not_equal(flat, newline)
+    held = flat.filter(kept)
+    row = np.repeat(np.arange(len(n_lines)), n_lines)[kept.to_numpy(zero_copy_only=False)]
+    if not held.equals(words.flatten()) or not np.array_equal(np.bincount(row, minlength=len(n_words)), n_words) or pc.any(pc.equal(held, "")).as_py():
+        return None
+    place = np.flatnonzero(kept.to_numpy(zero_copy_only=False)) - (np.cumsum(n_lines) - n_lines)[row]
+    before = np.r_[-1, place[:-1]] if len(place) else place
+    before[np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if len(row) else []] = -1
+    offsets = pa.array(np.r_[0, np.cumsum(n_words)].astype(np.int32))
+    return tuple(pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (place - before - 1, place))
+
+
+def aligned_rows(docs: DataFrame) -> DataFrame:
+    """`align` for documents that hold their words and lines: docs(book_id, words, lines) with nl_before and line as arrays of the words' length, a row a document and no shuffle."""
+    conf = docs.sparkSession.conf
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", min(2000, int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000"))))
+    kind = docs.schema["book_id"].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            alike = _aligned_alike(batch["words"], batch["lines"])
+            if alike:
+                yield pa.RecordBatch.from_arrays([batch["book_id"], *alike], ["book_id", "nl_before", "line"])
+                continue
+            newlines, places = [], []
+            for words, lines in zip(batch["words"], batch["lines"]):
+                words, lines = ([x or "" for x in side.as_py() or []] for side in (words, lines))
+                found = aligned(words, lines)
+                rest = [None] * (len(words) - len(found))
+                newlines.append([*(n for n, _ in found), *rest])
+                places.append([*(x for _, x in found), *rest])
+            whole = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([batch["book_id"], pa.array(newlines, whole), pa.array(places, whole)], ["book_id", "nl_before", "line"])
+
+    return docs.select("book_id", "words", "lines").mapInArrow(run, f"book_id {kind}, nl_before array<bigint>, line array<bigint>")
+
+
 def newline_lines(text: Column) -> Column:
     """Tokens of a text, a line each, with a line for every newline."""
     return F.transform(F.regexp_extract_all(text, F.lit(rf"\n|{TOKEN}"), F.lit(0)), lambda x: F.when(x == "\n", "*NL*").otherwise(x))

@@ -150,3 +150,30 @@ def test_text_functions(spark):
     assert list(r) == [["Bo", "Berta Smith", "Bo Smith"], "Arnold", "Bob", "tom", "tom", "able seaman", ["Tom", "the", "boy", "'s", "dog"], 3, "MALE", "cp"]
     tokens = spark.sql("SELECT array(named_struct('word', 'Mr.', 'begin', 0, 'end', 3), named_struct('word', 'Lind', 'begin', 4, 'end', 8), named_struct('word', '\\'s', 'begin', 8, 'end', 10)) AS t")
     assert tokens.select(ft.span_text(F.col("t"), F.lit(0), F.lit(3))).first()[0] == "Mr. Lind's"
+
+
+def test_alignment_in_the_row(spark, tmp_path):
+    from narrascope.operators import tokens as t
+    from narrascope.plans import table_queries
+
+    docs = spark.createDataFrame([("b", ["a", "c"], ["a", "*NL*", "c"]), ("d", ["z"], ["a"]), ("e", [None], []), ("f", None, None)], "book_id string, words array<string>, lines array<string>")
+    assert {r.book_id: (r.nl_before, r.line) for r in t.aligned_rows(docs).collect()} == {"b": ([0, 1], [0, 2]), "d": ([None], [None]), "e": ([0], [-1]), "f": ([], [])}
+    # documents of one number are walked apart
+    spark.createDataFrame([(1, "a\n\nb"), (1, "c\nd\n"), (2, "\n"), (3, None)], "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = table_queries.aligned_tokens(spark, str(tmp_path))
+    assert sorted(map(tuple, found.collect())) == [(1, 2, 1), (1, 2, 2)]
+    assert "Exchange" not in found._jdf.queryExecution().toString()
+
+
+def test_alignment_of_many_rows_at_once():
+    import pyarrow as pa
+
+    from narrascope.operators import tokens as t
+
+    lines = [["*NL*", "a", "*NL*", "*NL*", "b", "*NL*"], [], ["c"], ["*NL*"], ["d", "*NL*", "e"]]
+    words = [[x for x in row if x != "*NL*"] for row in lines]
+    kind = pa.list_(pa.string())
+    newlines, places = (x.to_pylist() for x in t._aligned_alike(pa.array(words, kind), pa.array(lines, kind)))
+    assert [list(zip(*row)) for row in zip(newlines, places)] == [t.aligned(w, s) for w, s in zip(words, lines)]
+    for w, s in (([["a"], ["b"]], [["a", "b"], []]), ([[""]], [[""]]), ([["x"]], [["y"]]), ([None], [["a"]])):
+        assert t._aligned_alike(pa.array(w, kind), pa.array(s, kind)) is None
